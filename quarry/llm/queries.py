@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, tjoin, topk
+from . import chat, mixing, pii, quality, spm, tjoin, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -36,6 +36,18 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the public 32k model: their number and digest, and whether decoding gives the text back."""
+    return spm.encode(table(spark, sf_dir, "documents"), spm.read_model(), ids=False)
+
+
+@query
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms in every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
