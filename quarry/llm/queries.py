@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, pii, quality, spm, tjoin, topk
+from . import chat, linedup, mixing, pii, quality, spm, tjoin, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -48,6 +49,17 @@ def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines: their number, what stays, and the digest of the new text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = linedup.dedup_lines(docs)
+    return out.select(
+        "doc_id", F.col("__n_lines").cast("long").alias("n_lines"), F.col("__n_kept").cast("long").alias("n_kept"),
+        F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 @query
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
