@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linedup, mixing, pii, quality, spm, tjoin, topk
+from . import chat, hmm, linedup, mixing, pii, quality, spm, tjoin, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -30,6 +30,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tjoin.classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact log10 probability of every document under the hidden Markov model, beside the smoothed counts' score."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""

@@ -135,6 +135,14 @@ def shingle3(h: np.ndarray) -> np.ndarray:
     return mix(h[:-2] * U64(0xA24BAED4963EE407) + mix(h[1:-1] ^ (h[2:] << U64(1)) ^ (h[2:] >> U64(63))) + h[2:])
 
 
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the windows of k words; k - 1 shorter than ``h``."""
+    out = h[: len(h) - k + 1].copy()
+    for i in range(1, k):
+        out = mix(out * U64(0xA24BAED4963EE407) + h[i : len(h) - k + 1 + i])
+    return out
+
+
 def sequence_hash(h: np.ndarray) -> int:
     """Hash of a whole short sequence of words, other than that of any window."""
     x = U64(0x2545F4914F6CDD1D) + U64(len(h))
