@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hmm, linedup, mixing, pii, quality, spm, tjoin, topk
+from . import chat, hmm, kneser, linedup, mixing, pii, quality, spm, tjoin, topk
 from .common import table
 
 QUERIES: dict = {}
@@ -81,6 +81,12 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of trusted text, and whether its language's threshold lets it pass."""
+    return kneser.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 _CONTROLS = list(chat.CONTROLS)
 _IN_TEXT = "[" + ", ".join("'" + c + "'" for c in _CONTROLS) + "]"
 
