@@ -216,7 +216,8 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col
     the base rules.  Without labelled good rows nothing but the base rules rejects.
     """
     passing = stats.where(~((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    sample = passing.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), *STATS).limit(SAMPLE_ROWS).toPandas()
+    # cut, so that the partitions' smallest rows meet on an executor and not on the driver
+    sample = cut(passing.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), *STATS).limit(SAMPLE_ROWS)).toPandas()
     forest = grow(features({c: sample[c].to_numpy(np.int64) for c in STATS}))
     good = (
         labels.select(column(labels, id_col).alias("doc_id"), column(labels, quality_col).alias("q"))
