@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-MODULES = ["text"]
+MODULES = ["text", "relational", "scalars"]
 
 
 def _load() -> None:
