@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-MODULES = ["text", "relational", "scalars"]
+MODULES = ["text", "relational", "scalars", "filtering"]
 
 
 def _load() -> None:
