@@ -1,7 +1,8 @@
 """N-gram Jaccard join by T-occurrence search, with connected classes instead of all pairs.
 
-A document's set holds its distinct three-word shingles as 64-bit hashes.  Two sets link when
-``100 * |intersection| >= 90 * |union|``, which is ``|a| + |b| >= 19 * |a symmetric difference b|``.
+A document's set holds its distinct shingles as 64-bit hashes, by default of three words.  Two sets link when
+``100 * |intersection| >= percent * |union|``, by default 90, which is
+``(100 - percent) * (|a| + |b|) >= (100 + percent) * |a symmetric difference b|``.
 
 How a link is found, without ever pairing all members of a group of copies:
 
@@ -10,15 +11,19 @@ How a link is found, without ever pairing all members of a group of copies:
    shingles (by a count sketch of the whole corpus, of fixed size), just so many that every partner must stand in one
    of them; they are merged by a sort on the shingle.  The long lists are never read: what they would add is found by
    binary probes of one set in the other.
-3. In each short list the smallest member is the centre.  Every other member is probed against the centre, once for
-   all the lists they share.  Sets that differ from a centre by little are written as their difference from it.  Two
-   members with differences of sizes p and q and o elements common to both differ by ``p + q - 2o``; so the search
-   goes on over inverted lists of the differences, which are short where the texts are alike, again with a required
-   overlap, prefixes and a bound by position.  The link holds exactly when ``k(a) + k(b) <= 38 o`` with
-   ``k = 19 * |difference| - |set|``: pairs that need no overlap at all link through the member of least k, one link each.
+3. In short lists of a few members all pairs are looked at, by size, by sketch and then by probing one set in the other.
+   In the others the smallest member is the centre.  Every other member is probed against the centre, once for all the
+   lists they share.  Sets that differ from a centre by little are written as their difference from what most members
+   have (an element that most differences hold is struck from all, or added).  Two members with differences of sizes p
+   and q and o elements common to both differ by ``p + q - 2o``; so the search goes on over inverted lists of
+   the differences, which are short where the texts are alike, again with a required overlap, prefixes and a bound by
+   position.  The link holds exactly when ``k(a) + k(b) <= 2 (100 + percent) o`` with
+   ``k = (100 + percent) * |difference| - (100 - percent) * |set|``: pairs that need no overlap at all link through the
+   member of least k, one link each.
 4. Members far from the centre get another centre, ``ROUNDS`` times; members still left are paired with each other
    within their list.  As the Jaccard distance is a metric, a centre's class takes everything within FAR, and a
-   member leaves the list only when within NEAR, no link between different classes is lost (FAR - NEAR >= 0.1).
+   member leaves the list only when within NEAR, no link between different classes is lost (FAR - NEAR is the
+   distance that links allow).
 5. Links are joined to components by label propagation with pointer jumping.
 """
 
@@ -26,35 +31,64 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import cut, id_text
+from .common import column, cut, id_text
 
 #: Counters of the sketch that orders shingles by rarity, and the rows it is moved in.  Its size is fixed: 1 MB where broadcast.
 SKETCH_BITS = 20
 SLICES = 16
-#: Parts of the hash space whose counts bound a symmetric difference from below.
-PARTS = 128
+#: A set's sketch has the parity of the number of its hashes in each part; the parts are a power of two, at least LEAST_PARTS
+#: and four to eight for each hash.  Sketches differ in no more bits than the sets in elements.
+LEAST_PARTS = 512
+#: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
+SMALL = 8
 ROUNDS = 3
-NEAR, FAR = 0.2, 0.3
+NEAR = 0.4
 #: Members of a centre's class that are probed in one group.
 CHUNK = 256
 
 
-def _sets(texts: pa.Array) -> Iterator[np.ndarray]:
+@dataclass(frozen=True)
+class Rule:
+    """Words in a shingle, and the percentage of the union that the intersection of linked sets has at least."""
+
+    words: int = 3
+    percent: int = 90
+
+    @property
+    def apart(self) -> float:
+        """The Jaccard distance that links allow."""
+        return 1 - self.percent / 100
+
+    @property
+    def near(self) -> float:
+        return max(NEAR, self.apart)
+
+    @property
+    def far(self) -> float:
+        return self.near + self.apart
+
+    def short(self, n: int) -> int:
+        """How many of a set's lists are short ones: with so many, every partner stands in one of them."""
+        return n - -(-self.percent * n // 100) + 1
+
+
+def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     data, offsets = w.buffers(texts)
     starts, _, hashes = w.words(data, offsets, lower=True)
     first = w.word_offsets(starts, offsets)
-    every = w.shingle3(hashes) if len(hashes) >= 3 else hashes[:0]
+    every = w.shingles(hashes, k) if len(hashes) >= k else hashes[:0]
     for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= 3:
-            yield np.unique(every[a : b - 2])
+        if b - a >= k:
+            yield np.unique(every[a : b - k + 1])
         elif b > a:
             yield np.array([w.sequence_hash(hashes[a:b])], w.U64)
         else:
@@ -66,32 +100,46 @@ def _digest(s: np.ndarray) -> int:
     return int(w.mix(np.array([w.mix(s ^ w.U64(0x5851F42D4C957F2D)).sum(dtype=w.U64) + w.U64(len(s))], w.U64)).view(np.int64)[0])
 
 
-def _histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> w.U64(40)).astype(np.int64) % PARTS, minlength=PARTS), 255).astype(np.uint8).tobytes()
+def _parities(s: np.ndarray) -> bytes:
+    parts = max(LEAST_PARTS, 1 << (4 * len(s) - 1).bit_length())
+    counts = np.bincount((s >> w.U64(20)).astype(np.int64) & (parts - 1), minlength=parts)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
 
+def _least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their sketches; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's part of the sketch."""
     sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-    names = ["doc_id", "n", "sid", "hist", "slice", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "row", "n", "sid", "hist", "slice", "counts"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     some = False
     for batch in w.per_batch(batches):
         n, sid, hist = [], [], []
-        for s in _sets(batch.column(1)):
+        for s in _sets(batch.column(1), rule.words):
             d = _digest(s)
             n.append(len(s))
             sid.append(d)
-            hist.append(_histogram(s))
+            hist.append(_parities(s))
             if d not in seen:
                 seen.add(d)
                 np.add.at(sketch, (s >> w.U64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 some = True
         k = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip((n, sid, hist, [None] * k, [None] * k), types[1:], strict=True)]], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, [None] * k, [None] * k), types, strict=True)]], names=names)
     if some:
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([None] * SLICES, [None] * SLICES, [None] * SLICES, [None] * SLICES, list(range(SLICES)), parts), types, strict=True)], names=names)
+        none = [None] * SLICES
+        columns = zip((none, none, none, none, none, list(range(SLICES)), parts), (pa.int64(), pa.int64(), *types), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=names)
 
 
 def _rarity(summaries: DataFrame) -> np.ndarray:
@@ -111,7 +159,7 @@ def _rarity(summaries: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _short_lists(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+def _short_lists(docs: DataFrame, rarity: np.ndarray, rule: Rule) -> DataFrame:
     """(shingle, class): the rarest shingles of every class, so many that all its partners share one of them."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -119,12 +167,12 @@ def _short_lists(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
         order, seen = shared.value, set()
         for batch in w.per_batch(batches):
             keys, ids = [], []
-            for s in _sets(batch.column(1)):
+            for s in _sets(batch.column(1), rule.words):
                 n = len(s)
                 if not n or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
-                size = n - (9 * n + 9) // 10 + 1
+                size = rule.short(n)
                 rank = order[(s >> w.U64(64 - SKETCH_BITS)).astype(np.int64)].astype(w.U64) << w.U64(56) | s >> w.U64(8)
                 keys.append(s[np.argpartition(rank, size - 1)[:size]] if size < n else s)
                 ids.append(np.full(len(keys[-1]), d, np.int64))
@@ -135,42 +183,42 @@ def _short_lists(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
 
 
 def _within(pairs: DataFrame, sizes: DataFrame, distance: float) -> DataFrame:
-    """Pairs (c, sid) that may be within the Jaccard distance, by size and by the counts of PARTS parts; none is lost."""
+    """Pairs (c, sid, n) that may be within the Jaccard distance, by sizes, then by sketches; none is lost."""
     limit = distance / (2 - distance)
-    both = (
-        pairs.join(sizes.select(F.col("sid"), F.col("n"), F.col("hist")), "sid")
-        .join(sizes.select(F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("hist").alias("chist")), "c")
+    sized = (
+        pairs.join(sizes.select(F.col("sid").alias("c"), F.col("n").alias("cn")), "c")
         .where(F.least("n", "cn") >= F.greatest("n", "cn") * (1 - distance) - 1e-6)
+        .select("c", "sid")
     )
+    both = sized.join(sizes.select("sid", "n", "hist"), "sid").join(sizes.select(F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("hist").alias("chist")), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for i in (4, 5))
             n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
-            ok = np.abs(a - b).sum(1) <= limit * (n + m) + 1e-6
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["c", "sid"]).filter(pa.array(ok))
+            most = limit * (n + m) + 1e-6
+            ok = [_least_difference(a, b) <= x for a, b, x in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["c", "sid"]).filter(pa.array(ok, pa.bool_()))
 
     return both.select("c", "sid", "n", "cn", "hist", "chist").mapInArrow(run, "c long, sid long")
 
 
-def _hash_long(x: np.ndarray) -> np.ndarray:
-    """A hash of ids for the bit map (on either side of it, in Python)."""
-    return w.mix(x.view(w.U64))
+def _places(ids: pa.Array, bits: int) -> np.ndarray:
+    """Bits of the map for ids; null is as good as 0 here."""
+    x = np.asarray(ids.cast(pa.int64()).fill_null(0), np.int64).view(w.U64)
+    return (w.mix(x + w.U64(1)) >> w.U64(64 - bits)).astype(np.int64)
 
 
-def _candidate_sets(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """(sid, elements), one row a class, of the classes in ``ids``.
+def _candidate_sets(docs: DataFrame, ids: DataFrame, rule: Rule, bits: int = 23) -> DataFrame:
+    """(sid, elements), one row a class, of the classes in ``ids`` (sid, doc: the least id of its rows).
 
-    A bit map of fixed size (1 MB), put together on the executors, keeps nearly all others from being moved; the join
-    on the id then is exact.
+    A bit map of those ids, of fixed size (1 MB) and put together on the executors, says which texts to look at; the
+    join on the class then is exact.
     """
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << (bits - 3), np.uint8)
         for batch in batches:
-            at = (_hash_long(np.asarray(batch.column(0), np.int64)) >> w.U64(64 - bits)).astype(np.int64)
+            at = _places(batch.column(0), bits)
             np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         parts = np.split(table, SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts])], names=["slice", "marks"])
@@ -181,7 +229,7 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFram
             total |= np.frombuffer(zlib.decompress(x), np.uint8)
         return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "marks": [total.tobytes()]})
 
-    rows = ids.select("sid").mapInArrow(marks, "slice int, marks binary").groupBy("slice").applyInPandas(merge, "slice int, marks binary").collect()
+    rows = ids.select("doc").mapInArrow(marks, "slice int, marks binary").groupBy("slice").applyInPandas(merge, "slice int, marks binary").collect()
     whole = np.zeros((SLICES, (1 << (bits - 3)) // SLICES), np.uint8)
     for r in rows:
         whole[r["slice"]] |= np.frombuffer(r["marks"], np.uint8)
@@ -189,24 +237,24 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, bits: int = 23) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = shared.value, set()
-        for batch in w.per_batch(batches):
-            sids, sets = [], []
-            for s in _sets(batch.column(1)):
-                if not len(s) or (d := _digest(s)) in seen:
-                    continue
-                at = int(_hash_long(np.array([d], np.int64))[0] >> w.U64(64 - bits))
-                if table[at >> 3] >> (at & 7) & 1:
-                    seen.add(d)
-                    sids.append(d)
-                    sets.append(s.tobytes())
-            if sids:
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "elements"])
+        for whole_batch in batches:
+            at = _places(whole_batch.column(0), bits)
+            chosen = whole_batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            for batch in w.per_batch([chosen]):
+                sids, sets = [], []
+                for s in _sets(batch.column(1), rule.words):
+                    if len(s) and (d := _digest(s)) not in seen:
+                        seen.add(d)
+                        sids.append(d)
+                        sets.append(s.tobytes())
+                if sids:
+                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "elements"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "sid long, elements binary")
     return found.join(ids.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def _probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _probe(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """For pairs (c, sid) the sizes, the size of the symmetric difference and the difference itself.
 
     The members of one centre are dealt out in groups of about CHUNK, and the centre's set goes to each group.  The
@@ -236,7 +284,7 @@ def _probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 hit = own[np.minimum(at, len(own) - 1)] == s
                 common = int(hit.sum())
                 size = len(s) + len(own) - 2 * common
-                near = size <= FAR / (2 - FAR) * (len(s) + len(own)) + 1e-6
+                near = size <= rule.far / (2 - rule.far) * (len(s) + len(own)) + 1e-6
                 if near:
                     missing = np.ones(len(own), bool)
                     missing[at[hit]] = False
@@ -250,68 +298,92 @@ def _probe(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "c long, sid long, n long, cn long, size long, diff array<long>")
 
 
-def _links_by_difference(near: DataFrame) -> DataFrame:
+def _links_by_difference(near: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) among the members of every centre's class, from their differences; the centre itself is a member."""
+    overlap = 2 * (100 + rule.percent)
+    sizes = near.groupBy("c").agg(F.count("*").alias("m"))
+    usual = (
+        near.select("c", F.explode("diff").alias("x")).groupBy("c", "x").agg(F.count("*").alias("k")).where("k > 1")
+        .join(sizes, "c").where("2 * k > m + 1").groupBy("c").agg(F.collect_list("x").alias("usual"))
+    )
     centres = near.groupBy("c").agg(F.max("cn").alias("n")).select("c", F.col("c").alias("sid"), "n", F.lit(0).cast("long").alias("size"), F.array().cast("array<long>").alias("diff"))
-    members = near.select("c", "sid", "n", "size", "diff").unionByName(centres).withColumn("k", 19 * F.col("size") - F.col("n"))
+    members = (
+        near.select("c", "sid", "n", "size", "diff").unionByName(centres).join(usual, "c", "left")
+        .withColumn("diff", F.when(F.col("usual").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "usual"), F.array_except("usual", "diff"))))
+        .withColumn("size", F.size("diff").cast("long")).drop("usual")
+        .withColumn("k", (100 + rule.percent) * F.col("size") - (100 - rule.percent) * F.col("n"))
+    )
     least = members.groupBy("c").agg(F.min("k").alias("low"), F.min_by("sid", F.struct("k", "sid")).alias("hub"))
     placed = members.join(least, "c")
     plain = placed.where("k + low <= 0 and sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     rest = (
         placed.withColumn("zero", F.expr("k + low <= 0"))
-        .withColumn("required", F.greatest(F.lit(1), F.ceil((F.col("k") + F.col("low")) / 38)))
+        .withColumn("required", F.greatest(F.lit(1), F.ceil((F.col("k") + F.col("low")) / overlap)))
         .where("size >= required")
         .select("c", "sid", "size", "k", "zero", F.posexplode(F.expr("slice(diff, 1, cast(size - required + 1 as int))")).alias("pos", "h"))
     )
     x, y = (rest.select("c", "h", *[F.col(f).alias(f"{f}_{s}") for f in ("sid", "size", "k", "zero", "pos")]) for s in "ab")
     pairs = (
         x.join(y, ["c", "h"])
-        .where("sid_a < sid_b and not (zero_a and zero_b) and 38 * least(size_a - pos_a, size_b - pos_b) >= k_a + k_b")
+        .where(f"sid_a < sid_b and not (zero_a and zero_b) and {overlap} * least(size_a - pos_a, size_b - pos_b) >= k_a + k_b")
         .select("c", "sid_a", "sid_b").distinct()
     )
     side = lambda s: members.select("c", F.col("sid").alias(f"sid_{s}"), F.col("k").alias(f"k_{s}"), F.col("diff").alias(f"diff_{s}"))
     checked = (
         pairs.join(side("a"), ["c", "sid_a"]).join(side("b"), ["c", "sid_b"])
-        .where("k_a + k_b <= 38 * size(array_intersect(diff_a, diff_b))")
+        .where(f"k_a + k_b <= {overlap} * size(array_intersect(diff_a, diff_b))")
         .select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
     )
     return plain.unionByName(checked)
 
 
-def links(docs: DataFrame, summaries: DataFrame) -> DataFrame:
+def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between classes, enough to connect whatever is connected by links; each is a true link."""
-    sizes = summaries.where("slice is null and n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.max("hist").alias("hist"))
-    lists = _short_lists(docs, _rarity(summaries)).distinct()
+    sizes = cut(
+        summaries.where("slice is null and n > 0").groupBy("sid")
+        .agg(F.max("n").alias("n"), F.max("hist").alias("hist"), F.min("doc_id").alias("doc"))
+    )
+    # the filter that the joins imply stands here, so that both uses of the lists have one plan and one exchange
+    lists = _short_lists(docs, _rarity(summaries), rule).where("h is not null and sid is not null").distinct()
     shared = lists.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    active = cut(lists.join(shared, "h"))
-    found = []
-    for r in range(ROUNDS + 1):
-        if r < ROUNDS:
-            centre = active.groupBy("h").agg(F.min("sid").alias("c"), F.count("*").alias("k")).where("k > 1").select("h", "c")
-            pairs = active.join(centre, "h").where("sid <> c").select("c", "sid").distinct()
-            pairs = cut(_within(pairs, sizes, FAR))
-        else:
-            other = active.select("h", F.col("sid").alias("c"))
-            pairs = active.join(other, "h").where("c < sid").select("c", "sid").distinct()
-            pairs = cut(_within(pairs, sizes, 0.1))
-        if pairs.isEmpty() and r == ROUNDS:
-            break
+    every = cut(lists.join(shared, "h").join(sizes.select("sid", "n"), "sid").select("h", "sid", "n"))
+    ratio = f"least(n, m) >= {rule.percent / 100} * greatest(n, m) - 1e-6"
+
+    def in_lists(members: DataFrame) -> DataFrame:
+        """Pairs (c, sid, n) of members of one list whose sizes allow a link."""
+        other = members.select("h", F.col("sid").alias("c"), F.col("n").alias("m"))
+        return members.join(other, "h").where(f"c < sid and {ratio}").select("c", "sid", "n").distinct()
+
+    def probed(pairs: DataFrame, distance: float) -> DataFrame:
+        pairs = cut(_within(pairs, sizes, distance))
         ids = pairs.select("c").unionByName(pairs.select(F.col("sid").alias("c"))).distinct().withColumnRenamed("c", "sid")
-        sets = _candidate_sets(docs, ids)
-        probed = cut(_probe(pairs, sets))
-        if r == ROUNDS:
-            found.append(probed.where("n + cn >= 19 * size").select(F.col("c").alias("a"), F.col("sid").alias("b")))
+        sets = cut(_candidate_sets(docs, ids.join(sizes.select("sid", "doc"), "sid"), rule))
+        return cut(_probe(pairs, sets, rule))
+
+    def true_links(p: DataFrame) -> DataFrame:
+        return p.where(f"{100 - rule.percent} * (n + cn) >= {100 + rule.percent} * size").select(F.col("c").alias("a"), F.col("sid").alias("b"))
+
+    numbers = every.groupBy("h").agg(F.count("*").alias("k"))
+    few = numbers.where(F.col("k") <= SMALL).select("h")
+    direct = in_lists(every.join(few, "h"))
+    active = cut(every.join(numbers.where(F.col("k") > SMALL).select("h"), "h"))
+    found = []
+    for _ in range(ROUNDS):
+        if active.isEmpty():
             break
-        near = probed.where("diff is not null")
-        found.append(_links_by_difference(near))
-        covered = probed.where(f"size <= {NEAR / (2 - NEAR)} * (n + cn)").select("c", "sid")
+        centre = active.groupBy("h").agg(F.min("sid").alias("c"))
+        pairs = active.join(centre, "h").where("sid <> c").select("c", "sid", "n").distinct()
+        measured = probed(pairs, rule.far)
+        found.append(_links_by_difference(measured.where("diff is not null"), rule))
+        covered = measured.where(f"size <= {rule.near / (2 - rule.near)} * (n + cn)").select("c", "sid")
         done = active.join(centre, "h").join(covered, ["c", "sid"], "left_semi").select("h", "sid")
         done = done.unionByName(centre.select("h", F.col("c").alias("sid")))
         left = active.join(done, ["h", "sid"], "left_anti")
         many = left.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         active = cut(left.join(many, "h"))
-        if active.isEmpty():
-            break
+    if not active.isEmpty():
+        direct = direct.unionByName(in_lists(active)).distinct()
+    found.append(true_links(probed(direct, rule.apart)))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -344,25 +416,54 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label.select("sid", F.col("doc").alias("component_id"))
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``.
-
-    Null and wordless texts have no shingles and link with nothing; texts of one or two words have one.  Repeated rows
-    and equal texts are members of one class.  An empty table gives an empty result.  Extra columns are ignored.
-    """
-    own = id_text(docs, id_col, text_col)
-    summaries = cut(own.mapInArrow(_summaries, "doc_id long, n long, sid long, hist binary, slice int, counts binary"))
-    rows = summaries.where("slice is null").select("doc_id", "n", "sid")
+def _classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
+    own = id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
+    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
+    summaries = cut(own.mapInArrow(lambda it: _summaries(it, rule), "doc_id long, row long, n long, sid long, hist binary, slice int, counts binary"))
+    rows = summaries.where("slice is null").select("doc_id", "row", "n", "sid")
     groups = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("k"))
-    linked = components(links(own, summaries), groups.select("sid", "doc"))
-    # only classes of several rows or with links are joined; each goes out in SALT copies, so that a large one is spread
+    linked = components(links(own, summaries, rule), groups.select("sid", "doc"))
+    # only classes of several rows or with links are joined; each goes out in copies, so that a large one is spread
     salt = 16
     of = (
         groups.join(linked, "sid", "left").where("k > 1 or component_id is not null")
         .select("sid", F.coalesce("component_id", "doc").alias("component_id"), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
     )
     return (
-        rows.withColumn("salt", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(salt)).cast("int")))
+        rows.withColumn("salt", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id", "row"), F.lit(salt)).cast("int")))
         .join(of, ["sid", "salt"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "row", "sid", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    )
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``.
+
+    Null and wordless texts have no shingles and link with nothing; texts of fewer words than a shingle have one.
+    Repeated rows and equal texts are members of one class.  An empty table gives an empty result.  Extra columns are
+    ignored.
+    """
+    return _classes(docs, id_col, text_col, Rule(words, percent)).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with the document of the least id of each class; columns as they were.
+
+    Wordless and null texts link with nothing and stay.  Of rows equal in id and text one stays, unless wordless.
+    """
+    own = cut(_classes(docs, id_col, text_col, Rule(words, percent)))
+    chosen = (
+        own.where("n_shingles > 0 and component_id <=> doc_id").groupBy("doc_id", "sid")
+        .agg(F.min("row").alias("__row"), F.count("*").alias("__k")).select(F.col("doc_id").alias("__id"), "__row", "__k")
     )
+    bare = own.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.lit(1).cast("long").alias("__k")).distinct()
+    kept = chosen.unionByName(bare)
+    match = column(docs, id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(column(docs, text_col).cast("string")) == F.col("__row"))
+    rows = docs.join(kept, match)
+    if chosen.where("__k > 1").isEmpty():
+        return rows.select(*[column(docs, c) for c in docs.columns])
+    # rows that come several times are numbered by id and text; the others keep out of it
+    order = Window.partitionBy("__id", "__row").orderBy("__row")
+    many = rows.where("__k > 1").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
+    every = rows.where("__k = 1").unionByName(many)
+    return every.drop("__id", "__row", "__k")

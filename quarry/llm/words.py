@@ -153,13 +153,13 @@ def sequence_hash(h: np.ndarray) -> int:
 
 
 def per_batch(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows and about 8 MB, so that numpy's intermediates stay small."""
+    """Slices of at most ``rows`` rows and about 2 MB, so that numpy's intermediates stay small."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text))
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0), np.int64)
         total, at = np.cumsum(sizes), 0
         while at < len(batch):
-            limit = (total[at - 1] if at else 0) + (8 << 20)
+            limit = (total[at - 1] if at else 0) + (2 << 20)
             to = min(at + rows, max(at + 1, int(np.searchsorted(total, limit, "right"))))
             yield batch.slice(at, to - at)
             at = to
