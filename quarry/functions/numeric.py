@@ -56,28 +56,27 @@ def grade(score: Column) -> Column:
 
 def cvss31(vector: Column) -> Column:
     """The base score of a CVSS 3.0 or 3.1 vector, null if a metric is missing (N6); weights as the standard has them."""
-    m = F.str_to_map(F.regexp_replace(vector, "^CVSS:3\\.[01]/", ""), F.lit("/"), F.lit(":"))
-
-    def weight(key: str, values: dict[str, float]) -> Column:
-        out = F.lit(None).cast("double")
-        for k, v in values.items():
-            out = F.when(m[key] == k, F.lit(v)).otherwise(out)
-        return out
-
-    changed = m["S"] == "C"
-    known = m["S"].isin("C", "U")
-    av = weight("AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2})
-    ac = weight("AC", {"L": 0.77, "H": 0.44})
-    pr = F.when(changed, weight("PR", {"N": 0.85, "L": 0.68, "H": 0.5})).otherwise(weight("PR", {"N": 0.85, "L": 0.62, "H": 0.27}))
-    ui = weight("UI", {"N": 0.85, "R": 0.62})
-    c, i, a = (weight(k, {"H": 0.56, "L": 0.22, "N": 0.0}) for k in "CIA")
-    iss = 1 - (1 - c) * (1 - i) * (1 - a)
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    exploit = 8.22 * av * ac * pr * ui
-    raw = F.least(F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit), F.lit(10.0))
-    whole = F.round(raw * 100_000).cast("long")  # the standard's way to round up without float noise
-    up = F.when(F.pmod(whole, F.lit(10_000)) == 0, whole / 100_000).otherwise((F.floor(whole / 10_000) + 1) / 10)
-    return F.when(known & exploit.isNotNull() & iss.isNotNull(), F.when(impact <= 0, 0.0).otherwise(up))
+    from .text import let
+
+    def weight(m: Column, key: str, values: dict[str, float]) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), m[key])
+
+    def parts(m: Column) -> Column:
+        changed = m["S"] == "C"
+        pr = F.when(changed, weight(m, "PR", {"N": 0.85, "L": 0.68, "H": 0.5})).otherwise(weight(m, "PR", {"N": 0.85, "L": 0.62, "H": 0.27}))
+        exploit = 8.22 * weight(m, "AV", {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}) * weight(m, "AC", {"L": 0.77, "H": 0.44}) * pr * weight(m, "UI", {"N": 0.85, "R": 0.62})
+        c, i, a = (1 - weight(m, k, {"H": 0.56, "L": 0.22, "N": 0.0}) for k in "CIA")
+        known = m["S"].isin("C", "U") & (exploit + c + i + a).isNotNull()
+        return F.when(known, F.struct(changed.alias("changed"), exploit.alias("exploit"), (1 - c * i * a).alias("iss")))
+
+    def whole(p: Column) -> Column:
+        impact = F.when(p["changed"], 7.52 * (p["iss"] - 0.029) - 3.25 * F.pow(p["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * p["iss"])
+        return let(impact, lambda x: F.when(x <= 0, F.lit(0).cast("long")).otherwise(F.round(F.least(F.lit(10.0), F.when(p["changed"], 1.08).otherwise(1.0) * (x + p["exploit"])) * 100_000).cast("long")))
+
+    # rounded up to a tenth by whole numbers, as the standard does it
+    up = lambda n: F.when(F.pmod(n, F.lit(10_000)) == 0, n / 100_000).otherwise((F.floor(n / 10_000) + 1) / 10)
+    metrics = F.str_to_map(F.regexp_replace(vector, "^CVSS:3\\.[01]/", ""), F.lit("/"), F.lit(":"))
+    return let(metrics, lambda m: let(parts(m), lambda p: F.when(p.isNotNull(), let(whole(p), up))))
 
 
 def severity_of_score(score: Column) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-MODULES = ["text", "relational", "scalars", "filtering"]
+MODULES = ["text", "relational", "scalars", "filtering", "flows"]
 
 
 def _load() -> None:
