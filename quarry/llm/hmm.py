@@ -116,14 +116,16 @@ class Vocabulary:
     def n_classes(self) -> int:
         return TAIL + TAILS + HEAD
 
-    def look_up(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1: not in the dictionary) and class of each word."""
+    def look_up(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count (-1: not in the dictionary), class and place in the dictionary of each word."""
         if not len(self.hashes):
-            return np.full(len(h), -1), TAIL + tail
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = self.hashes[at] == h
+            return np.full(len(h), -1), TAIL + tail, np.zeros(len(h), np.int64)
+        u, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, u), len(self.hashes) - 1)
+        found = (self.hashes[at] == u)[back]
+        at = at[back]
         kind = self.classes[at]
-        return np.where(found, self.counts[at], -1), np.where(found & (kind >= 0), kind, TAIL + tail)
+        return np.where(found, self.counts[at], -1), np.where(found & (kind >= 0), kind, TAIL + tail), at
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -262,39 +264,79 @@ def forward(classes: list[np.ndarray], p: Parameters, expect: bool = False):
     return log, start, moves, emits
 
 
-def _groups(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[tuple]:
-    for batch in w.per_batch(batches, rows=1024):
+def _encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Each text's classes as 16-bit numbers, the sums over its dictionary words, and its other words with their counts."""
+    rare_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32()), ("tail", pa.int32())]))
+    below = v.tokens + SMOOTH * (v.types + 1)
+    end = np.log10((v.ends + SMOOTH) / below)
+    base_of = np.log10((v.counts + SMOOTH) / below)
+    for batch in w.per_batch(batches):
         h, tail, first = _tokens(batch)
-        count, kind = v.look_up(h, tail)
-        yield batch, h, tail, first, count, kind
-
-
-def _sequences(kind: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    return [np.append(kind[a:b], END) for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
-def train(own: DataFrame, v: Vocabulary, iterations: int = ITERATIONS) -> Parameters:
-    """Baum-Welch; each iteration is a pass over all training texts."""
-    sc = own.sparkSession.sparkContext
-    words, p = sc.broadcast(v), initial(v)
-    rows = -(-v.n_classes // SLICES)
+        count, kind, at = v.look_up(h, tail)
+        found = count >= 0
+        base = np.where(found, base_of[at] if len(base_of) else 0.0, 0.0)
+        # of a word of a tail class, its probability there
+        in_tail = np.flatnonzero(found & (kind < TAIL + TAILS))
+        own = np.zeros(len(h))
+        own[in_tail] = np.log10((count[in_tail] + SMOOTH) / (v.tail_tokens + SMOOTH * (v.tail_types + 1))[tail[in_tail]])
+        sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (base, own)]
+        base, own = (x[first[1:]] - x[first[:-1]] for x in sums)
+        known = np.concatenate([[0], np.cumsum(found)])
+        known = known[first[1:]] - known[first[:-1]] + (v.ends > 0)
+        rare, classes, kind = [], [], kind.astype(np.uint16)
+        missing = np.flatnonzero(~found)
+        cuts = np.searchsorted(missing, first)
+        for i in range(len(batch)):
+            classes.append(kind[first[i] : first[i + 1]].tobytes())
+            m = missing[cuts[i] : cuts[i + 1]]
+            u, j, n = np.unique(h[m], return_index=True, return_counts=True)
+            rare.append([{"h": x, "n": y, "tail": z} for x, y, z in zip(u.tolist(), n.tolist(), tail[m[j]].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), batch.column(2), pa.array(~_is_training(batch.column(0))), pa.array(np.diff(first) + 1, pa.int64()), pa.array(known, pa.int64()),
+                pa.array(base + end, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, rare_type), pa.array(classes, pa.binary()),
+            ],
+            names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "own", "rare", "classes"],
+        )
+
+
+ENCODED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, own double, rare array<struct<h:long,n:int,tail:int>>, classes binary"
+#: Texts and tokens that the recursion takes at a time.
+TEXTS, TOKENS = 1024, 400_000
+
+
+def _sequences(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(first row, class sequences with the end) of groups of texts."""
+    group: list[np.ndarray] = []
+    at = size = 0
+    for i, x in enumerate(column.to_pylist()):
+        seq = np.append(np.frombuffer(x, np.uint16).astype(np.int64), END)
+        if group and (len(group) == TEXTS or size + len(seq) > TOKENS):
+            yield at, group
+            at, group, size = i, [], 0
+        group.append(seq)
+        size += len(seq)
+    if group:
+        yield at, group
+
+
+def train(encoded: DataFrame, v: Vocabulary, iterations: int = ITERATIONS) -> Parameters:
+    """Baum-Welch over the classes of all training texts; each iteration is a pass over them."""
+    sc = encoded.sparkSession.sparkContext
+    p, n_classes = initial(v), v.n_classes
+    own = encoded.where("not held_out").select("classes")
 
     for _ in range(iterations):
         shared = sc.broadcast(p)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            voc, par = words.value, shared.value
-            start, moves, emits, some = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((voc.n_classes, STATES)), False
-
-            def training() -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    yield batch.filter(pa.array(_is_training(batch.column(0))))
-
-            for batch, _, _, first, _, kind in _groups(training(), voc):
-                if not len(batch):
-                    continue
-                _, s, m, e = forward(_sequences(kind, first), par, expect=True)
-                start, moves, emits, some = start + s, moves + m, emits + e, True
+            par = shared.value
+            start, moves, emits, some = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((n_classes, STATES)), False
+            for batch in batches:
+                for _, group in _sequences(batch.column(0)):
+                    _, s, m, e = forward(group, par, expect=True)
+                    start, moves, some = start + s, moves + m, True
+                    emits += e
             if some:
                 parts = [x.astype(np.float64).tobytes() for x in np.array_split(emits, SLICES)] + [np.concatenate([start, moves.ravel()]).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([zlib.compress(x, 1) for x in parts])], names=["slice", "sums"])
@@ -313,13 +355,9 @@ def train(own: DataFrame, v: Vocabulary, iterations: int = ITERATIONS) -> Parame
         emits = np.concatenate([got[i] for i in range(SLICES)]).reshape(-1, STATES) + SMOOTH / STATES
         start, moves = got[SLICES][:STATES] + 1e-3, got[SLICES][STATES:].reshape(STATES, STATES) + 1e-3
         p = Parameters(start / start.sum(), moves / moves.sum(1)[:, None], emits / emits.sum(0))
-    del rows
     return p
 
 
-SCORED = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,n:int,tail:int>>"
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
@@ -330,47 +368,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
     counts = cut(word_counts(own))
     v = vocabulary(counts)
-    p = train(own, v)
     sc = own.sparkSession.sparkContext
-    words, shared = sc.broadcast(v), sc.broadcast(p)
-    ln10 = np.log(10.0)
+    words = sc.broadcast(v)
+    encoded = cut(own.mapInArrow(lambda batches: _encoded(batches, words.value), ENCODED))
+    shared = sc.broadcast(train(encoded, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, par = words.value, shared.value
-        below = voc.tokens + SMOOTH * (voc.types + 1)
-        end = np.log10((voc.ends + SMOOTH) / below)
-        rare_type = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32()), ("tail", pa.int32())]))
-        for batch, h, tail, first, count, kind in _groups(batches, voc):
-            if not len(batch):
-                continue
-            found = count >= 0
-            base = np.where(found, np.log10((np.maximum(count, 0) + SMOOTH) / below), 0.0)
-            # of a word of a tail class, its probability there
-            in_tail = found & (kind < TAIL + TAILS)
-            own_ = np.where(in_tail, np.log10((np.maximum(count, 0) + SMOOTH) / (voc.tail_tokens[tail] + SMOOTH * (voc.tail_types[tail] + 1))), 0.0)
-            sums = [np.concatenate([[0.0], np.cumsum(x)]) for x in (base, own_)]
-            base, own_ = (s[first[1:]] - s[first[:-1]] for s in sums)
-            known = np.concatenate([[0], np.cumsum(found)])
-            known = known[first[1:]] - known[first[:-1]] + (voc.ends > 0)
-            log = forward(_sequences(kind, first), par) / ln10
-            rare = []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                at = np.flatnonzero(~found[a:b]) + a
-                u, i, n = np.unique(h[at], return_index=True, return_counts=True)
-                rare.append([{"h": x, "n": y, "tail": z} for x, y, z in zip(u.tolist(), n.tolist(), tail[at[i]].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), batch.column(2), pa.array(~_is_training(batch.column(0))), pa.array(np.diff(first) + 1, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(base + end, pa.float64()), pa.array(log + own_, pa.float64()), pa.array(rare, rare_type),
-                ],
-                names=["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
-            )
-
-    scored = cut(own.mapInArrow(run, SCORED))
+        for batch in batches:
+            log = np.zeros(len(batch))
+            for at, group in _sequences(batch.column(7)):
+                log[at : at + len(group)] = forward(group, shared.value)
+            score = log / np.log(10.0) + np.asarray(batch.column(6))
+            names = ["doc_id", "row", "held_out", "n_tokens", "n_known", "base", "score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(score)], names=names)
+
+    scored = encoded.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base", "own", "classes").mapInArrow(
+        run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    )
     # words that aren't in the dictionary get their counts by a join; none of them is frequent
     below = v.tokens + SMOOTH * (v.types + 1)
     tails = F.array(*[F.lit(float(x)) for x in v.tail_tokens + SMOOTH * (v.tail_types + 1)])
-    rare = scored.select("doc_id", "row", F.explode("rare").alias("w")).distinct().select("doc_id", "row", "w.h", F.col("w.n").alias("k"), F.col("w.tail").alias("t"))
+    rare = encoded.select("doc_id", "row", F.explode("rare").alias("w")).distinct().select("doc_id", "row", "w.h", F.col("w.n").alias("k"), F.col("w.tail").alias("t"))
     found = (
         rare.join(counts.where("h is not null").select("h", "n"), "h", "left")
         .groupBy("doc_id", "row").agg(
@@ -380,7 +398,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         ).withColumnsRenamed({"doc_id": "d", "row": "r"})
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.drop("rare").join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select(
+    return scored.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("m")).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"),
     )
