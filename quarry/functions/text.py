@@ -147,8 +147,8 @@ def citations(x: Column) -> Column:
     rows = F.transform(
         zipped,
         lambda z: F.struct(
-            z["0"].alias("path"), F.coalesce(F.expr("null").cast("int"), F.nullif(z["1"], F.lit("")).cast("int"), F.nullif(z["3"], F.lit("")).cast("int")).alias("first"),
-            F.nullif(z["2"], F.lit("")).cast("int").alias("last"),
+            z["g0"].alias("path"), F.coalesce(F.expr("null").cast("int"), F.nullif(z["g1"], F.lit("")).cast("int"), F.nullif(z["g3"], F.lit("")).cast("int")).alias("first"),
+            F.nullif(z["g2"], F.lit("")).cast("int").alias("last"),
         ),
     )
     keep = lambda r: ~r["path"].rlike("^(?:[vV]?[0-9.]+[a-z0-9]*|e\\.g|i\\.e|etc|vs)$") & (F.contains(r["path"], F.lit("/")) | r["first"].isNotNull())
