@@ -25,8 +25,11 @@ def summary(steps: DataFrame, total: int) -> DataFrame:
     )
 
 
-def track(steps: DataFrame, total: int, silence_ms: int = 3_600_000) -> DataFrame:
-    """The same for a stream, with state by run; a run that is silent for too long is reported stale and forgotten."""
+def track(steps: DataFrame, total: int, silence_ms: int | None = 3_600_000) -> DataFrame:
+    """The same for a stream, with state by run; a run that is silent for too long is reported stale and forgotten.
+
+    Without ``silence_ms`` runs are kept for good, which suits a stream that ends with what is there now.
+    """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,9 +43,11 @@ def track(steps: DataFrame, total: int, silence_ms: int = 3_600_000) -> DataFram
             for step, status in pdf.sort_values(["at", "status"])[["step", "status"]].itertuples(index=False):
                 known[step] = status
         state.update((known,))
-        state.setTimeoutDuration(silence_ms)
+        if silence_ms is not None:
+            state.setTimeoutDuration(silence_ms)
         done = sum(v in DONE for v in known.values())
         name = "failed" if "failed" in known.values() else "completed" if done == total else "running"
         yield pd.DataFrame([(key[0], done, int(100 * done / total + 0.5), name)], columns=["run_id", "done", "percent", "state"])
 
-    return steps.groupBy("run_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if silence_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return steps.groupBy("run_id").applyInPandasWithState(update, OUT, STATE, "update", timeout)

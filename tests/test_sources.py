@@ -241,7 +241,7 @@ def test_progress_of_a_stream(spark, tmp_path):
     assert set(map(tuple, progress.summary(df, 2).collect())) == want
     df.coalesce(1).write.parquet(str(tmp_path / "s.parquet"))
     stream = runner.read_parquet_stream(spark, str(tmp_path), "s.parquet")
-    assert set(map(tuple, runner.settle(progress.track(stream, 2), "update").collect())) >= want
+    assert set(map(tuple, runner.settle(progress.track(stream, 2, None), "update").collect())) >= want
 
 
 def test_incremental_index(spark, tmp_path):
