@@ -8,7 +8,7 @@ How a link is found, without ever pairing all members of a group of copies:
 
 1. Equal sets are one class (keyed by a digest of the set); only classes go on.
 2. DivideSkip: a set's inverted lists are divided into short and long ones.  The short lists are those of its rarest
-   shingles (by a count sketch of the whole corpus, of fixed size), just so many that every partner must stand in one
+   shingles (by a count sketch of the whole corpus' words, of fixed size), just so many that every partner must stand in one
    of them; they are merged by a sort on the shingle.  The long lists are never read: what they would add is found by
    binary probes of one set in the other.
 3. In short lists of a few members all pairs are looked at, by size, by sketch and then by probing one set in the other.
@@ -42,8 +42,9 @@ from pyspark.sql import functions as F
 from . import words as w
 from .common import column, cut, id_text
 
-#: Counters of the sketch that orders shingles by rarity, and the rows it is moved in.  Its size is fixed: 1 MB where broadcast.
-SKETCH_BITS = 20
+#: Counters of the sketch of word counts that orders shingles by rarity, and the rows it is moved in.  Its size is fixed:
+#: 2 MB where broadcast.  A shingle is as rare as the product of its words' counts is small.
+SKETCH_BITS = 21
 SLICES = 16
 #: A set's sketch has the parity of the number of its hashes in each part; the parts are a power of two, at least LEAST_PARTS
 #: and four to eight for each hash.  Sketches differ in no more bits than the sets in elements.
@@ -82,6 +83,7 @@ class Rule:
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The sorted set of each text."""
     data, offsets = w.buffers(texts)
     starts, _, hashes = w.words(data, offsets, lower=True)
     first = w.word_offsets(starts, offsets)
@@ -95,6 +97,29 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield every[:0]
 
 
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> w.U64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _ranked_sets(texts: pa.Array, k: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The set of each text, and the order of its elements by rarity, the same wherever an element stands."""
+    data, offsets = w.buffers(texts)
+    starts, _, hashes = w.words(data, offsets, lower=True)
+    first = w.word_offsets(starts, offsets)
+    if len(hashes) >= k:
+        every, weight = w.shingles(hashes, k), bits[_counter(hashes)].astype(np.int64)
+        weight = sum(weight[i : len(weight) - k + 1 + i] for i in range(k))
+        order = weight.astype(w.U64) << w.U64(52) | every >> w.U64(12)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= k:
+            s, at = np.unique(every[a : b - k + 1], return_index=True)
+            yield s, order[a : b - k + 1][at]
+        elif b > a:
+            yield np.array([w.sequence_hash(hashes[a:b])], w.U64), np.zeros(1, w.U64)
+        else:
+            yield hashes[:0], hashes[:0]
+
+
 def _digest(s: np.ndarray) -> int:
     """The class of a set: the mixed sum of its mixed members, as a signed 64-bit number."""
     return int(w.mix(np.array([w.mix(s ^ w.U64(0x5851F42D4C957F2D)).sum(dtype=w.U64) + w.U64(len(s))], w.U64)).view(np.int64)[0])
@@ -118,7 +143,7 @@ def _least_difference(a: bytes, b: bytes) -> int:
 
 def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's part of the sketch."""
-    sketch, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "row", "n", "sid", "hist", "slice", "counts"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     some = False
@@ -129,10 +154,9 @@ def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Rec
             n.append(len(s))
             sid.append(d)
             hist.append(_parities(s))
-            if d not in seen:
-                seen.add(d)
-                np.add.at(sketch, (s >> w.U64(64 - SKETCH_BITS)).astype(np.int64), 1)
-                some = True
+        data, offsets = w.buffers(batch.column(1))
+        np.add.at(sketch, _counter(w.words(data, offsets, lower=True)[2]), 1)
+        some = True
         k = len(n)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, [None] * k, [None] * k), types, strict=True)]], names=names)
     if some:
@@ -164,16 +188,15 @@ def _short_lists(docs: DataFrame, rarity: np.ndarray, rule: Rule) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, seen = shared.value, set()
+        bits, seen = shared.value, set()
         for batch in w.per_batch(batches):
             keys, ids = [], []
-            for s in _sets(batch.column(1), rule.words):
+            for s, rank in _ranked_sets(batch.column(1), rule.words, bits):
                 n = len(s)
                 if not n or (d := _digest(s)) in seen:
                     continue
                 seen.add(d)
                 size = rule.short(n)
-                rank = order[(s >> w.U64(64 - SKETCH_BITS)).astype(np.int64)].astype(w.U64) << w.U64(56) | s >> w.U64(8)
                 keys.append(s[np.argpartition(rank, size - 1)[:size]] if size < n else s)
                 ids.append(np.full(len(keys[-1]), d, np.int64))
             if keys:
