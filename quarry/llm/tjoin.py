@@ -51,7 +51,7 @@ SLICES = 16
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-ROUNDS = 3
+ROUNDS = 2
 NEAR = 0.4
 #: Members of a centre's class that are probed in one group.
 CHUNK = 256
