@@ -131,6 +131,14 @@ def _parities(s: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(parities: bytes) -> np.ndarray:
+    """A sketch folded to LEAST_PARTS bits, as numbers of 64 bits."""
+    x = np.frombuffer(parities, np.uint8)
+    while len(x) > LEAST_PARTS // 8:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.int64)
+
+
 def _least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference of two sets, from their sketches; the longer one is folded."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -144,25 +152,26 @@ def _least_difference(a: bytes, b: bytes) -> int:
 def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["doc_id", "row", "n", "sid", "hist", "slice", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    names = ["doc_id", "row", "n", "sid", "hist", "fold", "slice", "counts"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
     some = False
     for batch in w.per_batch(batches):
-        n, sid, hist = [], [], []
+        n, sid, hist, fold = [], [], [], []
         for s in _sets(batch.column(1), rule.words):
             d = _digest(s)
             n.append(len(s))
             sid.append(d)
             hist.append(_parities(s))
+            fold.append(_folded(hist[-1]).tolist())
         data, offsets = w.buffers(batch.column(1))
         np.add.at(sketch, _counter(w.words(data, offsets, lower=True)[2]), 1)
         some = True
         k = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, [None] * k, [None] * k), types, strict=True)]], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, fold, [None] * k, [None] * k), types, strict=True)]], names=names)
     if some:
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
         none = [None] * SLICES
-        columns = zip((none, none, none, none, none, list(range(SLICES)), parts), (pa.int64(), pa.int64(), *types), strict=True)
+        columns = zip((none, none, none, none, none, none, list(range(SLICES)), parts), (pa.int64(), pa.int64(), *types), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=names)
 
 
@@ -347,35 +356,42 @@ def _links_by_difference(near: DataFrame, rule: Rule) -> DataFrame:
     )
     x, y = (rest.select("c", "h", *[F.col(f).alias(f"{f}_{s}") for f in ("sid", "size", "k", "zero", "pos")]) for s in "ab")
     pairs = (
-        x.join(y, ["c", "h"])
+        x.join(y.hint("merge"), ["c", "h"])
         .where(f"sid_a < sid_b and not (zero_a and zero_b) and {overlap} * least(size_a - pos_a, size_b - pos_b) >= k_a + k_b")
         .select("c", "sid_a", "sid_b").distinct()
     )
     side = lambda s: members.select("c", F.col("sid").alias(f"sid_{s}"), F.col("k").alias(f"k_{s}"), F.col("diff").alias(f"diff_{s}"))
     checked = (
-        pairs.join(side("a"), ["c", "sid_a"]).join(side("b"), ["c", "sid_b"])
+        pairs.join(side("a").hint("merge"), ["c", "sid_a"]).join(side("b").hint("merge"), ["c", "sid_b"])
         .where(f"k_a + k_b <= {overlap} * size(array_intersect(diff_a, diff_b))")
         .select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
     )
     return plain.unionByName(checked)
 
 
+# Joins on two values are hinted to be by sort and merge: a broadcast relation of several values takes 64 MB of the driver
+# and of every executor, however small it is.
+
+
 def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between classes, enough to connect whatever is connected by links; each is a true link."""
     sizes = cut(
         summaries.where("slice is null and n > 0").groupBy("sid")
-        .agg(F.max("n").alias("n"), F.max("hist").alias("hist"), F.min("doc_id").alias("doc"))
+        .agg(F.max("n").alias("n"), F.max("hist").alias("hist"), F.min("doc_id").alias("doc"), *[F.max(F.col("fold")[i]).alias(f"f{i}") for i in range(LEAST_PARTS // 64)])
     )
     # the filter that the joins imply stands here, so that both uses of the lists have one plan and one exchange
     lists = _short_lists(docs, _rarity(summaries), rule).where("h is not null and sid is not null").distinct()
     shared = lists.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    every = cut(lists.join(shared, "h").join(sizes.select("sid", "n"), "sid").select("h", "sid", "n"))
-    ratio = f"least(n, m) >= {rule.percent / 100} * greatest(n, m) - 1e-6"
+    folds = [f"f{i}" for i in range(LEAST_PARTS // 64)]
+    every = cut(lists.join(shared, "h").join(sizes.select("sid", "n", *folds), "sid").select("h", "sid", "n", *folds))
+    ratio = f"least(n, m) >= {rule.percent / 100}D * greatest(n, m) - 1e-6D"
+    bits = " + ".join(f"bit_count({f} ^ g{f})" for f in folds)
+    alike = f"{100 + rule.percent} * ({bits}) <= {100 - rule.percent} * (n + m)"
 
     def in_lists(members: DataFrame) -> DataFrame:
-        """Pairs (c, sid, n) of members of one list whose sizes allow a link."""
-        other = members.select("h", F.col("sid").alias("c"), F.col("n").alias("m"))
-        return members.join(other, "h").where(f"c < sid and {ratio}").select("c", "sid", "n").distinct()
+        """Pairs (c, sid, n) of members of one list whose sizes and folded sketches allow a link."""
+        other = members.select("h", F.col("sid").alias("c"), F.col("n").alias("m"), *[F.col(f).alias(f"g{f}") for f in folds])
+        return members.join(other, "h").where(f"c < sid and {ratio} and {alike}").select("c", "sid", "n").distinct()
 
     def probed(pairs: DataFrame, distance: float) -> DataFrame:
         pairs = cut(_within(pairs, sizes, distance))
@@ -399,9 +415,9 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
         measured = probed(pairs, rule.far)
         found.append(_links_by_difference(measured.where("diff is not null"), rule))
         covered = measured.where(f"size <= {rule.near / (2 - rule.near)} * (n + cn)").select("c", "sid")
-        done = active.join(centre, "h").join(covered, ["c", "sid"], "left_semi").select("h", "sid")
+        done = active.join(centre, "h").join(covered.hint("merge"), ["c", "sid"], "left_semi").select("h", "sid")
         done = done.unionByName(centre.select("h", F.col("c").alias("sid")))
-        left = active.join(done, ["h", "sid"], "left_anti")
+        left = active.join(done.hint("merge"), ["h", "sid"], "left_anti")
         many = left.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         active = cut(left.join(many, "h"))
     if not active.isEmpty():
@@ -442,7 +458,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     own = id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
-    summaries = cut(own.mapInArrow(lambda it: _summaries(it, rule), "doc_id long, row long, n long, sid long, hist binary, slice int, counts binary"))
+    summaries = cut(own.mapInArrow(lambda it: _summaries(it, rule), "doc_id long, row long, n long, sid long, hist binary, fold array<long>, slice int, counts binary"))
     rows = summaries.where("slice is null").select("doc_id", "row", "n", "sid")
     groups = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("k"))
     linked = components(links(own, summaries, rule), groups.select("sid", "doc"))
@@ -454,7 +470,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFra
     )
     return (
         rows.withColumn("salt", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id", "row"), F.lit(salt)).cast("int")))
-        .join(of, ["sid", "salt"], "left")
+        .join(of.hint("merge"), ["sid", "salt"], "left")
         .select("doc_id", "row", "sid", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     )
 
@@ -481,12 +497,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     )
     bare = own.where("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.lit(1).cast("long").alias("__k")).distinct()
     kept = chosen.unionByName(bare)
-    match = column(docs, id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(column(docs, text_col).cast("string")) == F.col("__row"))
-    rows = docs.join(kept, match)
+    # the document goes along as one value, so that none of its columns' names can clash
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("d"), column(docs, id_col).cast("long").alias("i"), F.xxhash64(column(docs, text_col).cast("string")).alias("x"))
+    rows = rows.join(kept.hint("merge"), F.col("i").eqNullSafe(F.col("__id")) & (F.col("x") == F.col("__row")))
     if chosen.where("__k > 1").isEmpty():
-        return rows.select(*[column(docs, c) for c in docs.columns])
+        return rows.select("d.*")
     # rows that come several times are numbered by id and text; the others keep out of it
     order = Window.partitionBy("__id", "__row").orderBy("__row")
     many = rows.where("__k > 1").withColumn("__nth", F.row_number().over(order)).where("__nth = 1").drop("__nth")
-    every = rows.where("__k = 1").unionByName(many)
-    return every.drop("__id", "__row", "__k")
+    return rows.where("__k = 1").unionByName(many).select("d.*")
