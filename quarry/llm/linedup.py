@@ -8,9 +8,10 @@ known by a 64-bit hash and their length.
 The join: each distinct line is split into TAU + 1 even segments.  Of a line within TAU edits at least one segment
 stands unchanged in the other line, near its own place; the places are those of the multi-match-aware bounds, by length
 and segment.  Segments of all lines are the index, by hashes of length, number and text; substrings are probed against
-it, after a bit map of the index (of fixed size) has let them through.  Candidate pairs are freed of the ends
-that they share, and the rest is verified by a banded bit-parallel automaton: a bit for each of the 2 TAU + 1
-diagonals, a group of bits for each number of edits.
+it, after a filter of the index (of fixed size) has let them through.  Lines that share a key are paired if their counts of
+characters, in eight classes, differ by no more than TAU edits can make.  Pairs are freed of the ends that they
+share, and the rest is verified by a banded bit-parallel automaton: a bit for each of the 2 TAU + 1 diagonals, a group
+of bits for each number of edits.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from .common import column, cut
 
 TAU = 2
 LEAST = 24
-#: Bits of the map of the index, in words of 64: a table of 2 ** 19 rows at most goes to every task.
-MAP_BITS = 25
+#: Words of the filter of the index, of 64 bits each, with three bits for a key: a table of so many rows at most, 16 MB,
+#: goes to every task.
+FILTER_WORDS = 1 << 20
+#: Fixed classes of characters, by code points modulo 8.
+CLASSES = 8
 _WORD = "[^\\x20\\x09-\\x0D]"
 _PLACES = 1 << 31
 
@@ -45,7 +49,7 @@ def _keys(tau: int) -> tuple[list[str], list[str]]:
         for i, (start, size) in enumerate(_segments(length, tau), 1):
             left, right = i - 1, tau + 1 - i
             for move in range(max(-left, shift - right), min(left, shift + right) + 1):
-                key = f"xxhash64({i}, {length}, substring(line, cast({start} + {move} as int), cast({size} as int)))"
+                key = f"xxhash64({i}, {length}, substring(code, cast(4 * ({start} + {move}) - 3 as int), cast(4 * {size} as int)))"
                 (own if shift == 0 and move == 0 else probes).append(key)
     return own, probes
 
@@ -99,12 +103,29 @@ def within_edits(x: str, y: str, tau: int = TAU) -> Column:
 
 
 def _passing(df: DataFrame, key: str, of: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in the only column of ``of``, by a bit map of fixed size."""
-    place = lambda c: f"pmod({c}, {1 << MAP_BITS})"
+    """Rows of ``df`` whose ``key`` may be in the only column of ``of``, by a blocked Bloom filter of fixed size."""
+    at = lambda c: f"pmod({c}, {FILTER_WORDS})"
+    bit = lambda c, k: f"shiftleft(1L, cast(shiftrightunsigned({c}, {20 + 6 * k}) & 63 as int))"
+    mask = lambda c: " | ".join(bit(c, k) for k in range(3))
     name = of.columns[0]
-    words = of.selectExpr(f"shiftright({place(name)}, 6) as __at", f"shiftleft(1L, cast({place(name)} & 63 as int)) as __bit").groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
-    kept = df.withColumn("__at", F.expr(f"shiftright({place(key)}, 6)")).join(F.broadcast(words), "__at")
-    return kept.where(f"getbit(__bits, cast({place(key)} & 63 as int)) = 1").drop("__at", "__bits")
+    words = of.selectExpr(f"{at(name)} as __at", f"{mask(name)} as __bit").groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
+    # the condition is part of the join, so that rows that fail it are never made
+    found = df.withColumn("__key_at", F.expr(at(key))).withColumn("__mask", F.expr(mask(key)))
+    return found.join(F.broadcast(words), F.expr("__key_at = __at and (__bits & __mask) = __mask")).drop("__at", "__bits", "__key_at", "__mask")
+
+
+def _char_counts(line: str) -> str:
+    """SQL for the counts of a line's characters by class, 8 bits each, no more than 127; edits make no greater difference."""
+    return (
+        f"aggregate(transform(regexp_extract_all({line}, '(?s).', 0), c -> pmod(ascii(c), {CLASSES}) * 8), 0L, "
+        f"(s, k) -> if((shiftrightunsigned(s, k) & 255) = 127, s, s + shiftleft(1L, k)))"
+    )
+
+
+def _class_difference(a: str, b: str) -> str:
+    """SQL for the sum of the differences of two packed counts."""
+    lane = lambda c, k: f"(shiftrightunsigned({c}, {8 * k}) & 255)"
+    return " + ".join(f"abs({lane(a, k)} - {lane(b, k)})" for k in range(CLASSES))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -124,24 +145,28 @@ def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(h, occ): the distinct lines that stay, with their first occurrence."""
     lines = _lines(docs, id_col, text_col)
     own, probes = _keys(tau)
-    keyed = lines.select("h", "n", "occ", *[F.when(F.col("n") >= least, F.expr(k)).alias(f"k{i}") for i, k in enumerate(own + probes)])
+    # code points of four bytes each, so that a substring is found without a walk along the line
+    coded = lines.withColumn("code", F.when(F.col("n") >= least, F.encode("line", "UTF-32")))
+    keyed = coded.select("h", "n", "occ", *[F.when(F.col("code").isNotNull(), F.expr(k)).alias(f"k{i}") for i, k in enumerate(own + probes)])
     names = [f"k{i}" for i in range(len(own + probes))]
     distinct = cut(keyed.groupBy("h", "n").agg(F.min("occ").alias("occ"), *[F.max(c).alias(c) for c in names]))
     long = distinct.where(F.col("n") >= least)
-    index = long.select("h", F.explode(F.array(*names[: len(own)])).alias("key"))
-    probe = _passing(long.select("h", F.explode(F.array(*names[len(own) :])).alias("key")), "key", index.select("key")) if probes else index.limit(0)
-    pairs = cut(
-        index.select("key", F.col("h").alias("a")).join(index.unionByName(probe).select("key", F.col("h").alias("b")), "key")
-        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    index = long.select("h", F.explode(F.array(*names[: len(own)])).alias("key"), F.lit(True).alias("own"))
+    probe = long.select("h", F.explode(F.array(*names[len(own) :])).alias("key"), F.lit(False).alias("own"))
+    rows = index.unionByName(_passing(probe, "key", index.select("key"))).where("key is not null")
+    shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("own").alias("any")).where("a <> b and any").select("key")
+    matched = cut(rows.join(shared, "key", "left_semi"))
+    ids = matched.select("h").distinct()
     firsts = ids.join(distinct.select("h", "occ"), "h")
     texts = _passing(lines.select("h", "occ", "line"), "h", ids).join(firsts, ["h", "occ"]).dropDuplicates(["h"])
-    texts = cut(texts.select("h", "occ", "line"))
+    texts = cut(texts.select("h", "occ", "line", F.length("line").alias("n"), F.expr(_char_counts("line")).alias("sig")))
+    sized = matched.join(texts.select("h", "n", "sig"), "h")
+    left, right = (sized.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("h", "n", "sig", "own")]) for s in "ab")
+    near = f"own_a and h_a <> h_b and (h_a < h_b or not own_b) and abs(n_a - n_b) <= {tau} and {_class_difference('sig_a', 'sig_b')} <= {2 * tau}"
+    pairs = left.where("own_a").join(right, "key").where(near).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
     side = lambda s: texts.select(F.col("h").alias(s), F.col("occ").alias(f"occ_{s}"), F.col("line").alias(f"line_{s}"))
     gone = (
         pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(F.abs(F.length("line_a") - F.length("line_b")) <= tau)
         .where(within_edits("line_a", "line_b", tau))
         .select(F.when(F.col("occ_a") < F.col("occ_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
     )
