@@ -155,7 +155,9 @@ def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probe = long.select("h", F.explode(F.array(*names[len(own) :])).alias("key"), F.lit(False).alias("own"))
     rows = index.unionByName(_passing(probe, "key", index.select("key"))).where("key is not null")
     shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("own").alias("any")).where("a <> b and any").select("key")
-    matched = cut(rows.join(shared, "key", "left_semi"))
+    # few keys are shared; a filter of them keeps the other rows from being moved once more
+    shared = cut(shared)
+    matched = cut(_passing(rows, "key", shared).join(shared, "key", "left_semi"))
     ids = matched.select("h").distinct()
     firsts = ids.join(distinct.select("h", "occ"), "h")
     texts = _passing(lines.select("h", "occ", "line"), "h", ids).join(firsts, ["h", "occ"]).dropDuplicates(["h"])
@@ -187,19 +189,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("__doc").agg(F.collect_list("k").alias("__kept"))
     )
     ident = F.coalesce(column(docs, id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.withColumn("__id", ident).join(kept, F.col("__id") == F.col("__doc"), "left")
-    rows = rows.withColumn("__v", F.struct(F.split(F.col(f"`{text_col}`"), "\n", -1).alias("lines"), F.coalesce("__kept", F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")).alias("kept")))
+    # the document goes along as one value, so that none of its columns' names can clash
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("d"), ident.alias("i"), F.split(column(docs, text_col), "\n", -1).alias("lines"))
+    rows = rows.join(kept, F.col("i") == F.col("__doc"), "left")
+    rows = rows.select("d", F.struct("lines", F.coalesce("__kept", F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")).alias("kept")).alias("v"))
     blank = f"filter(transform(v.lines, (x, i) -> if(x rlike '{_WORD.replace(chr(92), chr(92) * 2)}', null, i)), i -> i is not null)"
     own = "transform(filter(v.kept, k -> xxhash64(get(v.lines, k.pos)) = k.h), k -> k.pos)"
-    text = _let("__v", "v", f"array_join(transform(array_sort(concat({own}, {blank})), i -> get(v.lines, i)), '\\n')")
-    count = _let("__v", "v", f"size({own}) + size({blank})")
-    rows = rows.withColumn("__text", F.expr(f"if(`{text_col}` is null, null, {text})")).withColumn("__n_kept", F.expr(f"if(`{text_col}` is null, 0, {count})"))
+    stay = _let("v", "v", f"named_struct('lines', v.lines, 'at', array_sort(concat({own}, {blank})))")
+    rows = rows.select("d", F.when(F.col("v.lines").isNotNull(), F.expr(stay)).alias("s"))
+    text = F.expr(_let("s", "s", "array_join(transform(s.at, i -> get(s.lines, i)), '\\n')"))
+    rows = rows.select("d", F.when(F.col("s").isNotNull(), text).alias("t"), F.coalesce(F.size("s.lines"), F.lit(0)).alias("n"), F.coalesce(F.size("s.at"), F.lit(0)).alias("m"))
     out = []
     for c in docs.columns:
         if c == text_col:
-            out.append(F.col("__text").alias(c))
+            out.append(F.col("t").alias(c))
         elif c == "n_chars":
-            out.append(F.coalesce(F.length("__text").cast(docs.schema[c].dataType), F.col("`n_chars`")).alias(c))
+            out.append(F.coalesce(F.length("t").cast(docs.schema[c].dataType), F.col("d.`n_chars`")).alias(c))
         else:
-            out.append(F.col(f"`{c}`"))
-    return rows.select(*out, F.coalesce(F.size("__v.lines"), F.lit(0)).alias("__n_lines"), F.col("__n_kept"))
+            out.append(F.col(f"d.`{c}`").alias(c))
+    return rows.select(*out, F.col("n").alias("__n_lines"), F.col("m").alias("__n_kept"))
