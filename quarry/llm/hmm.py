@@ -398,7 +398,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         ).withColumnsRenamed({"doc_id": "d", "row": "r"})
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return scored.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select(
+    return scored.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("m")).cast("long").alias("n_known"), F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b")).alias("base_score"), (F.col("score") + zero("s")).alias("score"),
     )
