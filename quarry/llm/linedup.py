@@ -23,9 +23,10 @@ from .common import column, cut
 
 TAU = 2
 LEAST = 24
-#: Words of the filter of the index, of 64 bits each, with three bits for a key: a table of so many rows at most, 16 MB,
-#: goes to every task.
+#: Words of the filter of the index, of 64 bits each, and bits for a key: a table of so many rows at most, 16 MB, goes to
+#: every task.
 FILTER_WORDS = 1 << 20
+KEY_BITS = 5
 #: Fixed classes of characters, by code points modulo 8.
 CLASSES = 8
 _WORD = "[^\\x20\\x09-\\x0D]"
@@ -106,7 +107,7 @@ def _passing(df: DataFrame, key: str, of: DataFrame) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be in the only column of ``of``, by a blocked Bloom filter of fixed size."""
     at = lambda c: f"pmod({c}, {FILTER_WORDS})"
     bit = lambda c, k: f"shiftleft(1L, cast(shiftrightunsigned({c}, {20 + 6 * k}) & 63 as int))"
-    mask = lambda c: " | ".join(bit(c, k) for k in range(3))
+    mask = lambda c: " | ".join(bit(c, k) for k in range(KEY_BITS))
     name = of.columns[0]
     words = of.selectExpr(f"{at(name)} as __at", f"{mask(name)} as __bit").groupBy("__at").agg(F.bit_or("__bit").alias("__bits"))
     # the condition is part of the join, so that rows that fail it are never made
@@ -190,9 +191,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     ident = F.coalesce(column(docs, id_col).cast("long"), F.lit(-(1 << 63)))
     # the document goes along as one value, so that none of its columns' names can clash
-    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("d"), ident.alias("i"), F.split(column(docs, text_col), "\n", -1).alias("lines"))
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("d"), ident.alias("i"))
     rows = rows.join(kept, F.col("i") == F.col("__doc"), "left")
-    rows = rows.select("d", F.struct("lines", F.coalesce("__kept", F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")).alias("kept")).alias("v"))
+    lines = F.split(F.col(f"d.`{text_col}`"), "\n", -1).alias("lines")  # only now, so that the text is moved once
+    rows = rows.select("d", F.struct(lines, F.coalesce("__kept", F.expr("cast(array() as array<struct<pos:int,h:bigint>>)")).alias("kept")).alias("v"))
     blank = f"filter(transform(v.lines, (x, i) -> if(x rlike '{_WORD.replace(chr(92), chr(92) * 2)}', null, i)), i -> i is not null)"
     own = "transform(filter(v.kept, k -> xxhash64(get(v.lines, k.pos)) = k.h), k -> k.pos)"
     stay = _let("v", "v", f"named_struct('lines', v.lines, 'at', array_sort(concat({own}, {blank})))")
