@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import column
+from .words import trim
 
 MARK = "▁"
 #: Kinds of pieces, and of models, by their numbers in the format.
@@ -263,6 +264,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
 
     if keep:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, round_trip boolean"

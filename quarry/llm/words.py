@@ -7,6 +7,7 @@ the same in every process.  Texts are worked through in pieces of bounded size,
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,14 +153,27 @@ def sequence_hash(h: np.ndarray) -> int:
     return int(x)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: an idle worker of an executor keeps what it has, beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other systems have no such call
+        pass
+
+
 def per_batch(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about 2 MB, so that numpy's intermediates stay small."""
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0), np.int64)
-        total, at = np.cumsum(sizes), 0
-        while at < len(batch):
-            limit = (total[at - 1] if at else 0) + (2 << 20)
-            to = min(at + rows, max(at + 1, int(np.searchsorted(total, limit, "right"))))
-            yield batch.slice(at, to - at)
-            at = to
+    try:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text))
+            sizes = np.asarray(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0), np.int64)
+            total, at = np.cumsum(sizes), 0
+            while at < len(batch):
+                limit = (total[at - 1] if at else 0) + (2 << 20)
+                to = min(at + rows, max(at + 1, int(np.searchsorted(total, limit, "right"))))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        batch = texts = None
+        trim()
