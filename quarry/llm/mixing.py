@@ -67,15 +67,12 @@ def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str)
         .withColumn("_low", F.greatest(F.lit(0).cast("long"), F.col("_mid") - F.col("_wide")))
         .withColumn("_left", F.col(seats) - F.sum("_low").over(own))
     )
-    ranked = near.select(
-        *group, key, votes, "_left", F.explode(F.expr("sequence(_low, _mid + _wide - 1)")).alias("_k")
-    ).withColumn("_rank", F.row_number().over(own.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), key, "_k")))
-    won = ranked.where(f"_rank <= _left and {votes} > 0").groupBy(*group, key).agg(F.count(F.lit(1)).alias("_won"))
-    return (
-        near.join(won, [*group, key], "left")
-        .withColumn("quota", F.col("_low") + F.coalesce("_won", F.lit(0)))
-        .drop("_total", "_rows", "_part", "_mid", "_wide", "_low", "_left", "_won")
-    )
+    # the rows go along with their quotients, so that no join brings them together again
+    tried = near.withColumn("_k", F.explode(F.expr("sequence(_low, _mid + _wide - 1)"))).withColumn(
+        "_rank", F.row_number().over(own.orderBy((F.col(votes) / (2 * F.col("_k") + 1)).desc(), key, "_k"))
+    )
+    won = F.sum(F.expr(f"if(_rank <= _left and {votes} > 0, 1L, 0L)"))
+    return tried.groupBy(*df.columns, "_low").agg(won.alias("_won")).withColumn("quota", F.col("_low") + F.col("_won")).drop("_low", "_won")
 
 
 def mix(
@@ -101,8 +98,9 @@ def mix(
         .select("source", "idx", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_TOKENS)).alias("shards"))
     )
     small = sources.count() <= BROADCAST_SOURCES
-    table = (F.broadcast(sources) if small else sources).withColumnRenamed("source", "name")
-    rows = sizes.join(table, F.col("source").eqNullSafe(F.col("name"))).select(
+    # one number as the key: Spark's relation of several values or of strings takes 64 MB however small it is
+    named = sources.select(F.xxhash64("source").alias("name"), "idx", "source_size", "target", "quota", "shards")
+    rows = sizes.withColumn("name", F.xxhash64("source")).join(F.broadcast(named) if small else named, "name").select(
         "doc_id", "source", "size", "idx", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id", "size").alias("draw"), "quota", "shards"
     ).withColumn("shard", F.pmod("draw", "shards"))
     shards = rows.groupBy("idx", "shard").agg(F.sum("size").alias("tokens"), F.max("quota").alias("seats"))
@@ -131,14 +129,20 @@ def mix(
     def taken_before(place: str, in_: str, before: str):
         return F.col(before) * block + F.col(in_) * F.pmod(F.col(place), F.lit(block))
 
-    first = blocks.select("idx", "shard", F.col("block").alias("at_block"), "whole", F.col("in").alias("at_in"), F.col("before").alias("at_before"))
-    last = blocks.select("idx", "shard", F.col("block").alias("to_block"), F.col("in").alias("to_in"), F.col("before").alias("to_before"))
+    def side(x: str) -> DataFrame:
+        names = [F.col(c).alias(f"{x}_{c}") for c in ("idx", "shard", "block", "whole", "in", "before")]
+        return blocks.select(F.xxhash64("idx", "shard", "block").alias(f"{x}_key"), *names)
+
+    def here(x: str):
+        """Equal keys, and what they stand for is equal too; the latter as differences, so that the key stays one number."""
+        return F.expr(f"xxhash64(idx, shard, {x}) = {x}_key and idx - {x}_idx = 0 and shard - {x}_shard = 0 and {x} - {x}_block = 0")
+
     return (
-        placed.withColumn("at_block", F.floor(F.col("at") / block)).withColumn("to_block", F.floor(F.col("to") / block))
-        .join(first, ["idx", "shard", "at_block"], "left").join(last, ["idx", "shard", "to_block"], "left")
+        placed.withColumn("first", F.floor(F.col("at") / block)).withColumn("last", F.floor(F.col("to") / block))
+        .join(side("first"), here("first"), "left").join(side("last"), here("last"), "left")
         .select(
             "doc_id", "source", "size", "source_size", "target",
-            F.when(F.col("size") > 0, F.col("whole") * F.col("size") + taken_before("to", "to_in", "to_before") - taken_before("at", "at_in", "at_before"))
+            F.when(F.col("size") > 0, F.col("first_whole") * F.col("size") + taken_before("to", "last_in", "last_before") - taken_before("at", "first_in", "first_before"))
             .otherwise(F.lit(0)).cast("long").alias("taken"),
         )
     )
@@ -154,6 +158,6 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         mixed.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.greatest(F.lit(1), F.sum("size")) + 0.5).cast("int").alias("n"))
         .where("n > 0").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))
     )
-    return docs.join(copies, column(docs, id_col).eqNullSafe(F.col("__id"))).select(
-        *[column(docs, c) for c in docs.columns], F.explode(F.expr("sequence(1, __n)")).alias("__copy")
-    ).drop("__copy")
+    # the document goes along as one value, so that none of its columns' names can clash
+    rows = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("d"), column(docs, id_col).alias("i"))
+    return rows.join(copies.hint("merge"), F.col("i").eqNullSafe(F.col("__id"))).select("d", F.explode(F.expr("sequence(1, __n)"))).select("d.*")
