@@ -82,11 +82,11 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 def entropy(x: Column) -> Column:
     """Shannon entropy of a text's characters in bits; 0 for an empty text."""
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
-    n = F.size(chars)
-    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
-    total = F.aggregate(F.transform(F.array_distinct(chars), lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.length(x) == 0, 0.0).otherwise(total)
+    def of(chars: Column) -> Column:
+        share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / F.size(chars)
+        return F.aggregate(F.transform(F.array_distinct(chars), lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda s, v: s + v)
+
+    return F.when(F.length(x) == 0, 0.0).otherwise(let(F.filter(F.split(x, ""), lambda c: c != ""), of))
 
 
 def number_lines(x: Column, first: Column | int = 1) -> Column:
@@ -128,8 +128,11 @@ def code_tokens(x: Column) -> Column:
 
 def shingles(tokens: Column, k: int = 5, most: int | None = 600) -> Column:
     """Hashes of the distinct runs of k tokens, the first ``most``."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, k), "/")))
-    all_ = F.when(F.size(tokens) >= k, F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    def of(t: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(t, i, k), "/")))
+        return F.when(F.size(t) >= k, F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    all_ = let(tokens, of)  # the tokens are asked for at every place
     return all_ if most is None else F.slice(all_, 1, most)
 
 

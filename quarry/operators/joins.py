@@ -22,8 +22,10 @@ def first_candidate(left: DataFrame, key: str, candidates: Column, right: DataFr
 
 def path_suffixes(path: Column) -> Column:
     """All suffixes of a path by segments, the whole first."""
-    seg = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(seg)), lambda i: F.array_join(F.slice(seg, i, F.size(seg) - i + 1), "/"))
+    from quarry.functions.text import let
+
+    tails = lambda seg: F.transform(F.sequence(F.lit(1), F.size(seg)), lambda i: F.array_join(F.slice(seg, i, F.size(seg) - i + 1), "/"))
+    return let(F.split(path, "/"), tails)
 
 
 def unique_suffix(cites: DataFrame, cite: str, files: DataFrame, path: str) -> DataFrame:
