@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import column, cut, id_text
+from .common import column, cut, id_text, release
 
 #: Counters of the sketch of word counts that orders shingles by rarity, and the rows it is moved in.  Its size is fixed:
 #: 2 MB where broadcast.  A shingle is as rare as the product of its words' counts is small.
@@ -384,6 +384,8 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     shared = lists.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     folds = [f"f{i}" for i in range(LEAST_PARTS // 64)]
     every = cut(lists.join(shared, "h").join(sizes.select("sid", "n", *folds), "sid").select("h", "sid", "n", *folds))
+    del lists, shared
+    release(docs.sparkSession)
     ratio = f"least(n, m) >= {rule.percent / 100}D * greatest(n, m) - 1e-6D"
     bits = " + ".join(f"bit_count({f} ^ g{f})" for f in folds)
     alike = f"{100 + rule.percent} * ({bits}) <= {100 - rule.percent} * (n + m)"
@@ -397,7 +399,10 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
         pairs = cut(_within(pairs, sizes, distance))
         ids = pairs.select("c").unionByName(pairs.select(F.col("sid").alias("c"))).distinct().withColumnRenamed("c", "sid")
         sets = cut(_candidate_sets(docs, ids.join(sizes.select("sid", "doc"), "sid"), rule))
-        return cut(_probe(pairs, sets, rule))
+        out = cut(_probe(pairs, sets, rule))
+        del pairs, ids, sets
+        release(docs.sparkSession)
+        return out
 
     def true_links(p: DataFrame) -> DataFrame:
         return p.where(f"{100 - rule.percent} * (n + cn) >= {100 + rule.percent} * size").select(F.col("c").alias("a"), F.col("sid").alias("b"))
