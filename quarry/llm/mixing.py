@@ -139,7 +139,7 @@ def mix(
 
     return (
         placed.withColumn("first", F.floor(F.col("at") / block)).withColumn("last", F.floor(F.col("to") / block))
-        .join(side("first"), here("first"), "left").join(side("last"), here("last"), "left")
+        .join(side("first").hint("merge"), here("first"), "left").join(side("last").hint("merge"), here("last"), "left")
         .select(
             "doc_id", "source", "size", "source_size", "target",
             F.when(F.col("size") > 0, F.col("first_whole") * F.col("size") + taken_before("to", "last_in", "last_before") - taken_before("at", "first_in", "first_before"))
