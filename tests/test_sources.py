@@ -172,6 +172,15 @@ def test_cycles(spark):
     assert sorted(map(tuple, graph.in_cycles(e, "s", "t").collect())) == [("a", "b"), ("b", "a")]
 
 
+def test_graph_queries_take_all_orders(spark, tmp_path):
+    from quarry.plans import all_queries
+
+    # 1 -> 8 -> 57 -> 1 by three orders, none of whose keys is divisible by 11
+    spark.createDataFrame([(1, 1), (1, 8), (1102, 57)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(map(tuple, all_queries()["g_in_cycles"](spark, str(tmp_path)).collect())) == [(1, 8), (8, 57), (57, 1)]
+    assert sorted(r["node"] for r in all_queries()["g_reachable_all"](spark, str(tmp_path)).collect()) == [1, 8, 57]
+
+
 def test_query_understanding():
     u = retrieve.understand("Where is authentication handled?")
     assert u.intent == "locate" and "session" in u.terms and u.roles == ["auth"]
