@@ -96,6 +96,25 @@ def test_sarif_and_upsert(spark):
     assert sorted(map(tuple, sets.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_sarif_in_lines_has_every_finding(spark):
+    from quarry.plans import all_queries
+
+    from . import oracle
+
+    def report(df):
+        return json.loads("\n".join(r["line"] for r in sorted(df.collect(), key=lambda r: r["place"])))
+
+    schema = "rule_id string, severity string, title string, file_path string, start_line int, end_line int, cwe string"
+    rows = [(f"r{i % 7}", ["low", "critical", "odd"][i % 3], f"t{i % 7}", f"f{i % 5}", i, None, "CWE-1" if i % 7 else None) for i in range(60)]
+    f = spark.createDataFrame(rows, schema).repartition(6)
+    assert report(sinks.sarif_lines(f)) == json.loads(sinks.sarif(f).first()[0])
+    assert report(sinks.sarif_lines(spark.createDataFrame([], schema)))["runs"][0]["results"] == []
+    run = report(all_queries()["s17_sarif"](spark, oracle.SF))["runs"][0]
+    orders = spark.read.parquet(f"{oracle.SF}/orders.parquet")
+    assert len(run["results"]) == orders.count() > 200
+    assert {r["id"] for r in run["tool"]["driver"]["rules"]} == {r[0] for r in orders.select("o_orderpriority").distinct().collect()}
+
+
 @pytest.mark.parametrize("path, want", [("node_modules/a.js", True), ("src/a.min.js", True), ("src/app.ts", False), ("a/dist/x.js", True), ("keep/a.log", False), ("other/a.log", True)])
 def test_ignore_patterns(spark, path, want):
     from quarry.rules.names import IGNORED
