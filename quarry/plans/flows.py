@@ -241,6 +241,19 @@ def e1_chunks(spark, d):
     return extract.chunks(small).select("path", "start_line", "end_line")
 
 
+@query(
+    "e1_chunks_all",
+    """WITH n AS (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents),
+    w AS (SELECT doc_id, l, n, unnest(CASE WHEN n <= 220 THEN [CAST(1 AS BIGINT)] ELSE range(1, n + 1, 140) END) AS s FROM n),
+    c AS (SELECT doc_id, l, s, CASE WHEN n <= 220 THEN n ELSE least(s + 159, n) END AS e FROM w WHERE s = 1 OR s + 19 < n)
+    SELECT CAST(doc_id AS VARCHAR) AS path, CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line FROM c WHERE trim(regexp_replace(array_to_string(l[s:e], chr(10)), '\\s+', ' ', 'g')) <> ''""",
+)
+def e1_chunks_all(spark, d):
+    """``e1_chunks`` with documents of any length, in windows where they are long; that one keeps the limit that its SQL has."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
+    return extract.chunks(docs).select("path", "start_line", "end_line")
+
+
 def _code(spark, d):
     """Files of code made from the parts, for the extractors to work on."""
     p = read(spark, d, "part")

@@ -164,6 +164,21 @@ def test_chunks_are_slices_of_their_file():
     assert extract.chunk_file(" \n ", []) == []
 
 
+def test_chunks_of_long_documents(spark, tmp_path):
+    from quarry.plans import all_queries, oracles
+
+    from . import oracle
+
+    line = [f"line {i}" for i in range(406)]
+    texts = ["\n".join(line), "\n".join(line[:220]), "\n".join(line[:221]), "\n".join(line[:300] + [" "] * 300), " \n ", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = all_queries()["e1_chunks_all"]
+    got = sorted((int(p), a, b) for p, a, b in q(spark, str(tmp_path)).collect())
+    assert [(a, b) for p, a, b in got if p == 0] == [(1, 160), (141, 300), (281, 406)]
+    assert [(a, b) for p, a, b in got if p in (1, 2)] == [(1, 220), (1, 160), (141, 221)]
+    oracle.same(spark, oracle.connect(str(tmp_path)), q, oracles()["e1_chunks_all"], str(tmp_path))
+
+
 def test_routes_and_calls_meet(spark):
     assert extract.detect_routes("typescript", "router.get('/users/:id', requireAuth, h)") == [("GET", "/users/:id", "express", 1, True)]
     assert extract.detect_routes("python", "@app.route('/x', methods=['POST'])") == [("POST", "/x", "flask", 1, False)]
