@@ -75,16 +75,11 @@ def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str)
     return tried.groupBy(*df.columns, "_low").agg(won.alias("_won")).withColumn("quota", F.col("_low") + F.col("_won")).drop("_low", "_won")
 
 
-def mix(
+def _dealt(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED,
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of ``docs``.
-
-    Null texts have size 0 and are taken 0 times; a null source is a source, the last.  Repeated rows are rows of
-    their own.  Sources without words have target 0.  An empty table gives an empty result.  Reruns agree, since every
-    order is by seeded hashes of the data.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` with their shards, and the shards with what is dealt to them."""
     sizes = cut(
         docs.select(
             column(docs, id_col).alias("doc_id"), column(docs, source_col).cast("string").alias("source"),
@@ -115,6 +110,20 @@ def mix(
             ),
         )
     )
+    return rows, dealt
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for each row of ``docs``.
+
+    Null texts have size 0 and are taken 0 times; a null source is a source, the last.  Repeated rows are rows of
+    their own.  Sources without words have target 0.  An empty table gives an empty result.  Reruns agree, since every
+    order is by seeded hashes of the data.
+    """
+    rows, dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, block, seed)
     shard = Window.partitionBy("idx", "shard")
     blocks = (
         dealt.select("idx", "shard", "whole", "blocks", "chosen", F.explode(F.expr("sequence(0L, blocks)")).alias("block"))
@@ -153,7 +162,30 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     Rows that share an id are taken alike.  Columns are as they were.
     """
-    mixed = mix(docs, id_col, text_col, source_col)
+    return _copied(docs, id_col, mix(docs, id_col, text_col, source_col))
+
+
+def take_whole(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED,
+) -> DataFrame:
+    """``docs`` in whole documents whose words come to what the mix deals to each shard.
+
+    A shard's line is taken as often as its quota allows, and then its documents in seeded order as long as the middle of
+    the next lies within the rest; so a shard misses its quota by half a document at most.  Rows that share an id are
+    taken alike.  Columns are as they were.
+    """
+    rows, dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, block, seed)
+    rest = F.when(F.col("whole") >= cap, F.lit(0)).otherwise(F.col("quota") * block - F.col("whole") * F.col("tokens"))
+    shards = dealt.select("idx", "shard", "whole", rest.alias("rest"))
+    line = Window.partitionBy("idx", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.select("doc_id", "size", "draw", "idx", "shard").withColumn("at", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    times = F.col("whole") + F.when(F.col("at") * 2 + F.col("size") <= F.col("rest") * 2, 1).otherwise(0)
+    return _copied(docs, id_col, placed.join(shards.hint("merge"), ["idx", "shard"]).select("doc_id", "size", (times * F.col("size")).alias("taken")))
+
+
+def _copied(docs: DataFrame, id_col: str, mixed: DataFrame) -> DataFrame:
+    """``docs`` with each row as often as the words ``taken`` under its id come to the ``size`` of these rows."""
     copies = (
         mixed.groupBy("doc_id").agg(F.floor(F.sum("taken") / F.greatest(F.lit(1), F.sum("size")) + 0.5).cast("int").alias("n"))
         .where("n > 0").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"))

@@ -234,6 +234,21 @@ def test_take_repeats_rows(spark):
         assert n.get(r["doc_id"], 0) == math.floor(r["taken"] / r["size"] + 0.5)
 
 
+def test_take_whole_meets_the_targets_with_long_documents(spark):
+    rng = random.Random(17)
+    rows = [(i, rng.choice(["a", "b", "c", "c", "c"]), " ".join(["x"] * rng.choice([0, 20, 300, 900, 3000]))) for i in range(600)]
+    df = spark.createDataFrame([*rows, rows[1], (-1, None, None)], "doc_id long, source string, text string").withColumn("taken", F.lit(-1))
+    out = mixing.take_whole(df)
+    assert out.columns == df.columns
+    got = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    targets = {r["source"]: r["target"] for r in mixing.mix(df).collect() if r["target"]}
+    for source, target in targets.items():
+        assert abs(got[source] - target) <= 3000 / 2 + mixing.BLOCK
+    assert max(r["count"] for r in out.groupBy("doc_id", "source").count().where(f"doc_id <> {rows[1][0]}").collect()) <= mixing.CAP
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, mixing.take_whole(df.repartition(5)).collect()))
+    assert mixing.take_whole(df.limit(0)).count() == 0
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------------------
 
 
