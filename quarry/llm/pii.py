@@ -3,9 +3,13 @@
 Rules find e-mail addresses, network addresses, card and phone numbers.  The protected entities are these kinds.  Over
 all texts, term by term, it is counted how often a term stands within WINDOW words of an entity of a kind, and how often
 at all.  A term discloses a kind as far as its pointwise mutual information with it comes to the kind's whole
-information content: ``PMI(kind; term) / IC(kind) = 1 + log P(kind | term) / IC(kind)``.  Terms at THRESHOLD or more,
-seen near entities in SUPPORT different texts or more, are spans too: near an entity they are removed with it, elsewhere they
-are generalised to their kind.
+information content: ``PMI(kind; term) / IC(kind) = 1 + log P(kind | term) / IC(kind)``.  Terms at THRESHOLD or more
+are spans too, if chance does not explain that they stand near the kind so often: near an entity they are removed with it,
+elsewhere they are generalised to their kind.
+
+Chance is that of a word anywhere to stand near the kind; the bound (Chernoff's) on seeing so many of a term's texts near it
+must be ALPHA or less for all pairs of term and kind together.  So a rare term that always stands there counts from 2 texts
+on where that is unlikely enough.
 
 Terms are counted as hashes in the partitions first.  How often candidates occur at all is counted only for words that a bit map
 of the candidates (of fixed size) lets through; joins on the hash make it exact.
@@ -29,7 +33,7 @@ from .common import cut, id_text
 KINDS = ("email", "ip", "card", "phone")
 WINDOW = 3
 THRESHOLD = 0.9
-SUPPORT = 8
+ALPHA = 0.05
 BITS = 22
 SLICES = 8
 
@@ -173,43 +177,50 @@ def _passing(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def disclosing_terms(own: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(own: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, alpha: float = ALPHA) -> DataFrame:
     """(h, kind): terms whose co-occurrence with a kind discloses it, each with the kind it discloses most."""
-    near = scanned.select(F.explode("near").alias("n")).groupBy("n.kind", "n.h").agg(F.count("*").alias("joint"))
-    candidates = cut(near.where(F.col("joint") >= support).select("h", "kind", "joint"))
+    near = cut(scanned.select(F.explode("near").alias("n")).groupBy("n.kind", "n.h").agg(F.count("*").alias("joint")))
+    # one text alone shows nothing to recur
+    candidates = near.where("joint >= 2").select("h", "kind", "joint")
     if candidates.isEmpty():
         return candidates.select("h", "kind")
     table = own.sparkSession.sparkContext.broadcast(_bit_map(candidates))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For passing words, the number of the partition's texts that hold them; and the number of texts as h null."""
-        total, found = 0, []
+        """For passing words, the number of the partition's texts that hold them; as h null the number of texts, and of all words."""
+        total, every, found = 0, 0, []
         for batch in w.per_batch(batches):
             data, offsets = w.buffers(batch.column(1))
             starts, _, hashes = w.words(data, offsets, lower=True)
             owner = np.searchsorted(offsets, starts, "right") - 1
             ok = _passing(hashes, table.value)
             pair = np.unique(np.stack([owner[ok].astype(w.U64), hashes[ok]]), axis=1)
-            total += len(batch)
+            total, every = total + len(batch), every + len(starts)
             h, n = np.unique(pair[1], return_counts=True)
             found.append((h.view(np.int64), n))
         if found:
             h, n = (np.concatenate(x) for x in zip(*found, strict=True))
             h, at = np.unique(h, return_inverse=True)
             n = np.bincount(at, n, minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([None, *h.tolist()], pa.int64()), pa.array([total, *n.tolist()], pa.int64())], names=["h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None, *h.tolist()], pa.int64()), pa.array([total, *n.tolist()], pa.int64()), pa.array([every, *[0] * len(h)], pa.int64())], names=["h", "n", "every"])
 
-    counts = cut(own.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    texts = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
+    counts = cut(own.mapInArrow(count, "h long, n long, every long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("every").alias("every")))
+    texts, every = counts.where("h is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
     per_kind = scanned.select(F.explode(F.array_distinct(F.transform("base", lambda b: b["kind"]))).alias("kind")).groupBy("kind").count()
     content = {r["kind"]: -np.log2(r["count"] / texts) for r in per_kind.collect() if r["count"] < texts}
     if not content:
         return candidates.select("h", "kind").limit(0)
     ic = F.create_map(*[x for k, v in content.items() for x in (F.lit(k), F.lit(float(v)))])
-    scored = candidates.join(counts.where("h is not null"), "h").withColumn("ic", ic[F.col("kind")])
+    pairs = {r["kind"]: (r["tests"], r["joint"]) for r in near.groupBy("kind").agg(F.count("*").alias("tests"), F.sum("joint").alias("joint")).collect()}
+    tests = sum(n for n, _ in pairs.values())
+    chance = F.create_map(*[x for k, (_, n) in pairs.items() for x in (F.lit(k), F.lit(min(1.0, n / every)))])
+    scored = candidates.join(counts.where("h is not null").select("h", "n"), "h").withColumn("ic", ic[F.col("kind")]).withColumn("chance", chance[F.col("kind")])
     scored = scored.withColumn("disclosure", 1 + F.log2(F.least(F.lit(1.0), F.col("joint") / F.col("n"))) / F.col("ic"))
+    share = F.least(F.lit(1.0), F.col("joint") / F.col("n"))
+    more = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - F.col("chance")))).otherwise(0.0)
+    surprise = F.when(share > F.col("chance"), F.col("n") * (share * F.log(share / F.col("chance")) + more)).otherwise(0.0)
     best = F.max_by("kind", F.struct("disclosure", "joint", "kind"))
-    return scored.where(F.col("disclosure") >= threshold).groupBy("h").agg(best.alias("kind"))
+    return scored.where((F.col("disclosure") >= threshold) & (surprise >= float(np.log(tests / alpha)))).groupBy("h").agg(best.alias("kind"))
 
 
 def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
@@ -235,30 +246,42 @@ def _term_spans(own: DataFrame, terms: DataFrame) -> DataFrame:
     return own.mapInArrow(find, "doc_id long, row long, h long, start long, end long").distinct().join(terms, "h").select("doc_id", "row", "kind", "start", "end")
 
 
-def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, row, base, terms) for each row: the spans by rule and the spans of disclosing terms outside them.
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, base, terms, text) for each row: the spans by rule, those of disclosing terms outside them, and the text without both.
 
-    Null texts count as empty and have none.  Rows equal in id and text have equal spans, each row its own.  An
-    empty table gives an empty result.  Extra columns are ignored.
+    Null texts count as empty and have none; they stay null.  Rows equal in id and text have equal spans, each row its
+    own.  An empty table gives an empty result.  Extra columns are ignored.
     """
     own = id_text(docs, id_col, text_col)
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
     scanned = cut(own.mapInArrow(_scan, f"doc_id long, row long, base {SPANS}, near array<struct<kind:string,h:long>>"))
     terms = cut(disclosing_terms(own, scanned))
-    base = scanned.select("doc_id", "row", "base")
     if terms.isEmpty():
-        return base.select("doc_id", "row", "base", F.expr(f"cast(array() as {SPANS})").alias("terms"))
-    found = (
-        _term_spans(own, terms).groupBy("doc_id", "row")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
-    )
-    return base.join(found.withColumnsRenamed({"doc_id": "d", "row": "r"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select(
-        "doc_id", "row", "base",
-        F.expr(
-            f"""cast(coalesce(transform(filter(terms, t -> not exists(base, b -> t.start < b.end and b.start < t.end)),
-                t -> named_struct('kind', concat('term_', t.kind), 'start', t.start, 'end', t.end)), array()) as {SPANS})"""
-        ).alias("terms"),
-    )
+        rows = own.withColumn("terms", F.expr(f"cast(array() as {SPANS})"))
+    else:
+        spans = F.sort_array(F.collect_list(F.struct("start", "end", "kind")))
+        found = _term_spans(own, terms).groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(spans.alias("terms"))
+        rows = own.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")), "left").select("doc_id", "text", "row", "terms")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+        as_rows = lambda of: pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in x] for x in of], span)
+        for batch in w.per_batch(batches):
+            texts = batch.column(1).to_pylist()
+            base = [base_spans(t or "") for t in texts]
+            more = [
+                [(f"term_{t['kind']}", t["start"], t["end"]) for t in ts or () if not any(t["start"] < b and a < t["end"] for _, a, b in own_)]
+                for ts, own_ in zip(batch.column(3).to_pylist(), base, strict=True)
+            ]
+            clean = [t and sanitise_text(t, [*b, *m]) for t, b, m in zip(texts, base, more, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), as_rows(base), as_rows(more), pa.array(clean, pa.string())], names=["doc_id", "row", "base", "terms", "text"])
+
+    return rows.mapInArrow(run, f"doc_id long, row long, base {SPANS}, terms {SPANS}, text string")
+
+
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, base, terms) of ``sanitise``."""
+    return sanitise(docs, id_col, text_col).drop("text")
 
 
 def sanitise_text(text: str, spans: list[Span]) -> str:
@@ -268,7 +291,8 @@ def sanitise_text(text: str, spans: list[Span]) -> str:
     """
     out, at, previous = [], 0, None
     for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
-        if a < at:
+        if a < at:  # nothing of a span stays that another one overlaps
+            at = max(at, b)
             continue
         between = text[at:a]
         out.append(between)
@@ -281,19 +305,19 @@ def sanitise_text(text: str, spans: list[Span]) -> str:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base spans and all spans as text, for each row."""
+    """Counts by kind, the digest of the base spans, all spans as text and the sanitised text, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, base, terms in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for doc, base, terms, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 joined = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in base)
                 more = ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in terms)
                 n = [sum(s["kind"] == k for s in base) for k in KINDS]
-                rows.append((doc, *n, hashlib.sha256(joined.encode()).hexdigest(), ",".join(x for x in (joined, more) if x)))
+                rows.append((doc, *n, hashlib.sha256(joined.encode()).hexdigest(), ",".join(x for x in (joined, more) if x), text))
             if rows:
-                kinds = (*[pa.int64()] * 5, pa.string(), pa.string())
-                names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
+                kinds = (*[pa.int64()] * 5, *[pa.string()] * 3)
+                names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "sanitised"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return find_spans(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return sanitise(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, sanitised string")

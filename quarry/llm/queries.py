@@ -51,7 +51,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data and disclosing terms in every document."""
+    """Personal data and disclosing terms in every document, and its text without them."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 

@@ -320,6 +320,19 @@ def test_sanitised_text():
     assert pii.sanitise_text("call hotline +1 555 123 4567 or hotline", [("phone", 13, 28), ("term_phone", 5, 12), ("term_phone", 32, 39)]) == "call <phone> [phone] or <phone>"
 
 
+def test_pii_texts_come_out_sanitised_and_rare_terms_count(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{text(20, rng)}pager{i % 4} +1 555 123 45{i + 10} {text(20, rng)}") for i in range(12)]  # each of four terms in 3 texts
+    rows += [(100 + i, text(200, rng)) for i in range(400)] + [(800, "once +1 555 123 4599"), (900, "mail a@b.org now"), (901, ""), (902, None)]
+    got = {r["doc_id"]: r for r in pii.report(clash(spark, rows)).collect()}
+    for i, t in rows[:12]:
+        assert "term_phone:" in got[i]["spans"] and got[i]["sanitised"] == t.replace(f"pager{i % 4}", "<phone>").replace(f"+1 555 123 45{i + 10}", "[phone]")
+    assert got[800]["sanitised"] == "once [phone]" and got[900]["sanitised"] == "mail [email] now"
+    assert got[901]["sanitised"] == "" and got[902]["sanitised"] is None
+    assert all(got[i]["sanitised"] == t for i, t in rows[12:412])
+    assert pii.sanitise_text("abcdefgh", [("phone", 0, 4), ("card", 2, 6)]) == "[phone]gh"
+
+
 def test_pii_of_nothing(spark):
     assert pii.report(empty(spark)).count() == 0
 
