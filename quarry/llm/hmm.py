@@ -24,13 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import cut, id_text
+from .common import cut, id_text, merge_slices
 
 STATES = 4
 ITERATIONS = 4
@@ -339,16 +338,9 @@ def train(encoded: DataFrame, v: Vocabulary, iterations: int = ITERATIONS) -> Pa
                     emits += e
             if some:
                 parts = [x.astype(np.float64).tobytes() for x in np.array_split(emits, SLICES)] + [np.concatenate([start, moves.ravel()]).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([zlib.compress(x, 1) for x in parts])], names=["slice", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([zlib.compress(x, 1) for x in parts])], names=["slice", "part"])
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(zlib.decompress(x), np.float64) for x in pdf["sums"])
-            return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "sums": [zlib.compress(total.tobytes(), 1)]})
-
-        got = {
-            r["slice"]: np.frombuffer(zlib.decompress(r["sums"]), np.float64)
-            for r in own.mapInArrow(expect, "slice int, sums binary").groupBy("slice").applyInPandas(add, "slice int, sums binary").collect()
-        }
+        got = merge_slices(own.mapInArrow(expect, "slice int, part binary"), np.add, np.float64)
         shared.unpersist()
         if not got:
             break

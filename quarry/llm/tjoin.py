@@ -7,40 +7,42 @@ A document's set holds its distinct shingles as 64-bit hashes, by default of thr
 How a link is found, without ever pairing all members of a group of copies:
 
 1. Equal sets are one class (keyed by a digest of the set); only classes go on.
-2. DivideSkip: a set's inverted lists are divided into short and long ones.  The short lists are those of its rarest
-   shingles (by a count sketch of the whole corpus' words, of fixed size), just so many that every partner must stand in one
-   of them; they are merged by a sort on the shingle.  The long lists are never read: what they would add is found by
-   binary probes of one set in the other.
-3. In short lists of a few members all pairs are looked at, by size, by sketch and then by probing one set in the other.
-   In the others the smallest member is the centre.  Every other member is probed against the centre, once for all the
-   lists they share.  Sets that differ from a centre by little are written as their difference from what most members
-   have (an element that most differences hold is struck from all, or added).  Two members with differences of sizes p
-   and q and o elements common to both differ by ``p + q - 2o``; so the search goes on over inverted lists of
-   the differences, which are short where the texts are alike, again with a required overlap, prefixes and a bound by
-   position.  The link holds exactly when ``k(a) + k(b) <= 2 (100 + percent) o`` with
-   ``k = (100 + percent) * |difference| - (100 - percent) * |set|``: pairs that need no overlap at all link through the
-   member of least k, one link each.
-4. Members far from the centre get another centre, ``ROUNDS`` times; members still left are paired with each other
-   within their list.  As the Jaccard distance is a metric, a centre's class takes everything within FAR, and a
-   member leaves the list only when within NEAR, no link between different classes is lost (FAR - NEAR is the
-   distance that links allow).
+2. DivideSkip: a set's inverted lists are divided into short and long ones.  A partner has ``T`` of a set's n elements,
+   ``T = ceil(percent * n / 100)``.  The short lists are those of the ``n - T + OCCURRENCES`` rarest elements (by a count
+   sketch of the whole corpus' words, of fixed size), so that a partner stands in OCCURRENCES of them or more; the lists
+   of a query are merged by a heap and what occurs less often is dropped.  The long lists are never read in full: what
+   they add to the T occurrences is found by binary probes, of a query's elements in the candidate's sorted set.
+3. A short list that turns out to have more than SMALL members is not merged either, but gets a centre, its least
+   member, and every other member is probed against the centre, once for all the lists they share.  (A pair in
+   fewer than OCCURRENCES merged lists shares such a list.)  Sets that differ from a centre by little are written as
+   their difference from what most members have (an element that most differences hold is struck from all, or
+   added).  Two members with differences of sizes p and q and o elements common to both differ by ``p + q - 2o``; so
+   the search goes on over inverted lists of the differences, which are short where the texts are alike, again with a
+   required overlap, prefixes and a bound by position.  The link holds exactly when
+   ``k(a) + k(b) <= 2 (100 + percent) o`` with ``k = (100 + percent) * |difference| - (100 - percent) * |set|``: pairs
+   that need no overlap at all link through the member of least k, one link each.
+4. Members far from the centre get another centre, in rounds, until the lists that are left are short on the whole;
+   these are merged with the short ones.  As the Jaccard distance is a metric, a centre's class takes everything
+   within FAR, and a member leaves the list only when within NEAR, no link between different classes is lost (FAR -
+   NEAR is the distance that links allow).
 5. Links are joined to components by label propagation with pointer jumping.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as w
-from .common import column, cut, id_text, release
+from .common import column, cut, id_text, merge_slices, release
 
 #: Counters of the sketch of word counts that orders shingles by rarity, and the rows it is moved in.  Its size is fixed:
 #: 2 MB where broadcast.  A shingle is as rare as the product of its words' counts is small.
@@ -51,7 +53,10 @@ SLICES = 16
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-ROUNDS = 2
+#: Rounds of centres at most; they end when the lists that are left have few members on the whole.
+ROUNDS = 6
+#: Short lists that linked sets share at least (T less the number of long lists).
+OCCURRENCES = 3
 NEAR = 0.4
 #: Members of a centre's class that are probed in one group.
 CHUNK = 256
@@ -78,8 +83,12 @@ class Rule:
         return self.near + self.apart
 
     def short(self, n: int) -> int:
-        """How many of a set's lists are short ones: with so many, every partner stands in one of them."""
-        return n - -(-self.percent * n // 100) + 1
+        """How many of a set's lists are short ones: with so many, every partner stands in OCCURRENCES of them."""
+        return min(n, n - -(-self.percent * n // 100) + OCCURRENCES)
+
+    def needed(self, n: str) -> str:
+        """SQL for the occurrences in short lists that a set's partners have at least; its other lists are the long ones."""
+        return f"least({OCCURRENCES}, ceil({self.percent} * {n} / 100D))"
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -131,14 +140,6 @@ def _parities(s: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _folded(parities: bytes) -> np.ndarray:
-    """A sketch folded to LEAST_PARTS bits, as numbers of 64 bits."""
-    x = np.frombuffer(parities, np.uint8)
-    while len(x) > LEAST_PARTS // 8:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x.view(np.int64)
-
-
 def _least_difference(a: bytes, b: bytes) -> int:
     """A lower bound of the symmetric difference of two sets, from their sketches; the longer one is folded."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -152,59 +153,65 @@ def _least_difference(a: bytes, b: bytes) -> int:
 def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's part of the sketch."""
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["doc_id", "row", "n", "sid", "hist", "fold", "slice", "counts"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["doc_id", "row", "n", "sid", "hist", "slice", "counts"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     some = False
     for batch in w.per_batch(batches):
-        n, sid, hist, fold = [], [], [], []
+        n, sid, hist = [], [], []
         for s in _sets(batch.column(1), rule.words):
             d = _digest(s)
             n.append(len(s))
             sid.append(d)
             hist.append(_parities(s))
-            fold.append(_folded(hist[-1]).tolist())
         data, offsets = w.buffers(batch.column(1))
         np.add.at(sketch, _counter(w.words(data, offsets, lower=True)[2]), 1)
         some = True
         k = len(n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, fold, [None] * k, [None] * k), types, strict=True)]], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, [None] * k, [None] * k), types, strict=True)]], names=names)
     if some:
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
         none = [None] * SLICES
-        columns = zip((none, none, none, none, none, none, list(range(SLICES)), parts), (pa.int64(), pa.int64(), *types), strict=True)
+        columns = zip((none, none, none, none, none, list(range(SLICES)), parts), (pa.int64(), pa.int64(), *types), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=names)
 
 
 def _rarity(summaries: DataFrame) -> np.ndarray:
     """For each counter of the sketch the bit length of its count; as many bytes as counters."""
+    parts = summaries.where("slice is not null").select("slice", F.col("counts").alias("part"))
+    got = merge_slices(parts, np.add, np.uint32)
+    empty = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
+    total = np.concatenate([got.get(i, empty) for i in range(SLICES)])
+    return np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
+
+
+class _Seen:
+    """The digests met of late; a digest that was forgotten only costs another row, which a distinct() drops."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        bits = np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [bits.tobytes()]})
+    def __init__(self, most: int = 1 << 16):
+        self.most, self.held = most, set()
 
-    rows = summaries.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["counts"], np.uint8)
-    return out.ravel()
+    def add(self, digest: int) -> bool:
+        """True where the digest is new."""
+        if digest in self.held:
+            return False
+        if len(self.held) >= self.most:
+            self.held.clear()
+        self.held.add(digest)
+        return True
 
 
 def _short_lists(docs: DataFrame, rarity: np.ndarray, rule: Rule) -> DataFrame:
-    """(shingle, class): the rarest shingles of every class, so many that all its partners share one of them."""
+    """(shingle, class): the rarest shingles of every class, so many that it shares OCCURRENCES of them with any partner."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
+        bits, seen = shared.value, _Seen()
         for batch in w.per_batch(batches):
             keys, ids = [], []
             for s, rank in _ranked_sets(batch.column(1), rule.words, bits):
                 n = len(s)
-                if not n or (d := _digest(s)) in seen:
+                if not n or not seen.add(d := _digest(s)):
                     continue
-                seen.add(d)
                 size = rule.short(n)
                 keys.append(s[np.argpartition(rank, size - 1)[:size]] if size < n else s)
                 ids.append(np.full(len(keys[-1]), d, np.int64))
@@ -214,15 +221,55 @@ def _short_lists(docs: DataFrame, rarity: np.ndarray, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h long, sid long")
 
 
+def _occurrences(lists: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (c, sid), c the lesser, that stand together in as many of ``lists`` (h, sid, n) as a link between them needs.
+
+    Every query gets the members of its lists, list by list in the order of their ids; a heap merges them, and equal ids
+    that follow one another are the occurrences.
+    """
+    ratio = f"least(n, m) >= {rule.percent / 100}D * greatest(n, m) - 1e-6D"
+    other = lists.select("h", F.col("sid").alias("other"), F.col("n").alias("m"))
+    met = (
+        lists.join(other, "h").where(f"sid < other and {ratio}").select("sid", "h", "other", F.expr(rule.needed("n")).cast("int").alias("needed"))
+        .repartition("sid").sortWithinPartitions("sid", "h", "other")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, needed, merged = None, 1, []
+        found: list[tuple[int, int]] = []
+
+        def ends() -> None:
+            for candidate, times in groupby(heapq.merge(*merged)):
+                if sum(1 for _ in times) >= needed:
+                    found.append((query, candidate))
+
+        last = None
+        for batch in batches:
+            for q, h, b, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if q != query:
+                    ends()
+                    query, needed, merged, last = q, t, [], None
+                if h != last:
+                    merged.append([])
+                    last = h
+                merged[-1].append(b)
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        ends()
+        if found:
+            yield _pairs(found)
+
+    def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["c", "sid"])
+
+    return met.mapInArrow(run, "c long, sid long")
+
+
 def _within(pairs: DataFrame, sizes: DataFrame, distance: float) -> DataFrame:
-    """Pairs (c, sid, n) that may be within the Jaccard distance, by sizes, then by sketches; none is lost."""
+    """Pairs (c, sid) that may be within the Jaccard distance by their sketches; none is lost."""
     limit = distance / (2 - distance)
-    sized = (
-        pairs.join(sizes.select(F.col("sid").alias("c"), F.col("n").alias("cn")), "c")
-        .where(F.least("n", "cn") >= F.greatest("n", "cn") * (1 - distance) - 1e-6)
-        .select("c", "sid")
-    )
-    both = sized.join(sizes.select("sid", "n", "hist"), "sid").join(sizes.select(F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("hist").alias("chist")), "c")
+    both = pairs.join(sizes.select("sid", "n", "hist"), "sid").join(sizes.select(F.col("sid").alias("c"), F.col("n").alias("cn"), F.col("hist").alias("chist")), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,30 +300,21 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, rule: Rule, bits: int = 23)
             at = _places(batch.column(0), bits)
             np.bitwise_or.at(table, at >> 3, (1 << (at & 7)).astype(np.uint8))
         parts = np.split(table, SLICES)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts])], names=["slice", "marks"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << (bits - 3)) // SLICES, np.uint8)
-        for x in pdf["marks"]:
-            total |= np.frombuffer(zlib.decompress(x), np.uint8)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "marks": [total.tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts])], names=["slice", "part"])
 
-    rows = ids.select("doc").mapInArrow(marks, "slice int, marks binary").groupBy("slice").applyInPandas(merge, "slice int, marks binary").collect()
-    whole = np.zeros((SLICES, (1 << (bits - 3)) // SLICES), np.uint8)
-    for r in rows:
-        whole[r["slice"]] |= np.frombuffer(r["marks"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(whole.ravel())
+    got = merge_slices(ids.select("doc").mapInArrow(marks, "slice int, part binary"), np.bitwise_or, np.uint8)
+    empty = np.zeros((1 << (bits - 3)) // SLICES, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(np.concatenate([got.get(i, empty) for i in range(SLICES)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
+        table, seen = shared.value, _Seen()
         for whole_batch in batches:
             at = _places(whole_batch.column(0), bits)
             chosen = whole_batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             for batch in w.per_batch([chosen]):
                 sids, sets = [], []
                 for s in _sets(batch.column(1), rule.words):
-                    if len(s) and (d := _digest(s)) not in seen:
-                        seen.add(d)
+                    if len(s) and seen.add(d := _digest(s)):
                         sids.append(d)
                         sets.append(s.tobytes())
                 if sids:
@@ -287,19 +325,19 @@ def _candidate_sets(docs: DataFrame, ids: DataFrame, rule: Rule, bits: int = 23)
 
 
 def _probe(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """For pairs (c, sid) the sizes, the size of the symmetric difference and the difference itself.
+    """For pairs (c, sid) the sizes, the size of the symmetric difference and the difference itself, with part and groups.
 
     The members of one centre are dealt out in groups of about CHUNK, and the centre's set goes to each group.  The
     difference has the elements that the centre lacks first, since these are the rarer.
     """
     groups = pairs.groupBy("c").agg(F.count("*").alias("k")).select("c", F.ceil(F.col("k") / CHUNK).cast("int").alias("groups"))
     member = (
-        pairs.join(groups, "c").select("c", F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int").alias("part"), "sid")
-        .join(sets, "sid").select("c", "part", "sid", "elements", F.lit(1).alias("kind"))
+        pairs.join(groups, "c").select("c", F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int").alias("part"), "sid", "groups")
+        .join(sets, "sid").select("c", "part", "sid", "elements", F.lit(1).alias("kind"), "groups")
     )
     centre = (
         groups.join(sets.withColumnRenamed("sid", "c"), "c")
-        .select("c", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("c").alias("sid"), "elements", F.lit(0).alias("kind"))
+        .select("c", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("c").alias("sid"), "elements", F.lit(0).alias("kind"), "groups")
     )
     dealt = member.unionByName(centre).repartition("c", "part").sortWithinPartitions("c", "part", "kind")
 
@@ -307,7 +345,7 @@ def _probe(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         own = np.zeros(0, w.U64)
         for batch in batches:
             out: list[tuple] = []
-            for c, sid, x, kind in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4).to_pylist(), strict=True):
+            for c, part, sid, x, kind, groups in zip(*(batch.column(i).to_pylist() if i != 3 else batch.column(i) for i in range(6)), strict=True):
                 s = np.frombuffer(x.as_buffer(), w.U64)
                 if kind == 0:
                     own = s.copy()
@@ -320,33 +358,36 @@ def _probe(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 if near:
                     missing = np.ones(len(own), bool)
                     missing[at[hit]] = False
-                    out.append((c, sid, len(s), len(own), size, np.concatenate([s[~hit], own[missing]]).view(np.int64)))
+                    out.append((c, part, groups, sid, len(s), len(own), size, np.concatenate([s[~hit], own[missing]]).view(np.int64)))
                 else:
-                    out.append((c, sid, len(s), len(own), size, None))
+                    out.append((c, part, groups, sid, len(s), len(own), size, None))
             if out:
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:5]], pa.array(list(cols[5]), pa.list_(pa.int64()))], names=["c", "sid", "n", "cn", "size", "diff"])
+                names = ["c", "part", "groups", "sid", "n", "cn", "size", "diff"]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in cols[:7]], pa.array(list(cols[7]), pa.list_(pa.int64()))], names=names)
 
-    return dealt.mapInArrow(run, "c long, sid long, n long, cn long, size long, diff array<long>")
+    return dealt.mapInArrow(run, "c long, part long, groups long, sid long, n long, cn long, size long, diff array<long>")
 
 
 def _links_by_difference(near: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) among the members of every centre's class, from their differences; the centre itself is a member."""
     overlap = 2 * (100 + rule.percent)
-    sizes = near.groupBy("c").agg(F.count("*").alias("m"))
+    # what belongs to a centre goes to each of the groups that its members are dealt out in, so that no class meets in one task
+    of = lambda df: df.withColumn("part", F.explode(F.expr("sequence(0L, groups - 1)"))).drop("groups")
+    sizes = near.groupBy("c").agg(F.count("*").alias("m"), F.max("groups").alias("groups"), F.max("cn").alias("n"))
     usual = (
         near.select("c", F.explode("diff").alias("x")).groupBy("c", "x").agg(F.count("*").alias("k")).where("k > 1")
-        .join(sizes, "c").where("2 * k > m + 1").groupBy("c").agg(F.collect_list("x").alias("usual"))
+        .join(sizes.select("c", "m", "groups"), "c").where("2 * k > m + 1").groupBy("c", "groups").agg(F.collect_list("x").alias("usual"))
     )
-    centres = near.groupBy("c").agg(F.max("cn").alias("n")).select("c", F.col("c").alias("sid"), "n", F.lit(0).cast("long").alias("size"), F.array().cast("array<long>").alias("diff"))
+    centres = sizes.select("c", F.pmod(F.xxhash64("c"), F.col("groups")).alias("part"), "groups", F.col("c").alias("sid"), "n", F.lit(0).cast("long").alias("size"), F.array().cast("array<long>").alias("diff"))
     members = (
-        near.select("c", "sid", "n", "size", "diff").unionByName(centres).join(usual, "c", "left")
+        near.select("c", "part", "groups", "sid", "n", "size", "diff").unionByName(centres).join(of(usual).hint("merge"), ["c", "part"], "left")
         .withColumn("diff", F.when(F.col("usual").isNull(), F.col("diff")).otherwise(F.concat(F.array_except("diff", "usual"), F.array_except("usual", "diff"))))
         .withColumn("size", F.size("diff").cast("long")).drop("usual")
         .withColumn("k", (100 + rule.percent) * F.col("size") - (100 - rule.percent) * F.col("n"))
     )
-    least = members.groupBy("c").agg(F.min("k").alias("low"), F.min_by("sid", F.struct("k", "sid")).alias("hub"))
-    placed = members.join(least, "c")
+    least = members.groupBy("c").agg(F.min("k").alias("low"), F.min_by("sid", F.struct("k", "sid")).alias("hub"), F.max("groups").alias("groups"))
+    placed = members.drop("groups").join(of(least).hint("merge"), ["c", "part"])
     plain = placed.where("k + low <= 0 and sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
     rest = (
         placed.withColumn("zero", F.expr("k + low <= 0"))
@@ -375,25 +416,13 @@ def _links_by_difference(near: DataFrame, rule: Rule) -> DataFrame:
 
 def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between classes, enough to connect whatever is connected by links; each is a true link."""
-    sizes = cut(
-        summaries.where("slice is null and n > 0").groupBy("sid")
-        .agg(F.max("n").alias("n"), F.max("hist").alias("hist"), F.min("doc_id").alias("doc"), *[F.max(F.col("fold")[i]).alias(f"f{i}") for i in range(LEAST_PARTS // 64)])
-    )
+    sizes = cut(summaries.where("slice is null and n > 0").groupBy("sid").agg(F.max("n").alias("n"), F.max("hist").alias("hist"), F.min("doc_id").alias("doc")))
     # the filter that the joins imply stands here, so that both uses of the lists have one plan and one exchange
     lists = _short_lists(docs, _rarity(summaries), rule).where("h is not null and sid is not null").distinct()
-    shared = lists.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    folds = [f"f{i}" for i in range(LEAST_PARTS // 64)]
-    every = cut(lists.join(shared, "h").join(sizes.select("sid", "n", *folds), "sid").select("h", "sid", "n", *folds))
+    shared = lists.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    every = cut(lists.join(shared, "h").join(sizes.select("sid", "n"), "sid").select("h", "sid", "n", "k"))
     del lists, shared
     release(docs.sparkSession)
-    ratio = f"least(n, m) >= {rule.percent / 100}D * greatest(n, m) - 1e-6D"
-    bits = " + ".join(f"bit_count({f} ^ g{f})" for f in folds)
-    alike = f"{100 + rule.percent} * ({bits}) <= {100 - rule.percent} * (n + m)"
-
-    def in_lists(members: DataFrame) -> DataFrame:
-        """Pairs (c, sid, n) of members of one list whose sizes and folded sketches allow a link."""
-        other = members.select("h", F.col("sid").alias("c"), F.col("n").alias("m"), *[F.col(f).alias(f"g{f}") for f in folds])
-        return members.join(other, "h").where(f"c < sid and {ratio} and {alike}").select("c", "sid", "n").distinct()
 
     def probed(pairs: DataFrame, distance: float) -> DataFrame:
         pairs = cut(_within(pairs, sizes, distance))
@@ -407,27 +436,27 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     def true_links(p: DataFrame) -> DataFrame:
         return p.where(f"{100 - rule.percent} * (n + cn) >= {100 + rule.percent} * size").select(F.col("c").alias("a"), F.col("sid").alias("b"))
 
-    numbers = every.groupBy("h").agg(F.count("*").alias("k"))
-    few = numbers.where(F.col("k") <= SMALL).select("h")
-    direct = in_lists(every.join(few, "h"))
-    active = cut(every.join(numbers.where(F.col("k") > SMALL).select("h"), "h"))
+    few = every.where(F.col("k") <= SMALL).select("h", "sid", "n")
+    active = every.where(F.col("k") > SMALL).select("h", "sid", "n")
     found = []
     for _ in range(ROUNDS):
-        if active.isEmpty():
+        # lists that are short by now wait for the merge; the others get centres
+        k = active.groupBy("h").agg(F.count("*").alias("k"))
+        left = k.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
+        if not left[0] or left[1] <= SMALL * left[0]:
             break
-        centre = active.groupBy("h").agg(F.min("sid").alias("c"))
-        pairs = active.join(centre, "h").where("sid <> c").select("c", "sid", "n").distinct()
+        centre = active.groupBy("h").agg(F.min("sid").alias("c"), F.min_by("n", "sid").alias("cn"))
+        ratio = f"least(n, cn) >= {1 - rule.far}D * greatest(n, cn) - 1e-6D"
+        pairs = active.join(centre, "h").where(f"sid <> c and {ratio}").select("c", "sid").distinct()
         measured = probed(pairs, rule.far)
         found.append(_links_by_difference(measured.where("diff is not null"), rule))
         covered = measured.where(f"size <= {rule.near / (2 - rule.near)} * (n + cn)").select("c", "sid")
-        done = active.join(centre, "h").join(covered.hint("merge"), ["c", "sid"], "left_semi").select("h", "sid")
+        done = active.join(centre.select("h", "c"), "h").join(covered.hint("merge"), ["c", "sid"], "left_semi").select("h", "sid")
         done = done.unionByName(centre.select("h", F.col("c").alias("sid")))
         left = active.join(done.hint("merge"), ["h", "sid"], "left_anti")
         many = left.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         active = cut(left.join(many, "h"))
-    if not active.isEmpty():
-        direct = direct.unionByName(in_lists(active)).distinct()
-    found.append(true_links(probed(direct, rule.apart)))
+    found.append(true_links(probed(_occurrences(few.unionByName(active), rule), rule.apart)))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -463,7 +492,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
     own = id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     own = own.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "row")
-    summaries = cut(own.mapInArrow(lambda it: _summaries(it, rule), "doc_id long, row long, n long, sid long, hist binary, fold array<long>, slice int, counts binary"))
+    summaries = cut(own.mapInArrow(lambda it: _summaries(it, rule), "doc_id long, row long, n long, sid long, hist binary, slice int, counts binary"))
     rows = summaries.where("slice is null").select("doc_id", "row", "n", "sid")
     groups = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc"), F.count("*").alias("k"))
     linked = components(links(own, summaries, rule), groups.select("sid", "doc"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -163,14 +163,14 @@ def trim() -> None:
 
 
 def per_batch(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows and about 2 MB, so that numpy's intermediates stay small."""
+    """Slices of at most ``rows`` rows and about 512 KB (one text at least), so that numpy's intermediates stay small."""
     try:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
             sizes = np.asarray(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0), np.int64)
             total, at = np.cumsum(sizes), 0
             while at < len(batch):
-                limit = (total[at - 1] if at else 0) + (2 << 20)
+                limit = (total[at - 1] if at else 0) + (1 << 19)
                 to = min(at + rows, max(at + 1, int(np.searchsorted(total, limit, "right"))))
                 yield batch.slice(at, to - at)
                 at = to
