@@ -21,8 +21,9 @@ How a link is found, without ever pairing all members of a group of copies:
    required overlap, prefixes and a bound by position.  The link holds exactly when
    ``k(a) + k(b) <= 2 (100 + percent) o`` with ``k = (100 + percent) * |difference| - (100 - percent) * |set|``: pairs
    that need no overlap at all link through the member of least k, one link each.
-4. Members far from the centre get another centre, in rounds, until the lists that are left are short on the whole;
-   these are merged with the short ones.  As the Jaccard distance is a metric, a centre's class takes everything
+4. Members far from the centre get another centre, ROUNDS times.  Members still left (texts that share a passage, but
+   little else) are searched among themselves by the true lengths of their lists, the shortest first, so that the
+   lists of the passage are among the long ones.  As the Jaccard distance is a metric, a centre's class takes everything
    within FAR, and a member leaves the list only when within NEAR, no link between different classes is lost (FAR -
    NEAR is the distance that links allow).
 5. Links are joined to components by label propagation with pointer jumping.
@@ -53,8 +54,8 @@ SLICES = 16
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-#: Rounds of centres at most; they end when the lists that are left have few members on the whole.
-ROUNDS = 6
+#: Rounds of centres; what is left after them is searched by the true lengths of its lists.
+ROUNDS = 2
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
 NEAR = 0.4
@@ -86,6 +87,9 @@ class Rule:
         """How many of a set's lists are short ones: with so many, every partner stands in OCCURRENCES of them."""
         return min(n, n - -(-self.percent * n // 100) + OCCURRENCES)
 
+    def short_sql(self, n: str) -> str:
+        return f"least({n}, {n} - ceil({self.percent} * {n} / 100D) + {OCCURRENCES})"
+
     def needed(self, n: str) -> str:
         """SQL for the occurrences in short lists that a set's partners have at least; its other lists are the long ones."""
         return f"least({OCCURRENCES}, ceil({self.percent} * {n} / 100D))"
@@ -221,6 +225,26 @@ def _short_lists(docs: DataFrame, rarity: np.ndarray, rule: Rule) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h long, sid long")
 
 
+def _shortest_lists(sets: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(h, sid, n) of the sets' shortest lists among themselves, so many as ``Rule.short`` has it; lists of one are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sid, x in zip(batch.column(0), batch.column(1), strict=True):
+                s = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), sid.as_py()))], names=["h", "sid"])
+
+    each = sets.mapInArrow(run, "h long, sid long")
+    k = each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    own = Window.partitionBy("sid")
+    return (
+        each.join(k, "h").join(sizes, "sid")
+        .withColumn("place", F.row_number().over(own.orderBy("k", "h"))).withColumn("all", F.count("*").over(own))
+        # a set's other lists, which hold it alone, are the shortest
+        .where(f"place <= {rule.short_sql('n')} - (n - all)").select("h", "sid", "n")
+    )
+
+
 def _occurrences(lists: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (c, sid), c the lesser, that stand together in as many of ``lists`` (h, sid, n) as a link between them needs.
 
@@ -386,6 +410,7 @@ def _links_by_difference(near: DataFrame, rule: Rule) -> DataFrame:
         .withColumn("size", F.size("diff").cast("long")).drop("usual")
         .withColumn("k", (100 + rule.percent) * F.col("size") - (100 - rule.percent) * F.col("n"))
     )
+    members = cut(members)  # used five times below
     least = members.groupBy("c").agg(F.min("k").alias("low"), F.min_by("sid", F.struct("k", "sid")).alias("hub"), F.max("groups").alias("groups"))
     placed = members.drop("groups").join(of(least).hint("merge"), ["c", "part"])
     plain = placed.where("k + low <= 0 and sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
@@ -440,23 +465,27 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     active = every.where(F.col("k") > SMALL).select("h", "sid", "n")
     found = []
     for _ in range(ROUNDS):
-        # lists that are short by now wait for the merge; the others get centres
-        k = active.groupBy("h").agg(F.count("*").alias("k"))
-        left = k.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
-        if not left[0] or left[1] <= SMALL * left[0]:
+        if active.isEmpty():
             break
         centre = active.groupBy("h").agg(F.min("sid").alias("c"), F.min_by("n", "sid").alias("cn"))
         ratio = f"least(n, cn) >= {1 - rule.far}D * greatest(n, cn) - 1e-6D"
         pairs = active.join(centre, "h").where(f"sid <> c and {ratio}").select("c", "sid").distinct()
         measured = probed(pairs, rule.far)
-        found.append(_links_by_difference(measured.where("diff is not null"), rule))
+        found.append(cut(_links_by_difference(measured.where("diff is not null"), rule)))  # one plan a round, not one of all
         covered = measured.where(f"size <= {rule.near / (2 - rule.near)} * (n + cn)").select("c", "sid")
         done = active.join(centre.select("h", "c"), "h").join(covered.hint("merge"), ["c", "sid"], "left_semi").select("h", "sid")
         done = done.unionByName(centre.select("h", F.col("c").alias("sid")))
         left = active.join(done.hint("merge"), ["h", "sid"], "left_anti")
         many = left.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         active = cut(left.join(many, "h"))
-    found.append(true_links(probed(_occurrences(few.unionByName(active), rule), rule.apart)))
+    k = active.groupBy("h").agg(F.count("*").alias("k"))
+    sized = active.join(k, "h")
+    pairs = _occurrences(few.unionByName(sized.where(F.col("k") <= SMALL).drop("k")), rule)
+    left = cut(sized.where(F.col("k") > SMALL).select("sid", "n").distinct())
+    if not left.isEmpty():
+        sets = cut(_candidate_sets(docs, left.join(sizes.select("sid", "doc"), "sid").select("sid", "doc"), rule))
+        pairs = pairs.unionByName(_occurrences(_shortest_lists(sets, left, rule), rule)).distinct()
+    found.append(true_links(probed(pairs, rule.apart)))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
