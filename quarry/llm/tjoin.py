@@ -8,8 +8,8 @@ How a link is found, without ever pairing all members of a group of copies:
 
 1. Equal sets are one class (keyed by a digest of the set); only classes go on.
 2. DivideSkip: a set's inverted lists are divided into short and long ones.  A partner has ``T`` of a set's n elements,
-   ``T = ceil(percent * n / 100)``.  The short lists are those of the ``n - T + OCCURRENCES`` rarest elements (by a count
-   sketch of the whole corpus' words, of fixed size), so that a partner stands in OCCURRENCES of them or more; the lists
+   ``T = ceil(percent * n / 100)``.  The short lists are those of the ``n - T + OCCURRENCES`` rarest elements (by count
+   sketches of the whole corpus' words and shingles, of fixed size), so that a partner stands in OCCURRENCES of them or more; the lists
    of a query are merged by a heap and what occurs less often is dropped.  The long lists are never read in full: what
    they add to the T occurrences is found by binary probes, of a query's elements in the candidate's sorted set.
 3. A short list that turns out to have more than SMALL members is not merged either, but gets a centre, its least
@@ -21,8 +21,8 @@ How a link is found, without ever pairing all members of a group of copies:
    required overlap, prefixes and a bound by position.  The link holds exactly when
    ``k(a) + k(b) <= 2 (100 + percent) o`` with ``k = (100 + percent) * |difference| - (100 - percent) * |set|``: pairs
    that need no overlap at all link through the member of least k, one link each.
-4. Members far from the centre get another centre, ROUNDS times.  Members still left (texts that share a passage, but
-   little else) are searched among themselves by the true lengths of their lists, the shortest first, so that the
+4. Members far from the centre get another centre, ROUNDS times.  Lists with MERGED members or fewer left are merged
+   as well.  Members of longer ones (texts that share a passage, but little else) are searched among themselves by the true lengths of their lists, the shortest first, so that the
    lists of the passage are among the long ones.  As the Jaccard distance is a metric, a centre's class takes everything
    within FAR, and a member leaves the list only when within NEAR, no link between different classes is lost (FAR -
    NEAR is the distance that links allow).
@@ -49,13 +49,18 @@ from .common import column, cut, id_text, merge_slices, release
 #: 2 MB where broadcast.  A shingle is as rare as the product of its words' counts is small.
 SKETCH_BITS = 21
 SLICES = 16
+#: Counters of the sketch of shingle counts, which tells passages that many documents share: a shingle whose counter is
+#: well above the mean comes after all others, whatever its words.
+HOT_BITS, HOT_SLICES = 21, 8
 #: A set's sketch has the parity of the number of its hashes in each part; the parts are a power of two, at least LEAST_PARTS
 #: and four to eight for each hash.  Sketches differ in no more bits than the sets in elements.
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-#: Rounds of centres; what is left after them is searched by the true lengths of its lists.
+#: Rounds of centres; lists that then have MERGED members or fewer are merged, those of longer ones searched by the true
+#: lengths of their lists.
 ROUNDS = 2
+MERGED = 256
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
 NEAR = 0.4
@@ -114,7 +119,11 @@ def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> w.U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _ranked_sets(texts: pa.Array, k: int, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _hot_counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> w.U64(64 - HOT_BITS)).astype(np.int64)
+
+
+def _ranked_sets(texts: pa.Array, k: int, bits: np.ndarray, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The set of each text, and the order of its elements by rarity, the same wherever an element stands."""
     data, offsets = w.buffers(texts)
     starts, _, hashes = w.words(data, offsets, lower=True)
@@ -122,7 +131,7 @@ def _ranked_sets(texts: pa.Array, k: int, bits: np.ndarray) -> Iterator[tuple[np
     if len(hashes) >= k:
         every, weight = w.shingles(hashes, k), bits[_counter(hashes)].astype(np.int64)
         weight = sum(weight[i : len(weight) - k + 1 + i] for i in range(k))
-        order = weight.astype(w.U64) << w.U64(52) | every >> w.U64(12)
+        order = hot[_hot_counter(every)].astype(w.U64) << w.U64(60) | weight.astype(w.U64) << w.U64(52) | every >> w.U64(12)
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= k:
             s, at = np.unique(every[a : b - k + 1], return_index=True)
@@ -155,8 +164,8 @@ def _least_difference(a: bytes, b: bytes) -> int:
 
 
 def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and at the end the partition's part of the sketch."""
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    """A row for each document, and at the end the partition's parts of the sketches."""
+    sketch, hot = np.zeros(1 << SKETCH_BITS, np.uint32), np.zeros(1 << HOT_BITS, np.uint32)
     names = ["doc_id", "row", "n", "sid", "hist", "slice", "counts"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     some = False
@@ -168,24 +177,32 @@ def _summaries(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Rec
             sid.append(d)
             hist.append(_parities(s))
         data, offsets = w.buffers(batch.column(1))
-        np.add.at(sketch, _counter(w.words(data, offsets, lower=True)[2]), 1)
+        hashes = w.words(data, offsets, lower=True)[2]
+        np.add.at(sketch, _counter(hashes), 1)
+        if len(hashes) >= rule.words:  # windows across two texts do no harm here
+            np.add.at(hot, _hot_counter(w.shingles(hashes, rule.words)), 1)
         some = True
         k = len(n)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(x, t) for x, t in zip((n, sid, hist, [None] * k, [None] * k), types, strict=True)]], names=names)
     if some:
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, SLICES)]
-        none = [None] * SLICES
-        columns = zip((none, none, none, none, none, list(range(SLICES)), parts), (pa.int64(), pa.int64(), *types), strict=True)
+        parts = [zlib.compress(x.tobytes(), 1) for x in (*np.split(sketch, SLICES), *np.split(hot, HOT_SLICES))]
+        none = [None] * len(parts)
+        columns = zip((none, none, none, none, none, list(range(len(parts))), parts), (pa.int64(), pa.int64(), *types), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=names)
 
 
-def _rarity(summaries: DataFrame) -> np.ndarray:
-    """For each counter of the sketch the bit length of its count; as many bytes as counters."""
+def _rarity(summaries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter of the words' sketch the bit length of its count, and for each of the shingles' how far it is above the mean."""
     parts = summaries.where("slice is not null").select("slice", F.col("counts").alias("part"))
     got = merge_slices(parts, np.add, np.uint32)
-    empty = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint32)
-    total = np.concatenate([got.get(i, empty) for i in range(SLICES)])
-    return np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
+
+    def whole(first: int, slices: int, bits: int) -> np.ndarray:
+        empty = np.zeros((1 << bits) // slices, np.uint32)
+        return np.concatenate([got.get(first + i, empty) for i in range(slices)]).astype(float)
+
+    words, hot = whole(0, SLICES, SKETCH_BITS), whole(SLICES, HOT_SLICES, HOT_BITS)
+    above = np.floor(2 * np.log2((hot + 1) / (1.5 * (hot.mean() + 8)))) + 1
+    return np.ceil(np.log2(words + 1)).astype(np.uint8), np.clip(above, 0, 15).astype(np.uint8)
 
 
 class _Seen:
@@ -204,15 +221,15 @@ class _Seen:
         return True
 
 
-def _short_lists(docs: DataFrame, rarity: np.ndarray, rule: Rule) -> DataFrame:
+def _short_lists(docs: DataFrame, rarity: tuple[np.ndarray, np.ndarray], rule: Rule) -> DataFrame:
     """(shingle, class): the rarest shingles of every class, so many that it shares OCCURRENCES of them with any partner."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, _Seen()
+        (bits, hot), seen = shared.value, _Seen()
         for batch in w.per_batch(batches):
             keys, ids = [], []
-            for s, rank in _ranked_sets(batch.column(1), rule.words, bits):
+            for s, rank in _ranked_sets(batch.column(1), rule.words, bits, hot):
                 n = len(s)
                 if not n or not seen.add(d := _digest(s)):
                     continue
@@ -480,8 +497,8 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
         active = cut(left.join(many, "h"))
     k = active.groupBy("h").agg(F.count("*").alias("k"))
     sized = active.join(k, "h")
-    pairs = _occurrences(few.unionByName(sized.where(F.col("k") <= SMALL).drop("k")), rule)
-    left = cut(sized.where(F.col("k") > SMALL).select("sid", "n").distinct())
+    pairs = _occurrences(few.unionByName(sized.where(F.col("k") <= MERGED).drop("k")), rule)
+    left = cut(sized.where(F.col("k") > MERGED).select("sid", "n").distinct())
     if not left.isEmpty():
         sets = cut(_candidate_sets(docs, left.join(sizes.select("sid", "doc"), "sid").select("sid", "doc"), rule))
         pairs = pairs.unionByName(_occurrences(_shortest_lists(sets, left, rule), rule)).distinct()
