@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def merge_slices(parts: DataFrame, combine: np.ufunc, dtype: type, fan: int = 32) -> dict[int, np.ndarray]:
+def merge_slices(parts: DataFrame, combine: np.ufunc, dtype: type, fan: int = 8) -> dict[int, np.ndarray]:
     """Element-wise ``combine`` of the compressed arrays of each slice in ``parts`` (slice int, part binary).
 
     Arrays meet in two steps, by slice and ``fan`` groups of partitions first, and are added up one by one, so that no

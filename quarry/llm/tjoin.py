@@ -431,16 +431,24 @@ def _links_by_difference(near: DataFrame, rule: Rule) -> DataFrame:
     least = members.groupBy("c").agg(F.min("k").alias("low"), F.min_by("sid", F.struct("k", "sid")).alias("hub"), F.max("groups").alias("groups"))
     placed = members.drop("groups").join(of(least).hint("merge"), ["c", "part"])
     plain = placed.where("k + low <= 0 and sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
-    rest = (
+    # the prefix of a difference has its shortest lists: first the elements that no other member's has, which need no list
+    each = (
         placed.withColumn("zero", F.expr("k + low <= 0"))
         .withColumn("required", F.greatest(F.lit(1), F.ceil((F.col("k") + F.col("low")) / overlap)))
-        .where("size >= required")
-        .select("c", "sid", "size", "k", "zero", F.posexplode(F.expr("slice(diff, 1, cast(size - required + 1 as int))")).alias("pos", "h"))
+        .where("size >= required").select("c", "sid", "size", "k", "zero", "required", F.explode("diff").alias("h"))
+    )
+    met = each.groupBy("c", "h").agg(F.count("*").alias("times"), F.bool_or(~F.col("zero")).alias("open")).where("times > 1 and open").drop("open")
+    own = Window.partitionBy("c", "sid")
+    rest = (
+        each.join(met.hint("merge"), ["c", "h"])
+        .withColumn("place", F.row_number().over(own.orderBy("times", "h"))).withColumn("all", F.count("*").over(own))
+        .withColumn("left", F.expr("all - place + 1"))  # elements from here on that others have too
+        .where("left >= required").select("c", "h", "sid", "k", "zero", "left")
     )
-    x, y = (rest.select("c", "h", *[F.col(f).alias(f"{f}_{s}") for f in ("sid", "size", "k", "zero", "pos")]) for s in "ab")
+    x, y = (rest.select("c", "h", *[F.col(f).alias(f"{f}_{s}") for f in ("sid", "k", "zero", "left")]) for s in "ab")
     pairs = (
-        x.join(y.hint("merge"), ["c", "h"])
-        .where(f"sid_a < sid_b and not (zero_a and zero_b) and {overlap} * least(size_a - pos_a, size_b - pos_b) >= k_a + k_b")
+        x.where("not zero_a").join(y.hint("merge"), ["c", "h"])
+        .where(f"(zero_b or sid_a < sid_b) and {overlap} * least(left_a, left_b) >= k_a + k_b")
         .select("c", "sid_a", "sid_b").distinct()
     )
     side = lambda s: members.select("c", F.col("sid").alias(f"sid_{s}"), F.col("k").alias(f"k_{s}"), F.col("diff").alias(f"diff_{s}"))
