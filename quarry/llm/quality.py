@@ -1,7 +1,9 @@
-"""Quality rules: rule statistics of every text, and an isolation forest over them.
+"""Quality rules: rule statistics of every text, and isolation forests over them.
 
-The forest is grown on the driver from a bounded sample of rows (``SAMPLE_ROWS``, the rows with the smallest seeded
-hash); its cut-off is calibrated on all labelled rows.  Scoring runs where the statistics are.
+There is a forest for each group of rules, one of what the text is made of and one of how it repeats and breaks, so that
+a text that is odd in one group isn't hidden among ordinary values of the other.  They are grown on the driver
+from a bounded sample of rows (``SAMPLE_ROWS``, the rows with the smallest seeded hash); each one's cut-off is calibrated on
+all labelled rows, good and bad.  Scoring runs where the statistics are.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ SAMPLE_ROWS = 8192
 TREE_ROWS = 256
 TREES = 100
 SEED = 17
-#: Of the labelled good rows that pass the base rules, the share that the cut-off may reject, and the bins it is chosen from.
-GOOD_LOSS = 0.002
+#: Of the labelled good rows that pass the base rules, the share that a forest's cut-off may reject; the share of bad ones
+#: that has to be caught for each share of good ones lost; and the bins that cut-offs are chosen from.
+GOOD_LOSS = 0.003
+WORTH = 10
 BINS = 4096
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_seen", "n_lines", "n_alpha", "n_digits", "n_distinct"]
@@ -33,7 +37,10 @@ STATS_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
 _SYMBOL, _ALPHA, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _ALPHA[65:91] = _ALPHA[97:123] = True
-_ALPHA[128:] = True  # letters outside ASCII, by their bytes
+# letters outside ASCII, one a code point, by its first byte: all but U+0080 to U+00BF (C2), U+2000 to U+2FFF (E2: punctuation,
+# arrows, drawings) and from U+10000 on (F0 and above, most of all pictures)
+_ALPHA[0xC3:0xF0] = True
+_ALPHA[0xE2] = False
 _DIGIT[48:58] = True
 
 
@@ -113,15 +120,24 @@ def rule_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             stats = _statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in stats]], names=["doc_id", *STATS])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, STATS_SCHEMA)
+    own = id_text(docs, id_col, text_col)
+    return own.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, STATS_SCHEMA)
 
 
-def features(x: dict[str, np.ndarray]) -> np.ndarray:
-    """The forest's view of the statistics: mean word length, symbols a word, share of letters.  The other statistics
-    serve the base rules; of labelled rows they isolate the rare but good ones, and would only blur the paths."""
+def features(x: dict[str, np.ndarray]) -> list[np.ndarray]:
+    """What each forest sees of the statistics.
+
+    Of what a text is made: mean word length, symbols a word, share of letters.  Of how it repeats and breaks: shares of
+    digits, of repeated lines and of words in repeated windows, distinct words for their expected growth (with the
+    square root of the length), and words a line.
+    """
     n = np.maximum(x["n_words"], 1).astype(float)
     chars = np.maximum(x["n_chars_seen"], 1).astype(float)
-    return np.stack([x["word_chars"] / n, x["n_symbols"] / n, x["n_alpha"] / chars], axis=1)
+    lines = np.maximum(x["n_lines"], 1).astype(float)
+    return [
+        np.stack([x["word_chars"] / n, x["n_symbols"] / n, x["n_alpha"] / chars], axis=1),
+        np.stack([x["n_digits"] / chars, x["n_dup_lines"] / lines, x["n_repeat_words"] / n, x["n_distinct"] / np.sqrt(n), np.log(n / lines)], axis=1),
+    ]
 
 
 @dataclass
@@ -196,69 +212,99 @@ def _failed_base(n_words, n_repeat):
     return (n_words < 50) | (100 * n_repeat > 50 * n_words)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], forest: Forest) -> Iterator[pa.RecordBatch]:
+@dataclass
+class Forests:
+    """The forest of each group of rules."""
+
+    forests: list[Forest]
+
+    def score(self, x: dict[str, np.ndarray]) -> list[np.ndarray]:
+        return [f.score(v) for f, v in zip(self.forests, features(x), strict=True)]
+
+    def ordinary(self, scores: list[np.ndarray]) -> np.ndarray:
+        """Whether no forest finds a row anomalous."""
+        return np.logical_and.reduce([v < f.cutoff for f, v in zip(self.forests, scores, strict=True)])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], forests: Forests) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = {c: np.asarray(batch.column(batch.schema.get_field_index(c)), np.int64) for c in STATS}
-        score = forest.score(features(x))
+        scores = forests.score(x)
         failed = _failed_base(x["n_words"], x["n_repeat_words"])
-        kept = ~failed & (score < forest.cutoff)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(failed), pa.array(kept)], names=[*batch.schema.names, "anomaly", "base_failed", "kept"])
+        kept = ~failed & forests.ordinary(scores)
+        names = [*batch.schema.names, *ANOMALIES, "base_failed", "kept"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in scores], pa.array(failed), pa.array(kept)], names=names)
 
 
-def apply_forest(stats: DataFrame, forest: Forest) -> DataFrame:
-    return stats.mapInArrow(lambda it: _scored(it, forest), STATS_SCHEMA + ", anomaly double, base_failed boolean, kept boolean")
+#: The score of each forest, in their order.
+ANOMALIES = ["anomaly", "anomaly_structure"]
 
 
-def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> Forest:
-    """Grow the forest from a bounded sample of ``stats`` and set its cut-off from all labelled rows.
+def apply_forests(stats: DataFrame, forests: Forests) -> DataFrame:
+    return stats.mapInArrow(lambda it: _scored(it, forests), STATS_SCHEMA + "".join(f", {c} double" for c in ANOMALIES) + ", base_failed boolean, kept boolean")
 
-    The cut-off is the smallest score that loses at most GOOD_LOSS of the labelled good rows among those that pass
-    the base rules.  Without labelled good rows nothing but the base rules rejects.
+
+def cut_off(bins: list[tuple[int, int, int]]) -> float:
+    """The cut-off from (bin, good rows, bad rows): of those that lose GOOD_LOSS of the good rows at most, the one whose
+    caught share of the bad rows exceeds WORTH times its lost share of the good ones by most; 2 (never) where none does.
+
+    Without bad rows it is the least that loses no more; without good rows nothing is rejected.
     """
+    all_good, all_bad = sum(b[1] for b in bins), sum(b[2] for b in bins)
+    if not all_good:
+        return 2.0
+    best, chosen, good, bad = 0.0, 2.0, 0, 0
+    for k, g, b in sorted(bins, reverse=True):
+        good, bad = good + g, bad + b
+        if good > GOOD_LOSS * all_good:
+            return chosen if all_bad else (k + 1) / BINS
+        gain = bad / all_bad - WORTH * good / all_good if all_bad else 0.0
+        if gain > best:
+            best, chosen = gain, k / BINS
+    return chosen
+
+
+def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> Forests:
+    """Grow the forests from a bounded sample of ``stats`` and set their cut-offs from all labelled rows that pass the base rules."""
     passing = stats.where(~((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
     # cut, so that the partitions' smallest rows meet on an executor and not on the driver
     sample = cut(passing.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), *STATS).limit(SAMPLE_ROWS)).toPandas()
-    forest = grow(features({c: sample[c].to_numpy(np.int64) for c in STATS}))
-    good = (
-        labels.select(column(labels, id_col).alias("doc_id"), column(labels, quality_col).alias("q"))
-        .where("q = 1 and doc_id is not null").select("doc_id").distinct()
-    )
-    bins = (
-        apply_forest(passing.join(good, "doc_id", "left_semi"), forest)
-        .groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).count().collect()
+    forests = Forests([grow(x) for x in features({c: sample[c].to_numpy(np.int64) for c in STATS})])
+    judged = (
+        labels.select(column(labels, id_col).cast("long").alias("doc_id"), column(labels, quality_col).alias("q"))
+        .where("q is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("q").cast("int")).alias("q"))
     )
-    total, lost = sum(r["count"] for r in bins), 0
-    forest.cutoff = 2.0
-    for r in sorted(bins, key=lambda r: -r["bin"]):
-        lost += r["count"]
-        if lost > GOOD_LOSS * total:
-            forest.cutoff = (r["bin"] + 1) / BINS
-            break
-    return forest
+    scored = cut(apply_forests(passing.drop("q"), forests).select("doc_id", *ANOMALIES).join(judged, "doc_id"))
+    good, bad = (F.sum(F.when(x, 1).otherwise(0)) for x in (F.col("q") == 1, F.col("q") != 1))
+    for forest, name in zip(forests.forests, ANOMALIES, strict=True):
+        bins = scored.groupBy(F.floor(F.col(name) * BINS).alias("bin")).agg(good.alias("good"), bad.alias("bad")).collect()
+        forest.cutoff = cut_off([tuple(r) for r in bins])
+    return forests
 
 
 def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Statistics, anomaly score and verdict of every row of ``docs``.
+    """Statistics, anomaly scores and verdict of every row of ``docs``.
 
     Null texts count as empty and fail the base rules.  Repeated rows are judged one by one and alike.  An empty
     table gives an empty result.  Extra columns are ignored.
     """
     stats = cut(rule_statistics(docs, id_col, text_col))
-    return apply_forest(stats, fit(stats, labels))
+    return apply_forests(stats, fit(stats, labels))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the rules reject; columns as they were.
+    """``docs`` without the rows that the rules reject; columns as they were, whatever their names.
 
-    The statistics are computed twice, once to fit and once beside the rows, which costs less than moving the texts.
+    Null and empty texts fail the base rules and go.  Repeated rows stay or go alike.  An empty table gives an empty one,
+    and without labels the base rules alone reject.  The statistics are computed twice, once to fit and once beside the rows, which costs less than moving the texts.
     """
-    forest = fit(cut(rule_statistics(docs, id_col, text_col)), labels)
+    forests = fit(cut(rule_statistics(docs, id_col, text_col)), labels)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.per_batch(batches, text_col):
             x = dict(zip(STATS, _statistics(batch.column(at)), strict=True))
-            kept = ~_failed_base(x["n_words"], x["n_repeat_words"]) & (forest.score(features(x)) < forest.cutoff)
+            kept = ~_failed_base(x["n_words"], x["n_repeat_words"]) & forests.ordinary(forests.score(x))
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,9 +19,9 @@ def query(f):
 
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base rules and the isolation forest's verdict on every document."""
+    """Base rules and the isolation forests' verdict on every document."""
     out = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality.ANOMALIES)
 
 
 @query
