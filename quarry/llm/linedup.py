@@ -1,12 +1,12 @@
 """Near-duplicate lines by a segment-partition edit join, in DataFrame operations only.
 
 The lines of all documents are compared.  Of equal lines the first occurrence counts, by document id and then by place.
-A line goes if an earlier line (by first occurrences) is within TAU edits of it; so does every later occurrence of a
-line.  Lines without a word stay, and lines shorter than LEAST code points are compared for equality only.  Lines are
-known by a 64-bit hash and their length.
+A line goes if an earlier line (by first occurrences) is within as many edits of it as the shorter of the two allows:
+TAU, one below LONG code points, none below LEAST, which are told apart by any edit.  So does every later occurrence of
+a line.  Lines without a word stay.  Lines are known by a 64-bit hash and their length.
 
-The join: each distinct line is split into TAU + 1 even segments.  Of a line within TAU edits at least one segment
-stands unchanged in the other line, near its own place; the places are those of the multi-match-aware bounds, by length
+The join: each distinct line is split into one more even segment than the edits it allows.  Of a line within so many
+edits at least one segment stands unchanged in the other line, near its own place; the places are those of the multi-match-aware bounds, by length
 and segment.  Segments of all lines are the index, by hashes of length, number and text; substrings are probed against
 it, after a filter of the index (of fixed size) has let them through.  Lines that share a key are paired if their counts of
 characters, in eight classes, differ by no more than TAU edits can make.  Pairs are freed of the ends that they
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import column, cut
 
 TAU = 2
-LEAST = 24
+LONG = 24
+LEAST = 8
 #: Words of the filter of the index, of 64 bits each, and bits for a key: a table of so many rows at most, 16 MB, goes to
 #: every task.
 FILTER_WORDS = 1 << 20
@@ -43,16 +44,35 @@ def _segments(length: str, tau: int) -> list[tuple[str, str]]:
 
 
 def _keys(tau: int) -> tuple[list[str], list[str]]:
-    """SQL for the keys of a line's own segments, and for those of the substrings that are probed besides them."""
-    own, probes = [], []
-    for shift in range(tau + 1):  # the partner is shorter by so much
-        length = f"(n - {shift})"
-        for i, (start, size) in enumerate(_segments(length, tau), 1):
-            left, right = i - 1, tau + 1 - i
-            for move in range(max(-left, shift - right), min(left, shift + right) + 1):
-                key = f"xxhash64({i}, {length}, substring(code, cast(4 * ({start} + {move}) - 3 as int), cast(4 * {size} as int)))"
-                (own if shift == 0 and move == 0 else probes).append(key)
-    return own, probes
+    """SQL for the keys of a line's own segments, and for those of the substrings that are probed besides them.
+
+    The partner, as long or shorter by up to ``tau``, is split by the edits that its own length allows; a key is null
+    where a partner of that length allows none.
+    """
+
+    def of(edits: int) -> tuple[dict, dict]:
+        own, probes = {}, {}
+        for shift in range(edits + 1):
+            length = f"(n - {shift})"
+            for i, (start, size) in enumerate(_segments(length, edits), 1):
+                left, right = i - 1, edits + 1 - i
+                for move in range(max(-left, shift - right), min(left, shift + right) + 1):
+                    key = f"xxhash64({i}, {length}, substring(code, cast(4 * ({start} + {move}) - 3 as int), cast(4 * {size} as int)))"
+                    (own if shift == 0 and move == 0 else probes).setdefault(shift, []).append(key)
+        return own, probes
+
+    (own, probes), (own1, probes1) = of(tau), of(min(1, tau))
+
+    def either(long: dict, short: dict) -> list[str]:
+        out = []
+        for shift in range(tau + 1):
+            a, b = long.get(shift, []), short.get(shift, [])
+            for k in range(max(len(a), len(b))):
+                x, y = (v[k] if k < len(v) else "cast(null as bigint)" for v in (a, b))
+                out.append(f"case when n - {shift} >= {LONG} then {x} when n - {shift} >= {LEAST} then {y} end")
+        return out
+
+    return either(own, own1), either(probes, probes1)
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -129,29 +149,37 @@ def _class_difference(a: str, b: str) -> str:
     return " + ".join(f"abs({lane(a, k)} - {lane(b, k)})" for k in range(CLASSES))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(occ, line, h, n): each line that has a word; occ orders by document and place."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, narrow: bool) -> DataFrame:
+    """(occ, line, h, n): each line that has a word; occ orders by document and place, as a decimal where ids need it."""
     ident = F.coalesce(column(docs, id_col).cast("long"), F.lit(-(1 << 63)))
+    if narrow:
+        occ = F.col("doc") * F.lit(_PLACES) + F.col("pos")
+    else:
+        occ = (F.col("doc").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(32,0)")
     return (
         docs.select(ident.alias("doc"), F.posexplode(F.split(column(docs, text_col), "\n", -1)).alias("pos", "line"))
         .where(F.col("line").rlike(_WORD))
-        .select(
-            (F.col("doc").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(32,0)").alias("occ"),
-            "line", F.xxhash64("line").alias("h"), F.length("line").alias("n"),
-        )
+        .select(occ.alias("occ"), "line", F.xxhash64("line").alias("h"), F.length("line").alias("n"))
     )
 
 
-def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+def _narrow(docs: DataFrame, id_col: str) -> bool:
+    """Whether all ids are within 0 and 2**32, so that a document and a place in it fit into one 64-bit number."""
+    ident = column(docs, id_col).cast("long")
+    low, high, nulls = docs.agg(F.min(ident), F.max(ident), F.count_if(ident.isNull())).first()
+    return not nulls and (low is None or (low >= 0 and high < 1 << 32))
+
+
+def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """(h, occ): the distinct lines that stay, with their first occurrence."""
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col, _narrow(docs, id_col))
     own, probes = _keys(tau)
     # code points of four bytes each, so that a substring is found without a walk along the line
-    coded = lines.withColumn("code", F.when(F.col("n") >= least, F.encode("line", "UTF-32")))
+    coded = lines.withColumn("code", F.when(F.col("n") >= LEAST, F.encode("line", "UTF-32")))
     keyed = coded.select("h", "n", "occ", *[F.when(F.col("code").isNotNull(), F.expr(k)).alias(f"k{i}") for i, k in enumerate(own + probes)])
     names = [f"k{i}" for i in range(len(own + probes))]
     distinct = cut(keyed.groupBy("h", "n").agg(F.min("occ").alias("occ"), *[F.max(c).alias(c) for c in names]))
-    long = distinct.where(F.col("n") >= least)
+    long = distinct.where(F.col("n") >= LEAST)
     index = long.select("h", F.explode(F.array(*names[: len(own)])).alias("key"), F.lit(True).alias("own"))
     probe = long.select("h", F.explode(F.array(*names[len(own) :])).alias("key"), F.lit(False).alias("own"))
     rows = index.unionByName(_passing(probe, "key", index.select("key"))).where("key is not null")
@@ -165,18 +193,19 @@ def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = cut(texts.select("h", "occ", "line", F.length("line").alias("n"), F.expr(_char_counts("line")).alias("sig")))
     sized = matched.join(texts.select("h", "n", "sig"), "h")
     left, right = (sized.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("h", "n", "sig", "own")]) for s in "ab")
-    near = f"own_a and h_a <> h_b and (h_a < h_b or not own_b) and abs(n_a - n_b) <= {tau} and {_class_difference('sig_a', 'sig_b')} <= {2 * tau}"
+    allowed = f"if(least(n_a, n_b) < {LONG}, {min(1, tau)}, {tau})"
+    near = f"own_a and h_a <> h_b and (h_a < h_b or not own_b) and abs(n_a - n_b) <= {allowed} and {_class_difference('sig_a', 'sig_b')} <= 2 * {allowed}"
     pairs = left.where("own_a").join(right, "key").where(near).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
-    side = lambda s: texts.select(F.col("h").alias(s), F.col("occ").alias(f"occ_{s}"), F.col("line").alias(f"line_{s}"))
+    side = lambda s: texts.select(F.col("h").alias(s), F.col("occ").alias(f"occ_{s}"), F.col("line").alias(f"line_{s}"), F.col("n").alias(f"n_{s}"))
+    close = F.when(F.least("n_a", "n_b") < LONG, within_edits("line_a", "line_b", min(1, tau))).otherwise(within_edits("line_a", "line_b", tau))
     gone = (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .where(within_edits("line_a", "line_b", tau))
+        pairs.join(side("a"), "a").join(side("b"), "b").where(close)
         .select(F.when(F.col("occ_a") < F.col("occ_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
     )
     return distinct.select("h", "occ").join(gone, "h", "left_anti")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = TAU) -> DataFrame:
     """``docs`` with the text freed of repeated lines and n_chars, if there, set anew; also __n_lines and __n_kept.
 
     Null texts stay null, with no lines; a text of no words stays as it is.  Rows that share an id are one document: a
@@ -184,9 +213,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are left as they are.
     """
     kept = (
-        surviving_lines(docs, id_col, text_col, tau, least)
-        .withColumn("__pos", F.expr(f"pmod(occ, cast({_PLACES} as decimal(10,0)))"))
-        .select(F.expr(f"cast((occ - __pos) / {_PLACES}L as long)").alias("__doc"), F.struct(F.col("__pos").cast("int").alias("pos"), "h").alias("k"))
+        surviving_lines(docs, id_col, text_col, tau)
+        .withColumn("__pos", F.expr(f"pmod(occ, {_PLACES}L)"))
+        .select(F.expr(f"(occ - __pos) div {_PLACES}L").cast("long").alias("__doc"), F.struct(F.col("__pos").cast("int").alias("pos"), "h").alias("k"))
         .groupBy("__doc").agg(F.collect_list("k").alias("__kept"))
     )
     ident = F.coalesce(column(docs, id_col).cast("long"), F.lit(-(1 << 63)))
