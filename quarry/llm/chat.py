@@ -66,7 +66,7 @@ def spans(turns: Turns, renderer: Renderer = render) -> tuple[str, list[tuple[in
 
 
 def loss_mask(turns: Turns, renderer: Renderer = render, role: str = "assistant") -> tuple[str, list[tuple[int, int]], bool]:
-    """The output, the spans under the loss (the role's texts without marks) and whether the template rewrites history.
+    """The output, the spans under the loss (the role's texts without marks) and whether the template rewrites history or a text.
 
     Within a turn's span the text is found by rendering the prefix once more with an empty text and comparing: what
     both begin and end with is the template's own.
@@ -82,12 +82,12 @@ def loss_mask(turns: Turns, renderer: Renderer = render, role: str = "assistant"
         full, head, tail = out[a:b], 0, 0
         # the empty turn is head + tail; of all ways to cut it the one whose middle stands for the text is right
         escaped = [i for i in range(len(bare) + 1) if full.startswith(bare[:i]) and full.endswith(bare[i:])]
-        for i in escaped:
-            if unescape(full[i : len(full) - (len(bare) - i)]) == turns[k][1]:
-                head, tail = i, len(bare) - i
-                break
-        else:
-            raise ValueError("the template changes a text beyond its escapes")
+        shown = [(i, unescape(full[i : len(full) - (len(bare) - i)])) for i in escaped]
+        # a template may strip a text; then what it shows of it is under the loss
+        right = [i for i, x in shown if x == turns[k][1]] or [i for i, x in shown if x.strip() == turns[k][1].strip()]
+        if not right:
+            return out, [], True
+        head, tail = right[0], len(bare) - right[0]
         mask.append((a + head, b - tail))
     return out, mask, False
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import column
+from .common import bounded_batches, column
 from .words import trim
 
 MARK = "▁"
@@ -234,12 +234,18 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """(doc_id, n_ids, ids_sha256, round_trip[, ids]) for each row; with ``keep`` all columns of ``docs`` and the ids.
 
     ``ids_sha256`` is over the ids as little-endian 32-bit numbers; ``round_trip`` says whether decoding gives the text
-    back.  Null texts have no ids, count as empty and give themselves back.  Repeated rows are encoded alike.
+    back.  Null texts have no ids, count as empty and give themselves back.  Repeated rows are encoded alike.  An empty
+    table gives an empty one.  With ``keep``, columns of ``docs`` that are called as the new ones stay, and the new ones
+    get underscores after their names.
     """
     verify_parity(model, PARITY)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs if keep else docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).cast("string").alias("text"))
     at = source.columns.index(text_col if keep else "text")
+    bounded_batches(docs.sparkSession)
+    new = ["ids", "round_trip"]
+    while keep and {c.lower() for c in docs.columns} & set(new):
+        new = [f"{c}_" for c in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(shared.value)
@@ -252,7 +258,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 if keep:
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
-                    yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, pa.bool_())], names=[*batch.schema.names, "ids", "round_trip"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, pa.bool_())], names=[*batch.schema.names, *new])
                     continue
                 cols = [
                     batch.column(0), pa.array([len(x) for x in found], pa.int64()),
@@ -267,7 +273,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
         trim()
 
     if keep:
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", ids array<int>, round_trip boolean"
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", {new[0]} array<int>, {new[1]} boolean"
     else:
         schema = "doc_id long, n_ids long, ids_sha256 string, round_trip boolean" + (", ids array<int>" if ids else "")
     return source.mapInArrow(run, schema)

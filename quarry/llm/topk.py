@@ -51,7 +51,10 @@ def _segments(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of the k best of the block for each query; ties to the smaller id."""
+    """(place of the query, vector, score) of the k best of the block for each query; ties to the smaller id.
+
+    One row of the query's id and vector is the query itself.
+    """
     width = max(x.shape[1], q.shape[1])
     x, q = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, q))
     # of equal vectors only the k + 1 with the least ids can be asked for (one may be the query itself)
@@ -73,9 +76,10 @@ def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: in
     coarse = n0 @ m0.T + e0 @ d0.T  # queries x vectors of this block
     for i in range(len(q)):
         bound = coarse[i] + slack[i]
-        own = ids == qid[i]
+        own = np.flatnonzero(ids == qid[i])
+        own = own[(x[own] == q[i]).all(1)][:1]
         bound[own] = -np.inf
-        want = min(k, len(ids) - int(own.sum()))
+        want = min(k, len(ids) - len(own))
         if want <= 0:
             continue
         seed = np.argpartition(-bound, want - 1)[:want]
@@ -87,7 +91,7 @@ def search(ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: in
             alive = alive[m[alive] @ n[i] + d[alive] @ e[i] + slack[i] >= floor]
         score = (xf[alive] @ qf[i]).astype(np.int64)
         best = np.lexsort((ids[alive], -score))[:want]
-        out += [(int(qid[i]), int(ids[alive[j]]), int(score[j])) for j in best]
+        out += [(i, int(ids[alive[j]]), int(score[j])) for j in best]
     return out
 
 
@@ -96,31 +100,33 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose id is divisible by ``every``.
 
-    A row is no candidate for a query of its own id.  Shorter vectors count as padded with zeros.  Null ids and
+    A row is no candidate for itself; other rows of its id are.  Shorter vectors count as padded with zeros.  Null ids and
     vectors that are null or not finite take no part; fewer than k other rows give fewer results; an empty table gives
-    none.  Equal scores go to the smaller id; repeated rows are results of their own, and a query that comes more than
-    once is one query (its least vector).  Extra columns are ignored.
+    none.  Equal scores go to the smaller id; repeated rows are results of their own and, where their id is divisible,
+    queries of their own.  Extra columns are ignored.
     """
     rows = cut(vectors(df, id_col, vec_col, scale))
     n = rows.count()
-    blocks, asked = -(-n // ROWS) or 1, rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    blocks, asked = -(-n // ROWS) or 1, rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "v").agg(F.count("*").alias("times"))
     asks = -(-asked.count() // QUERIES) or 1
     grid = lambda c, other: F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(c)
-    left = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), grid("ask", asks), "vec_id", "v", F.lit(False).alias("is_query"))
-    right = asked.select(grid("block", blocks), F.pmod(F.xxhash64("vec_id"), F.lit(asks)).cast("int").alias("ask"), "vec_id", "v", F.lit(True).alias("is_query"))
+    left = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), grid("ask", asks), "vec_id", "v", F.lit(0).cast("long").alias("times"), F.lit(False).alias("is_query"))
+    right = asked.select(grid("block", blocks), F.pmod(F.xxhash64("vec_id", "v"), F.lit(asks)).cast("int").alias("ask"), "vec_id", "v", "times", F.lit(True).alias("is_query"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         q, x = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
         found = search(x["vec_id"].to_numpy(np.int64), _matrix(x["v"]), q["vec_id"].to_numpy(np.int64), _matrix(q["v"]), k) if len(q) and len(x) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+        at = [f[0] for f in found]
+        query = pd.DataFrame({"query_id": q["vec_id"].to_numpy(np.int64)[at], "row": q["row"].to_numpy(np.int64)[at], "times": q["times"].to_numpy(np.int64)[at]})
+        return query.assign(vec_id=[f[1] for f in found], score=[f[2] for f in found]).astype("int64")
 
     part = (
-        left.unionByName(right.select("block", "ask", "vec_id", "v", "is_query"))
-        .groupBy("block", "ask").applyInPandas(run, "query_id long, vec_id long, score long")
+        left.unionByName(right.select("block", "ask", "vec_id", "v", "times", "is_query")).withColumn("row", F.xxhash64("v"))
+        .groupBy("block", "ask").applyInPandas(run, "query_id long, row long, times long, vec_id long, score long")
     )
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k)
     return (
-        part.groupBy("query_id").agg(best.alias("best"))
-        .select("query_id", F.posexplode("best").alias("at", "b"))
+        part.groupBy("query_id", "row", "times").agg(best.alias("best"))
+        .withColumn("nth", F.explode(F.expr("sequence(1L, times)"))).select("query_id", F.posexplode("best").alias("at", "b"))
         .select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.low")).alias("score"))
     )

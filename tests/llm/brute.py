@@ -67,13 +67,33 @@ def edits(a, b):
     return p[-1]
 
 
-def dedup_lines(rows, tau, least):
+def within(a, b, tau):
+    """Whether a and b are within tau edits: the table's rows, but for cells further than tau from the diagonal."""
+    p = {j: j for j in range(min(len(b), tau) + 1)}
+    for i, x in enumerate(a, 1):
+        q = {}
+        for j in range(max(0, i - tau), min(len(b), i + tau) + 1):
+            q[j] = i if j == 0 else min(p.get(j, tau + 1) + 1, q.get(j - 1, tau + 1) + 1, p.get(j - 1, tau + 1) + (x != b[j - 1]))
+        if not q or min(q.values()) > tau:
+            return False
+        p = q
+    return p.get(len(b), tau + 1) <= tau
+
+
+def dedup_lines(rows):
+    """Edits allowed between two lines: none below 8 code points of the shorter one, one below 24, else two."""
     first = {}
     for d, t in rows:
         for i, line in enumerate(t.split("\n") if t is not None else []):
             if WORD.search(line):
                 first[line] = min(first.get(line, (float("inf"), 0)), (d, i))
-    gone = {x for x in first if len(x) >= least and any(y != x and len(y) >= least and first[y] < first[x] and abs(len(x) - len(y)) <= tau and edits(x, y) <= tau for y in first)}
+
+    def near(x, y):
+        short = min(len(x), len(y))
+        tau = 0 if short < 8 else 1 if short < 24 else 2
+        return tau and abs(len(x) - len(y)) <= tau and within(x, y, tau)
+
+    gone = {x for x in first if any(y != x and first[y] < first[x] and near(x, y) for y in first)}
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if not WORD.search(x) or (first[x] == (d, i) and x not in gone)) for d, t in rows}
 
 

@@ -97,6 +97,30 @@ def test_quality_without_labels_or_rows(spark):
     assert r["kept"] or r["base_failed"]
 
 
+def test_quality_of_clashing_names_narrow_ids_and_long_texts(spark):
+    rows = [(1, text(80)), (2, text(30_000)), (3, None), (4, ""), (1, text(80))]
+    docs = clash(spark, rows).withColumn("doc_id", F.col("doc_id").cast("int")).withColumn("n_words", F.lit(1)).withColumn("anomaly", F.lit(0.5))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r["doc_id"] for r in quality.assess(docs, labels).collect()) == [1, 1, 2, 3, 4]
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} <= {1, 2}
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_cut_offs_weigh_good_against_bad():
+    bins = [(10, 9000, 10), (20, 990, 20), (30, 10, 60), (40, 0, 10)]
+    assert quality.cut_off(bins) == 30 / quality.BINS  # 10 of 10,000 good ones for 70 of 100 bad ones
+    assert quality.cut_off([(10, 9990, 99), (30, 10, 1)]) == 2.0  # not worth it
+    assert quality.cut_off([(10, 0, 5)]) == 2.0 and quality.cut_off([]) == 2.0
+    assert quality.cut_off([(10, 9000, 0), (20, 990, 0), (30, 10, 0)]) == 21 / quality.BINS
+
+
+def test_letters_are_counted_by_code_point():
+    n = len(quality.STATS)
+    stats = dict(zip(quality.STATS, quality._statistics(pa.array(["Привет мир", "abc 12", "“—”…", "你好 ñ"])), strict=True))
+    assert stats["n_alpha"].tolist() == [9, 3, 0, 3] and stats["n_chars_seen"].tolist() == [10, 6, 4, 4] and len(stats) == n
+
+
 def test_forest_isolates_what_is_odd():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(size=(500, 3)), [[9.0, 9.0, 9.0]]])
@@ -269,6 +293,14 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert spm.encode(empty(spark), model).count() == 0
 
 
+def test_sentencepiece_keeps_columns_of_its_own_names(spark):
+    docs = clash(spark, [(1, "a b"), (2, None)]).withColumn("ids", F.lit(7)).withColumn("round_trip", F.lit("x"))
+    out = spm.encode(docs, spm.read_model(), keep=True)
+    assert out.columns == [*docs.columns, "ids_", "round_trip_"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["ids"] == 7 and len(got[1]["ids_"]) > 0 and got[2]["round_trip_"] and got[2]["ids_"] == []
+
+
 def _message(*parts):
     out = b""
     for number, value in parts:
@@ -389,12 +421,25 @@ def test_line_dedup(spark):
     docs = clash(spark, rows)
     out = linedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "__n_lines", "__n_kept"]
-    want = brute.dedup_lines(rows, linedup.TAU, linedup.LEAST)
+    want = brute.dedup_lines(rows)
     for r in out.collect():
         assert r["text"] == want[r["doc_id"]]
         assert r["text"] is None or r["n_chars"] == len(r["text"])
 
 
+def test_short_lines_within_one_edit(spark):
+    rows = [(1, "short line ab\nabcdefgh\ntiny"), (2, "short line xb\nabcdefghi\ntinx"), (3, "short line xyz\nabcdefgh"), (4, "a line of twenty-three!!\na line of twenty-three"), (5, "a line of twenty-thre")]
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(clash(spark, rows)).collect()}
+    assert got == brute.dedup_lines(rows)
+    assert got[2] == "tinx" and got[3] == "short line xyz"
+
+
+def test_line_dedup_of_wide_ids(spark):
+    rows = [(1 << 40, "one line that is long enough to be compared"), (-(1 << 50), "one line that is long enough to be compered"), (3, "one line that is long enough to be compared")]
+    got = {r["doc_id"]: r["text"] for r in linedup.dedup_lines(clash(spark, rows)).collect()}
+    assert got == brute.dedup_lines(rows)
+
+
 def test_line_dedup_of_repeated_rows_and_nothing(spark):
     rows = [(1, "same line here\nother"), (1, "same line here\nother"), (2, "other")]
     assert sorted(r["text"] for r in linedup.dedup_lines(clash(spark, rows)).collect()) == ["", "same line here\nother", "same line here\nother"]
@@ -420,6 +465,17 @@ def test_chat_detects_rewritten_history():
     assert not rewrites and [out[a:b] for a, b in mask] == ["b: \n"]
 
 
+def test_chat_of_templates_that_change_texts():
+    strips = lambda turns: "".join(f"[{r}] {t.strip()}\n" for r, t in turns)
+    out, mask, changed = chat.loss_mask([("user", " a "), ("assistant", " b \n")], strips)
+    assert not changed and [out[a:b].strip() for a, b in mask] == ["b"]
+    upper = lambda turns: "".join(f"[{r}] {t.upper()}\n" for r, t in turns)
+    assert chat.loss_mask([("assistant", "abc")], upper) == ("[assistant] ABC\n", [], True)
+    long = [("user" if k % 2 else "assistant", f"turn {k} " * 20) for k in range(400)]
+    out, mask, changed = chat.loss_mask(long)
+    assert not changed and "".join(chat.unescape(out[a:b]) for a, b in mask) == "".join(t for r, t in long if r == "assistant")
+
+
 def test_chat_nulls_ties_and_nothing(spark):
     df = spark.createDataFrame([(1, 2, "user", "x"), (1, 1, None, None), (1, 2, "assistant", "y"), (1, None, "system", "s"), (None, 1, "assistant", "z")], "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1))
     got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
@@ -435,16 +491,17 @@ def test_top_k_with_ties_nulls_and_repeats(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in (rng.integers(-2, 3, 8) / 4)]) for i in range(300)]
     rows += [(i, [0.25] * 8) for i in range(300, 340)] + [(1000, None), (1001, [None, 1.0]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (None, [1.0] * 8), (1005, [1.0, 0.5]), rows[7]]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("x", F.lit(1))
+    every = [*rows, rows[50], (100, [0.5] * 8)]  # a query that comes twice, and two of one id
+    df = spark.createDataFrame(every, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("x", F.lit(1))
     got = sorted(map(tuple, topk.top_k(df).collect()))
-    good = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in [*rows, rows[50], (100, [0.5] * 8)] if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q, v in [g for g in good if g[0] % 50 == 0]:
-        best = sorted((-sum(a * b for a, b in zip(v, u, strict=False)), i) for i, u in good if i != q)[:5]
+    for at, (q, v) in [(at, g) for at, g in enumerate(good) if g[0] % 50 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(v, u, strict=False)), i) for other, (i, u) in enumerate(good) if other != at)[:5]
         want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
-    assert sorted(map(tuple, topk.top_k(df.where("vec_id in (50, 51)")).collect()))[0][:3] == (50, 1, 51)
+    assert [r[2] for r in sorted(map(tuple, topk.top_k(df.where("vec_id in (150, 151)")).collect()))] == [151]
 
 
 def test_top_k_over_several_blocks(spark, monkeypatch):
@@ -505,7 +562,7 @@ def test_pipeline_stages(spark, tmp_path):
     want = sorted(d for (d, t), (_, _, c) in zip(rows, brute.components(rows, 5, 80), strict=True) if c == d)
     assert sorted(r["doc_id"] for r in after.collect()) == want
     before, after = seen["line dedup"]
-    want = {d: t for d, t in brute.dedup_lines([tuple(r) for r in before.select("doc_id", "text").collect()], linedup.TAU, linedup.LEAST).items() if brute.words(t)}
+    want = {d: t for d, t in brute.dedup_lines([tuple(r) for r in before.select("doc_id", "text").collect()]).items() if brute.words(t)}
     assert {r["doc_id"]: r["text"] for r in after.collect()} == want
     assert docs.where("not round_trip").count() == 0 and docs.count() > 0
 
