@@ -25,9 +25,10 @@ SAMPLE_ROWS = 8192
 TREE_ROWS = 256
 TREES = 100
 SEED = 17
-#: Of the labelled good rows that pass the base rules, the share that a forest's cut-off may reject; the share of bad ones
-#: that has to be caught for each share of good ones lost; and the bins that cut-offs are chosen from.
-GOOD_LOSS = 0.003
+#: Of the labelled good rows that pass the base rules, the share that a forest's cut-off may reject (or FEW rows, where they are
+#: so few that the share is less); the share of bad ones that has to be caught for each share of good ones lost; and the
+#: bins that cut-offs are chosen from.
+GOOD_LOSS, FEW = 0.003, 2
 WORTH = 10
 BINS = 4096
 
@@ -245,7 +246,7 @@ def apply_forests(stats: DataFrame, forests: Forests) -> DataFrame:
 
 
 def cut_off(bins: list[tuple[int, int, int]]) -> float:
-    """The cut-off from (bin, good rows, bad rows): of those that lose GOOD_LOSS of the good rows at most, the one whose
+    """The cut-off from (bin, good rows, bad rows): of those that lose GOOD_LOSS (or FEW) of the good rows at most, the one whose
     caught share of the bad rows exceeds WORTH times its lost share of the good ones by most; 2 (never) where none does.
 
     Without bad rows it is the least that loses no more; without good rows nothing is rejected.
@@ -256,7 +257,7 @@ def cut_off(bins: list[tuple[int, int, int]]) -> float:
     best, chosen, good, bad = 0.0, 2.0, 0, 0
     for k, g, b in sorted(bins, reverse=True):
         good, bad = good + g, bad + b
-        if good > GOOD_LOSS * all_good:
+        if good > max(FEW, GOOD_LOSS * all_good):
             return chosen if all_bad else (k + 1) / BINS
         gain = bad / all_bad - WORTH * good / all_good if all_bad else 0.0
         if gain > best:

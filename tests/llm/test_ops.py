@@ -113,6 +113,7 @@ def test_cut_offs_weigh_good_against_bad():
     assert quality.cut_off([(10, 9990, 99), (30, 10, 1)]) == 2.0  # not worth it
     assert quality.cut_off([(10, 0, 5)]) == 2.0 and quality.cut_off([]) == 2.0
     assert quality.cut_off([(10, 9000, 0), (20, 990, 0), (30, 10, 0)]) == 21 / quality.BINS
+    assert quality.cut_off([(10, 95, 5), (30, 2, 90)]) == 30 / quality.BINS  # two rows are more than the share, but few
 
 
 def test_letters_are_counted_by_code_point():
