@@ -90,9 +90,11 @@ def _shared_end(x: str, y: str, most: str, tail: bool) -> str:
     return f"aggregate({steps}, 0, (n, k) -> if(k <= {most} - n and {same}, n + k, n))"
 
 
-def within_edits(x: str, y: str, tau: int = TAU) -> Column:
+def within_edits(x: str, y: str, tau: int = TAU, allowed: str | None = None) -> Column:
     """True where the strings in columns ``x`` and ``y``, whose lengths differ by ``tau`` at most, are within ``tau`` edits.
 
+    ``allowed`` is SQL for a number of edits of each pair, ``tau`` or fewer.
+
     What both begin and end with is cut off.  Over the rest of y runs an automaton: bit d of group e says that some
     alignment that ends on diagonal d - tau has cost e edits or fewer.  A character lets bits on matching diagonals
     live; an edit takes a bit of the group below to its own diagonal (substitution), to the one before (a character of
@@ -108,7 +110,7 @@ def within_edits(x: str, y: str, tau: int = TAU) -> Column:
     for e in range(tau):
         step = _let(step, f"n{e}", f"(n{e} | shiftleft(n{e} & {band << (e * width)}L, {width + 1})) & {every}L")
     run = f"aggregate(v.b, named_struct('s', {first}L, 'i', 0), (z, c) -> {_let('z', 'q', 'named_struct(' + repr('s') + ', ' + step.replace('(s ', '(q.s ').replace('(s,', '(q.s,').replace(' i +', ' q.i +') + ', ' + repr('i') + ', q.i + 1)')}, z -> z.s)"
-    accept = f"(shiftright({run}, {tau * width} + size(v.a) - size(v.b) + {tau}) & 1) = 1"
+    accept = f"(shiftright({run}, {allowed or tau} * {width} + size(v.a) - size(v.b) + {tau}) & 1) = 1"
     chars = "regexp_extract_all({}, '(?s).', 0)"
     core = f"named_struct('a', {chars.format('t.x')}, 'b', {chars.format('t.y')})"
     inner = _let(core, "v", accept)
@@ -197,7 +199,7 @@ def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = f"own_a and h_a <> h_b and (h_a < h_b or not own_b) and abs(n_a - n_b) <= {allowed} and {_class_difference('sig_a', 'sig_b')} <= 2 * {allowed}"
     pairs = left.where("own_a").join(right, "key").where(near).select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")).distinct()
     side = lambda s: texts.select(F.col("h").alias(s), F.col("occ").alias(f"occ_{s}"), F.col("line").alias(f"line_{s}"), F.col("n").alias(f"n_{s}"))
-    close = F.when(F.least("n_a", "n_b") < LONG, within_edits("line_a", "line_b", min(1, tau))).otherwise(within_edits("line_a", "line_b", tau))
+    close = within_edits("line_a", "line_b", tau, allowed)
     gone = (
         pairs.join(side("a"), "a").join(side("b"), "b").where(close)
         .select(F.when(F.col("occ_a") < F.col("occ_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct()
