@@ -57,10 +57,10 @@ HOT_BITS, HOT_SLICES = 21, 8
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-#: Rounds of centres (one does, as the order of lists keeps shared passages out of them); lists that then have MERGED members or fewer are merged, those of longer ones searched by the true
-#: lengths of their lists.
+#: Rounds of centres (one does, as the order of lists keeps shared passages out of them).  Lists that then have MERGED members
+#: or fewer are merged; members of longer ones are searched by the true lengths of their lists.
 ROUNDS = 1
-MERGED = 256
+MERGED = 32
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
 NEAR = 0.4
