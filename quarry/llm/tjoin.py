@@ -21,7 +21,7 @@ How a link is found, without ever pairing all members of a group of copies:
    required overlap, prefixes and a bound by position.  The link holds exactly when
    ``k(a) + k(b) <= 2 (100 + percent) o`` with ``k = (100 + percent) * |difference| - (100 - percent) * |set|``: pairs
    that need no overlap at all link through the member of least k, one link each.
-4. Members far from the centre get another centre, ROUNDS times.  Lists with MERGED members or fewer left are merged
+4. Members far from the centre get another centre, up to ROUNDS times.  Lists with MERGED members or fewer left are merged
    as well.  Members of longer ones (texts that share a passage, but little else) are searched among themselves by the true lengths of their lists, the shortest first, so that the
    lists of the passage are among the long ones.  As the Jaccard distance is a metric, a centre's class takes everything
    within FAR, and a member leaves the list only when within NEAR, no link between different classes is lost (FAR -
@@ -57,9 +57,9 @@ HOT_BITS, HOT_SLICES = 21, 8
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-#: Rounds of centres (one does, as the order of lists keeps shared passages out of them).  Lists that then have MERGED members
-#: or fewer are merged; members of longer ones are searched by the true lengths of their lists.
-ROUNDS = 1
+#: Rounds of centres at most; they end when the lists that are left hold few pairs on the whole.  Lists that then have MERGED
+#: members or fewer are merged; members of longer ones are searched by the true lengths of their lists.
+ROUNDS = 4
 MERGED = 32
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
@@ -490,7 +490,8 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     active = every.where(F.col("k") > SMALL).select("h", "sid", "n")
     found = []
     for _ in range(ROUNDS):
-        if active.isEmpty():
+        pairs_left = active.groupBy("h").agg(F.count("*").alias("k")).agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
+        if not pairs_left[0] or pairs_left[1] <= SMALL * pairs_left[0]:
             break
         centre = active.groupBy("h").agg(F.min("sid").alias("c"), F.min_by("n", "sid").alias("cn"))
         ratio = f"least(n, cn) >= {1 - rule.far}D * greatest(n, cn) - 1e-6D"
@@ -503,6 +504,8 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
         left = active.join(done.hint("merge"), ["h", "sid"], "left_anti")
         many = left.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
         active = cut(left.join(many, "h"))
+        del pairs, measured, covered, done, left, many, centre
+        release(docs.sparkSession)
     k = active.groupBy("h").agg(F.count("*").alias("k"))
     sized = active.join(k, "h")
     pairs = _occurrences(few.unionByName(sized.where(F.col("k") <= MERGED).drop("k")), rule)
@@ -514,7 +517,10 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return cut(out.distinct())
+    out = cut(out.distinct())
+    del found, few, active, every, sized, pairs
+    release(docs.sparkSession)
+    return out
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
