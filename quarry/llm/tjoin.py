@@ -59,7 +59,7 @@ LEAST_PARTS = 512
 SMALL = 8
 #: Rounds of centres at most; they end when the lists that are left hold few pairs on the whole.  Lists that then have MERGED
 #: members or fewer are merged; members of longer ones are searched by the true lengths of their lists.
-ROUNDS = 4
+ROUNDS = 2
 MERGED = 32
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
