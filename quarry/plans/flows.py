@@ -166,15 +166,6 @@ def r8(spark, d):
 # -- graphs ------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "g_reachable",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey) % 1500 AS b FROM orders WHERE o_orderkey % 11 = 0), r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT CAST(b AS BIGINT) FROM r JOIN e ON a = node) SELECT node FROM r""",
-)
-def g_reachable(spark, d):
-    e = read(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("b"))
-    return graph.reachable(e, "a", "b", spark.createDataFrame([(1,)], "r long"), "r")
-
-
 def _order_edges(spark, d):
     return read(spark, d, "orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("b")).distinct()
 
@@ -184,7 +175,6 @@ def _order_edges(spark, d):
     """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey) % 1500 AS b FROM orders), r AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT CAST(b AS BIGINT) FROM r JOIN e ON a = node) SELECT node FROM r""",
 )
 def g_reachable_all(spark, d):
-    """``g_reachable`` over all orders; that one keeps the part of the orders that its SQL names."""
     return graph.reachable(_order_edges(spark, d), "a", "b", spark.createDataFrame([(1,)], "r long"), "r")
 
 
@@ -231,16 +221,6 @@ def e1_windows(spark, d):
     return out.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
-@query(
-    "e1_chunks",
-    """WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') SELECT CAST(doc_id AS VARCHAR) AS path, CAST(1 AS INTEGER) AS start_line, CAST(n AS INTEGER) AS end_line FROM n WHERE n <= 220""",
-)
-def e1_chunks(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
-    small = docs.where(F.size(F.split("content", "\n", -1)) <= 220)
-    return extract.chunks(small).select("path", "start_line", "end_line")
-
-
 @query(
     "e1_chunks_all",
     """WITH n AS (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents),
@@ -249,7 +229,7 @@ def e1_chunks(spark, d):
     SELECT CAST(doc_id AS VARCHAR) AS path, CAST(s AS INTEGER) AS start_line, CAST(e AS INTEGER) AS end_line FROM c WHERE trim(regexp_replace(array_to_string(l[s:e], chr(10)), '\\s+', ' ', 'g')) <> ''""",
 )
 def e1_chunks_all(spark, d):
-    """``e1_chunks`` with documents of any length, in windows where they are long; that one keeps the limit that its SQL has."""
+    """Documents of any length, in windows where they are long."""
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
     return extract.chunks(docs).select("path", "start_line", "end_line")
 

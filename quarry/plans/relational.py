@@ -280,7 +280,7 @@ def w5(spark, d):
     return windows.first_seen_index(read(spark, d, "orders"), "o_orderpriority", "o_orderkey")
 
 
-_IV = """iv AS (SELECT l_suppkey, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, s + CAST(l_quantity AS BIGINT) % 7 AS e FROM lineitem)"""
+_IV = """iv AS (SELECT l_suppkey, CAST(date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS s, s + CAST(l_quantity AS BIGINT) % 7 AS e, l_orderkey, l_linenumber FROM lineitem)"""
 
 
 def _intervals(spark, d):
@@ -290,8 +290,8 @@ def _intervals(spark, d):
 
 @query(
     "w6_interval_merge",
-    f"""WITH {_IV}, m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM iv),
-    g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
+    f"""WITH {_IV}, m AS (SELECT *, max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM iv),
+    g AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS g FROM m)
     SELECT l_suppkey, min(s) AS s, max(e) AS e, count(*) AS merged FROM g GROUP BY l_suppkey, g""",
 )
 def w6(spark, d):

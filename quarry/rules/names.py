@@ -18,13 +18,19 @@ CONFIG_NAMES = [
     "makefile", "justfile", "taskfile.yml", ".eslintrc", ".eslintrc.json", ".prettierrc", ".editorconfig", ".babelrc", ".gitignore", ".dockerignore", "tox.ini", "pytest.ini", "mix.exs", "deno.json",
 ]
 
+#: Files of secrets, which are never read, and templates without values, which are.
+SECRETS = [
+    ".env", ".env.*", "!.env.example", "!.env.sample", "!.env.template", "!*.env.example", "!*.env.sample", "!*.env.template", "*.pem", "*.key", "*.p12", "*.pfx", "id_rsa*",
+]
+
 #: Default ignore patterns in the syntax of ignore files; the last that matches decides, ! takes back.
 IGNORED = [
+    *SECRETS,
     "node_modules/", "bower_components/", "vendor/", "third_party/", ".git/", ".svn/", ".hg/", "dist/", "build/", "out/", "target/", ".next/", ".nuxt/", ".output/", ".svelte-kit/",
     "coverage/", ".nyc_output/", "__pycache__/", "*.pyc", "*.pyo", ".venv/", "venv/", "env/", ".tox/", ".mypy_cache/", ".pytest_cache/", ".ruff_cache/", "*.egg-info/", ".gradle/", ".idea/", ".vscode/",
     ".cache/", ".parcel-cache/", ".turbo/", "tmp/", "temp/", "logs/", "*.log", "*.min.js", "*.min.css", "*.map", "*.bundle.js", "*.snap", "*.lock", "package-lock.json", "pnpm-lock.yaml",
     "*.png", "*.jpg", "*.jpeg", "*.gif", "*.webp", "*.ico", "*.svg", "*.bmp", "*.tiff", "*.mp3", "*.mp4", "*.wav", "*.avi", "*.mov", "*.webm", "*.pdf", "*.zip", "*.gz", "*.tar", "*.tgz", "*.7z", "*.rar", "*.jar", "*.war",
-    "*.class", "*.exe", "*.dll", "*.so", "*.dylib", "*.o", "*.a", "*.bin", "*.wasm", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.otf", "*.db", "*.sqlite", "*.sqlite3", "*.parquet", "*.pem", "*.key", ".DS_Store", "Thumbs.db",
+    "*.class", "*.exe", "*.dll", "*.so", "*.dylib", "*.o", "*.a", "*.bin", "*.wasm", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.otf", "*.db", "*.sqlite", "*.sqlite3", "*.parquet", ".DS_Store", "Thumbs.db",
 ]
 
 GENERATED_MARKERS = ["@generated", "do not edit", "auto-generated", "autogenerated", "generated by"]

@@ -1,4 +1,9 @@
-"""Static detection rules.  Patterns are our own, written for each rule's purpose, for Python's ``re``."""
+"""Static detection rules.
+
+Ids, categories, types, severities, confidences and numbers of weaknesses are fixed values.  Patterns are our own, written for
+each rule's purpose, for Python's ``re``; where a rule names one call (``bug.async-foreach``, ``perf.json-deep-clone``,
+``quality.console-log``) hardly another pattern is possible.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +44,7 @@ RULES: list[Rule] = [
     Rule("sec.jwt.alg-none", "security", "broken-authentication", "critical", 0.95, "CWE-347", ANY, False, r"""(?i)\balg(?:orithms?)?["']?\s*[:=]\s*\[?\s*["']none["']"""),
     Rule("sec.weak-hash", "security", "weak-cryptography", "high", 0.7, "CWE-327", ANY, False, r"""(?i)createHash\s*\(\s*["'](?:md5|sha-?1)["']|\bhashlib\.(?:md5|sha1)\s*\(|MessageDigest\.getInstance\s*\(\s*["'](?:MD5|SHA-?1)["']|\bmd5\.(?:New|Sum)\b|\bDigest::(?:MD5|SHA1)\b"""),
     Rule("sec.insecure-random", "security", "weak-cryptography", "high", 0.75, "CWE-338", ANY, False, r"(?i)(?:token|secret|password|passwd|session|nonce|otp|salt|api_?key|csrf|reset)\w*\s*[:=][^;\n]*(?:Math\.random\s*\(|\brandom\.(?:random|randint|choice)\s*\(|\brand\(\))"),
-    Rule("sec.insecure-random.id-idiom", "security", "weak-cryptography", "high", 0.8, "CWE-338", JS, False, r"Math\.random\(\)\s*\.\s*toString\s*\(\s*(?:36|16)\s*\)"),
+    Rule("sec.insecure-random.id-idiom", "security", "weak-cryptography", "high", 0.8, "CWE-338", JS, False, r"Math\s*\.\s*random\s*\(\s*\)\s*\)?\s*\.\s*toString\s*\(\s*[1-9]\d?\s*\)"),
     Rule("sec.cors.wildcard", "security", "insecure-cors", "medium", 0.8, "CWE-942", ANY, False, r"""(?i)access-control-allow-origin["']?\s*[,:]\s*["']\*["']|\borigin\s*:\s*["']\*["']|allow_origins\s*=\s*\[\s*["']\*["']"""),
     Rule("sec.cors.reflect", "security", "insecure-cors", "high", 0.85, "CWE-942", ANY, False, r"(?i)access-control-allow-origin[\"']\s*,\s*(?:req|request|ctx)\.\S*origin|\borigin\s*:\s*true\b"),
     Rule("sec.tls-disabled", "security", "insecure-transport", "high", 0.9, "CWE-295", ANY, False, r"""rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED["']?\]?\s*[:=]\s*["']?0|\bverify\s*=\s*False\b|InsecureSkipVerify\s*:\s*true|CERT_NONE\b"""),
@@ -65,23 +70,23 @@ RULES: list[Rule] = [
     Rule("sec.command-injection.php", "security", "command-injection", "critical", 0.85, "CWE-78", ("php",), True, r"(?<![\w>:])(?:exec|shell_exec|system|passthru|popen|proc_open)\s*\([^)\n]*\$"),
     Rule("sec.sql-injection.csharp", "security", "sql-injection", "critical", 0.8, "CWE-89", ("csharp",), True, rf"""(?i)(?:\$@?["'][^"'\n]*{_SQL}[^"'\n]*\{{|["']\s*{_SQL}[^"'\n]*["']\s*\+)""", r"(?i)FromSqlInterpolated|nameof"),
     Rule("sec.unsafe-deserialization.dotnet", "security", "unsafe-deserialization", "critical", 0.85, "CWE-502", ("csharp",), True, r"new\s+(?:BinaryFormatter|SoapFormatter|NetDataContractSerializer|LosFormatter)\s*\(|TypeNameHandling\.(?:All|Auto|Objects)"),
-    Rule("bug.empty-catch", "bug", "swallowed-exception", "medium", 0.9, None, ANY, True, r"catch\s*(?:\([^)]*\))?\s*\{\s*\}|except[^:\n]*:\s*\n\s*pass\b"),
+    Rule("bug.empty-catch", "bug", "swallowed-exception", "medium", 0.9, None, ANY, True, r"\bcatch\b[^{};\n]{0,120}\{\s*\}|(?m:^[ \t]*except\b[^\n]*:[ \t]*(?:#[^\n]*)?\s*(?:pass|\.\.\.)[ \t]*(?:#[^\n]*)?$)"),
     Rule("bug.async-foreach", "bug", "async-misuse", "high", 0.9, None, JS, False, r"\.forEach\s*\(\s*async\b"),
     Rule("bug.assignment-in-condition", "bug", "incorrect-condition", "high", 0.85, None, ANY, False, r"\bif\s*\(\s*[\w.]+\s*=\s*(?![=>~])[^=()\n]+\)"),
-    Rule("bug.parseint-no-radix", "bug", "type-mismatch", "low", 0.85, None, JS, False, r"\bparseInt\s*\(\s*[^,()\n]+\)"),
+    Rule("bug.parseint-no-radix", "bug", "type-mismatch", "low", 0.85, None, JS, False, r"(?<![\w$])parseInt\((?:[^(),\n]|\([^()\n]*\))+\)"),
     Rule("bug.bare-except", "bug", "error-handling", "medium", 0.9, None, ("python",), False, r"(?m)^\s*except\s*:"),
     Rule("bug.mutable-default-arg", "bug", "incorrect-state", "high", 0.95, None, ("python",), False, r"\bdef\s+\w+\s*\([^)]*=\s*(?:\[\s*\]|\{\s*\}|set\(\))"),
     Rule("bug.go-ignored-error", "bug", "error-handling", "medium", 0.85, None, ("go",), True, r"(?m)^\s*(?:\w+\s*,\s*)?_\s*:?=\s*\w[\w.]*\("),
     Rule("bug.non-null-assertion", "bug", "null-dereference", "medium", 0.6, None, ("typescript", "tsx"), True, r"[\w\])]!\.\w"),
     Rule("bug.floating-promise", "bug", "async-misuse", "medium", 0.6, None, JS, True, r"(?m)^\s*(?!return\b|await\b|void\b)[\w.]+\.(?:save|sendMail|sendEmail|publish|enqueue)\([^;\n]*\);?\s*$"),
-    Rule("perf.await-in-loop", "performance", "sequential-await", "medium", 0.8, None, JS, False, r"\bfor\s*\([^)\n]*\)\s*\{[^{}]{0,400}?\bawait\b"),
+    Rule("perf.await-in-loop", "performance", "sequential-await", "medium", 0.8, None, JS, False, r"\b(?:for|while)\s*\([^\n]*\{[^{}]*?(?:\{[^{}]*\}[^{}]*?){0,3}\bawait\s"),
     Rule("perf.select-star", "performance", "unbounded-query", "medium", 0.7, None, ANY, False, r"(?i)[\"'`]\s*select\s+\*\s+from\b(?![^\"'`]*\blimit\b)"),
     Rule("perf.findmany-unbounded", "performance", "unbounded-query", "medium", 0.6, None, JS, True, r"\.findMany\s*\(\s*(?:\)|\{(?![^}]*\btake\b)[^}]*\}\s*\))"),
-    Rule("perf.sync-fs-in-handler", "performance", "blocking-io", "medium", 0.75, None, JS, True, r"\b(?:fs\.)?(?:readFileSync|writeFileSync|readdirSync|statSync)\s*\(", r"(?i)(?:^|/)(?:scripts?|bin|cli|config|tools?)/|\.config\."),
+    Rule("perf.sync-fs-in-handler", "performance", "blocking-io", "medium", 0.75, None, JS, True, r"\b(?:access|append|copy|exists|mkdir|read|readdir|rename|rm|stat|unlink|write)(?:File)?Sync\s*\(", r"(?i)(?:^|/)(?:scripts?|bin|cli|config|tools?)/|\.config\."),
     Rule("perf.json-deep-clone", "performance", "inefficient-algorithm", "low", 0.85, None, JS, False, r"JSON\.parse\s*\(\s*JSON\.stringify\s*\("),
     Rule("perf.barrel-import", "performance", "bundle-size", "low", 0.8, None, JS, False, r"""import\s+(?:\w+|\*\s+as\s+\w+)\s+from\s+["'](?:lodash|moment|rxjs|@mui/material|@mui/icons-material|antd)["']"""),
     Rule("perf.react-effect-no-deps", "performance", "react-rerender", "medium", 0.85, None, ("tsx", "jsx", "typescript", "javascript"), False, r"(?s)\buseEffect\s*\(\s*(?:async\s*)?\(\)\s*=>\s*\{(?:(?!useEffect).){0,600}?\n?\s*\}\s*\)\s*;?"),
-    Rule("quality.todo-marker", "quality", "unfinished-work", "info", 1.0, None, ANY, True, r"\b(?:TODO|FIXME|HACK|XXX)\b[:\s(]"),
+    Rule("quality.todo-marker", "quality", "unfinished-work", "info", 1.0, None, ANY, True, r"(?<!\w)(?:FIXME|HACK|TODO|XXX)(?:\([^()\n]{1,40}\))?(?=[-:\s]|$)"),
     Rule("quality.console-log", "quality", "debug-output", "info", 0.9, None, JS, True, r"\bconsole\.(?:log|debug)\s*\("),
 ]
 

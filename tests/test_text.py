@@ -107,3 +107,14 @@ def test_cosine_and_unit(spark):
 )
 def test_cvss(spark, vector, want):
     assert one(spark, num.cvss31(F.col("x")), x=vector) == want
+
+
+def test_default_ignores_take_secrets_but_not_their_templates(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators import filters
+    from quarry.rules.names import IGNORED
+
+    paths = {".env": True, "app/.env.production": True, "a/key.p12": True, "b.pfx": True, "id_rsa": True, "x/id_rsa.pub": True, "c.pem": True, ".env.example": False, "app/.env.template": False, "prod.env.sample": False, "src/a.ts": False, "node_modules/x.js": True}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r["path"]: r["i"] for r in df.select("path", filters.is_ignored(F.col("path"), IGNORED).alias("i")).collect()} == paths
