@@ -57,10 +57,12 @@ HOT_BITS, HOT_SLICES = 21, 8
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-#: Rounds of centres at most; they end when the lists that are left hold few pairs on the whole.  Lists that then have MERGED
-#: members or fewer are merged; members of longer ones are searched by the true lengths of their lists.
+#: Rounds of centres at most; they end when the lists that are left hold no more than PAIRS pairs for each of their members.
+#: Lists that then have MERGED members or fewer are merged; members of longer ones are searched by the true lengths of
+#: their lists.
 ROUNDS = 2
-MERGED = 32
+MERGED = 256
+PAIRS = 32
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
 NEAR = 0.4
@@ -491,7 +493,7 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     found = []
     for _ in range(ROUNDS):
         pairs_left = active.groupBy("h").agg(F.count("*").alias("k")).agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
-        if not pairs_left[0] or pairs_left[1] <= SMALL * pairs_left[0]:
+        if not pairs_left[0] or pairs_left[1] <= PAIRS * pairs_left[0]:
             break
         centre = active.groupBy("h").agg(F.min("sid").alias("c"), F.min_by("n", "sid").alias("cn"))
         ratio = f"least(n, cn) >= {1 - rule.far}D * greatest(n, cn) - 1e-6D"

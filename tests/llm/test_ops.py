@@ -150,6 +150,7 @@ def test_join_classes(spark, k, percent):
 
 def test_join_with_small_lists_as_centres_too(spark, monkeypatch):
     monkeypatch.setattr(tjoin, "SMALL", 1)
+    monkeypatch.setattr(tjoin, "PAIRS", 0)
     monkeypatch.setattr(tjoin, "MERGED", 1)  # and leftovers searched by the true lengths of their lists
     rows = family_rows()
     assert sorted(map(tuple, tjoin.classes(clash(spark, rows)).collect())) == sorted(brute.components(rows, 3, 90))
