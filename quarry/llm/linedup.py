@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut
+from .common import column, cut, release
 
 TAU = 2
 LONG = 24
@@ -181,6 +181,8 @@ def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = coded.select("h", "n", "occ", *[F.when(F.col("code").isNotNull(), F.expr(k)).alias(f"k{i}") for i, k in enumerate(own + probes)])
     names = [f"k{i}" for i in range(len(own + probes))]
     distinct = cut(keyed.groupBy("h", "n").agg(F.min("occ").alias("occ"), *[F.max(c).alias(c) for c in names]))
+    del coded, keyed
+    release(docs.sparkSession)  # the keys' shuffle files, before those of the next steps are made
     long = distinct.where(F.col("n") >= LEAST)
     index = long.select("h", F.explode(F.array(*names[: len(own)])).alias("key"), F.lit(True).alias("own"))
     probe = long.select("h", F.explode(F.array(*names[len(own) :])).alias("key"), F.lit(False).alias("own"))
@@ -188,7 +190,10 @@ def surviving_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("own").alias("any")).where("a <> b and any").select("key")
     # few keys are shared; a filter of them keeps the other rows from being moved once more
     shared = cut(shared)
+    release(docs.sparkSession)
     matched = cut(_passing(rows, "key", shared).join(shared, "key", "left_semi"))
+    del rows, index, probe, shared
+    release(docs.sparkSession)
     ids = matched.select("h").distinct()
     firsts = ids.join(distinct.select("h", "occ"), "h")
     texts = _passing(lines.select("h", "occ", "line"), "h", ids).join(firsts, ["h", "occ"]).dropDuplicates(["h"])
