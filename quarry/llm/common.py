@@ -45,11 +45,29 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
+#: Bytes of a checkpoint that one task reads at least, where there are more than two tasks a core.
+PACKED = 16 << 20
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it without lineage."""
-    checkpoint_dir(df.sparkSession)
-    bounded_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared checkpoint folder and return it without lineage.
+
+    A checkpoint has a file for each partition that wrote it, however small; where the files hold less than PACKED bytes
+    on average they are read several to a task, down to two tasks a core.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    bounded_batches(spark)
+    out = df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    rdd = out._jdf.queryExecution().logical().rdd()
+    at = rdd.getCheckpointFile()
+    if at.isEmpty():
+        return out
+    path = sc._jvm.org.apache.hadoop.fs.Path(at.get())
+    size = path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    tasks = max(2 * sc.defaultParallelism, -(-size // PACKED))
+    return out.coalesce(tasks) if tasks < rdd.getNumPartitions() else out
 
 
 def merge_slices(parts: DataFrame, combine: np.ufunc, dtype: type, fan: int = 8) -> dict[int, np.ndarray]:
