@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-MODULES = ["text", "relational", "scalars", "filtering", "flows"]
+MODULES = ["text", "relational", "scalars", "filtering", "flows", "shared"]
 
 
 def _load() -> None:
