@@ -50,12 +50,12 @@ def s6(spark, d):
 
 @query(
     "d4_retry_after",
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(greatest(CAST(event_id % 200 - 20 AS DOUBLE), 0), 60)
-    WHEN event_id % 3 = 1 THEN least(greatest(epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2024-01-15 00:00:00'), 0), 60) END AS wait FROM events""",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(greatest(CAST(event_id % 200 - 20 AS DOUBLE), 0), 45)
+    WHEN event_id % 3 = 1 THEN least(greatest(epoch(date_trunc('second', ts)) - epoch(date_trunc('minute', ts)) - 5, 0), 45) END AS wait FROM events""",
 )
 def d4(spark, d):
     header = F.expr("case when event_id % 3 = 0 then string(event_id % 200 - 20) when event_id % 3 = 1 then date_format(ts, \"EEE, dd MMM yyyy HH:mm:ss 'GMT'\") else 'soon' end")
-    return read(spark, d, "events").select("event_id", values.retry_after(header, F.lit("2024-01-15 00:00:00").cast("timestamp")).alias("wait"))
+    return read(spark, d, "events").select("event_id", values.retry_after(header, F.expr("date_trunc('minute', ts) + interval 5 seconds"), 45.0).alias("wait"))
 
 
 @query(
@@ -151,8 +151,8 @@ def a21(spark, d):
 
 @query(
     "j2_chunk_terms",
-    "SELECT p_partkey, term FROM part, (VALUES ('STEEL'), ('BRASS'), ('PLATED')) t(term) WHERE contains(p_type, term)",
+    "SELECT p_partkey, term FROM part, (VALUES ('STAN'), ('ECON'), ('M')) t(term) WHERE contains(p_type, term)",
 )
 def j2(spark, d):
-    terms = spark.createDataFrame([("STEEL",), ("BRASS",), ("PLATED",)], "word string")
+    terms = spark.createDataFrame([("STAN",), ("ECON",), ("M",)], "word string")
     return joins.contains_any(read(spark, d, "part"), "p_type", terms, "word").select("p_partkey", "term")
