@@ -163,6 +163,31 @@ def check_id_tail(x: Column) -> Column:
     return F.regexp_replace(x, "^(?:.*\\.)?(?=(?:[a-z]+)\\.(?:lang|security|best-practice|correctness|audit)\\b)", "")
 
 
+#: What makes a line worth a look: it takes input, reaches storage, a process, the network or the page, or handles a secret.
+TELLING = (
+    "(?i)\\b(?:request|req|params|headers|cookies?|form|argv|stdin)\\b|\\b(?:select|insert|update|delete)\\s|\\b(?:query|execute|cursor|eval|exec|spawn|system|popen)\\s*\\("
+    "|\\b(?:fetch|urlopen|connect|redirect|open|readFile|writeFile)\\s*\\(|https?://|innerHTML|localStorage"
+    "|passw|secret|token|credential|session|login|crypt|\\bhash|\\bsign|\\bverify|deserial|pickle"
+)
+BRINGS_IN = "^\\s*(?:import|from|package|using|use|#include|require)\\b|=\\s*require\\("
+
+
+def digest_lines(content: Column, telling: str = TELLING, most: int = 10, width: int = 160) -> Column:
+    """A file's ``most`` first telling lines behind their numbers; where there are none, its first three of substance.
+
+    Lines that only bring in other files never count; shorter lines than 4 don't tell, than 8 or comments aren't of substance.
+    """
+    rows = F.transform(F.split(content, "\n", -1), lambda line, i: F.struct((i + 1).alias("n"), F.trim(F.regexp_replace(line, "^\\s+|\\s+$", "")).alias("t")))
+
+    def pick(rows: Column) -> Column:
+        own = F.filter(rows, lambda r: (F.length(r["t"]) >= 4) & ~r["t"].rlike(BRINGS_IN))
+        told = F.slice(F.filter(own, lambda r: r["t"].rlike(telling)), 1, most)
+        plain = F.slice(F.filter(own, lambda r: (F.length(r["t"]) >= 8) & ~r["t"].rlike("^(?://|\\*|#)")), 1, 3)
+        return F.transform(F.when(F.size(told) > 0, told).otherwise(plain), lambda r: F.concat(F.lit("  "), r["n"].cast("string"), F.lit(": "), F.substring(r["t"], 1, width)))
+
+    return F.array_join(let(rows, pick), "\n")
+
+
 def human_bytes(x: Column) -> Column:
     """A size in B, KB, MB or GB."""
     unit = lambda p, u: F.concat(F.round(x / 1024**p, 1).cast("string"), F.lit(u))

@@ -402,6 +402,29 @@ def verdict(findings: DataFrame) -> DataFrame:
     )
 
 
+#: Paths of tests.
+TEST_PATH = "(?:^|/)(?:tests?|__tests__|spec)(?:/|$)|\\.(?:test|spec)\\."
+
+
+def gap_statements(files: DataFrame, covered: DataFrame) -> DataFrame:
+    """(pull, ordinal, statement) on what reviews' changed files (pull, at, path, additions) leave untested.
+
+    ``covered`` has the pulls whose modules tests refer to.  Ordinal 1: sources grew and no test was touched, with the first
+    five of them by ``at``; 2: nothing refers to the changed modules.  A pull without either gives no row.
+    """
+    is_test = F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False))
+    grown = files.where(~is_test & (F.col("additions") > 0))
+    first = grown.withColumn("_r", F.row_number().over(Window.partitionBy("pull").orderBy("at", "path"))).where("_r <= 5").groupBy("pull").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "path"))), lambda x: x["path"]), ", ").alias("names")
+    )
+    n = files.groupBy("pull").agg(F.count_if(~is_test & (F.col("additions") > 0)).alias("n"), F.count_if(is_test).alias("tests"))
+    untouched = n.where("n > 0 and tests = 0").join(first, "pull").select(
+        "pull", F.lit(1).alias("ordinal"), F.concat(F.col("n").cast("string"), F.lit(" changed source file(s) and no changed test: "), "names").alias("statement")
+    )
+    alone = n.join(covered.select("pull").distinct(), "pull", "left_anti").select("pull", F.lit(2).alias("ordinal"), F.lit("No test refers to the changed modules.").alias("statement"))
+    return untouched.unionByName(alone)
+
+
 def added_lines(patches: DataFrame) -> DataFrame:
     """(path, line, text): lines that unified diffs add, at their place in the new file."""
     raw = patches.select("path", F.posexplode(F.split("patch", "\n", -1)).alias("at", "raw"))

@@ -334,9 +334,11 @@ ROUTES: list[tuple[str, str, str]] = [  # framework, languages, pattern with nam
     ("fastify-object", "js", r"""\.route\s*\(\s*\{\s*method\s*:\s*["'](?P<verb>\w+)["']\s*,\s*url\s*:\s*["'](?P<path>/[^"']*)["']"""),
     ("nest", "js", r"""@(?P<verb>Get|Post|Put|Patch|Delete|All)\(\s*(?:["'`](?P<path>[^"'`]*)["'`])?\s*\)"""),
     ("fastapi", "python", r"""@(?:app|router|api)\.(?P<verb>get|post|put|patch|delete)\(\s*["'](?P<path>/[^"']*)["']"""),
-    ("flask", "python", r"""@(?:app|bp|blueprint|\w+_bp)\.route\(\s*["'](?P<path>/[^"']*)["'](?:[^)]*methods\s*=\s*\[\s*["'](?P<verb>\w+)["'])?"""),
+    ("flask", "python", r"""@(?:app|bp|blueprint|\w+_bp)\.route\(\s*["'](?P<path>/[^"']*)["'](?:[^)]*methods\s*=\s*[\[(](?P<verb>[^\])]*))?"""),
     ("django", "python", r"""\b(?:re_)?path\(\s*r?["'](?P<path>[^"']*)["']\s*,(?P<verb>)"""),
     ("spring", "java", r"""@(?P<verb>Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?["'](?P<path>[^"']*)["']"""),
+    ("aspnet", "java", r"""\[Http(?P<verb>Get|Post|Put|Patch|Delete)(?:\(\s*(?:"(?P<path>[^"]*)")?[^)\]]*\))?\s*[\],]"""),
+    ("aspnet-minimal", "java", r"""\.Map(?P<verb>Get|Post|Put|Patch|Delete)\(\s*"(?P<path>[^"]*)\""""),
     ("gin", "go", r"""\b\w+\.(?P<verb>GET|POST|PUT|PATCH|DELETE|Any)\(\s*"(?P<path>/[^"]*)\""""),
     ("net-http", "go", r"""\bHandleFunc\(\s*"(?:(?P<verb>[A-Z]+)\s+)?(?P<path>/[^"]*)\""""),
     ("rails", "ruby", r"""^\s*(?P<verb>get|post|put|patch|delete)\s+["'](?P<path>/?[^"']+)["']"""),
@@ -351,7 +353,8 @@ def detect_routes(language: str | None, content: str, cap: int = 300) -> list[tu
         if of != family:
             continue
         for m in re.finditer(pattern, content, re.M):
-            verb = (m["verb"] or "ANY").upper()
+            # one route may name several verbs in a list, and has GET where that list is left out
+            verb = ",".join(re.findall(r"\w+", m["verb"] or "get")).upper() if framework == "flask" else (m["verb"] or "ANY").upper()
             verb = {"ALL": "ANY", "REQUEST": "ANY", "": "ANY"}.get(verb, verb)
             path = "/" + (m["path"] or "").lstrip("/")
             line = content.count("\n", 0, m.start()) + 1

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric as num
 from quarry.functions import paths, text, values
-from quarry.operators import aggregates, filters, joins, sets, tables, windows
+from quarry.operators import aggregates, detect, filters, joins, sets, tables, windows
+from quarry.sources import readers
 
 from .catalog import query, read
 
@@ -156,3 +157,86 @@ def a21(spark, d):
 def j2(spark, d):
     terms = spark.createDataFrame([("STAN",), ("ECON",), ("M",)], "word string")
     return joins.contains_any(read(spark, d, "part"), "p_type", terms, "word").select("p_partkey", "term")
+
+
+@query(
+    "x27_json_from_prose",
+    """SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN '{"id": ' || doc_id || ', "of": ["' || source || '}", {"k": null}]}' END AS found FROM documents""",
+)
+def x27(spark, d):
+    """Documents whole, fenced, within prose, and one that is cut off; ``found`` is the JSON as it stands in the text."""
+    body = "'{\"id\": ' || doc_id || ', \"of\": [\"' || source || '}\", {\"k\": null}]}'"
+    prose = F.expr(f"case doc_id % 4 when 0 then '\n' || {body} || ' ' when 1 then 'So: ```json\n' || {body} || '\n``` and {{no}}' when 2 then 'It is ' || {body} || ' as said}}' else 'It is {{\"id\": ' || doc_id end")
+    return read(spark, d, "documents").select("doc_id", values.json_from_prose(prose).alias("found"))
+
+
+@query(
+    "c7_defaults",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE '' END AS names, s_suppkey % 4 = 0 AS flag, CASE WHEN s_suppkey % 3 <> 2 THEN s_nationkey END AS nation FROM supplier""",
+)
+def c7(spark, d):
+    json = F.expr("""case s_suppkey % 3 when 0 then '{"names": ["' || s_name || '"], "flag": ' || string(s_suppkey % 4 = 0) || ', "nation": ' || s_nationkey || '}'
+    when 1 then '{"names": null, ' || if(s_suppkey % 4 = 0, '"flag": true, ', '') || '"nation": ' || s_nationkey || '}' else if(s_suppkey % 4 = 0, '{"flag": true}', '{') end""")
+    x = read(spark, d, "supplier").select("s_suppkey", values.with_defaults(json, "names array<string>, flag boolean, nation long").alias("x"))
+    return x.select("s_suppkey", F.array_join("x.names", "|").alias("names"), "x.flag", F.col("x.nation").cast("int").alias("nation"))
+
+
+@query(
+    "x31_digest",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '  3: run(request, ' || o_custkey || ')' || chr(10) || '  5: token = ' || o_orderkey
+    ELSE '  3: value = ' || o_custkey || chr(10) || '  5: other = ' || o_orderkey END AS digest FROM orders""",
+)
+def x31(spark, d):
+    code = "'import request\n\n  ' || if(o_orderkey % 2 = 0, 'run(request, ' || o_custkey || ')', 'value = ' || o_custkey) || '\nx\n' || if(o_orderkey % 2 = 0, 'token = ', 'other = ') || o_orderkey || if(o_orderkey % 2 = 0, '\nplain = 100000', '\n# a remark of length')"
+    return read(spark, d, "orders").select("o_orderkey", text.digest_lines(F.expr(code)).alias("digest"))
+
+
+_FILES_OF_PULLS = "SELECT o_custkey AS pull, o_orderkey AS pos, CASE WHEN o_orderkey % 16 = 0 THEN 'tests/' ELSE 'src/' END || o_orderkey || '.py' AS path, o_orderkey % 3 AS additions FROM orders"
+
+
+@query(
+    "k17_test_gaps",
+    f"""WITH f AS ({_FILES_OF_PULLS}), g AS (SELECT *, row_number() OVER (PARTITION BY pull ORDER BY pos) AS r, count(*) OVER (PARTITION BY pull) AS n FROM f WHERE additions > 0 AND NOT starts_with(path, 'tests/'))
+    SELECT pull, 1 AS ordinal, max(n) || ' changed source file(s) and no changed test: ' || string_agg(path, ', ' ORDER BY r) AS statement FROM g
+    WHERE r <= 5 AND pull NOT IN (SELECT pull FROM f WHERE starts_with(path, 'tests/')) GROUP BY pull
+    UNION ALL SELECT DISTINCT pull, 2, 'No test refers to the changed modules.' FROM f WHERE pull % 5 <> 0""",
+)
+def k17(spark, d):
+    files = read(spark, d, "orders").selectExpr("o_custkey as pull", "o_orderkey as at", "if(o_orderkey % 16 = 0, 'tests/', 'src/') || o_orderkey || '.py' as path", "o_orderkey % 3 as additions")
+    return detect.gap_statements(files, files.where("pull % 5 = 0").select("pull"))
+
+
+@query(
+    "s8_advisories",
+    """WITH p AS (SELECT DISTINCT 'pypi' AS ecosystem, 'p' || (s_suppkey % 10) AS name, s_suppkey % 13 AS v FROM supplier), a AS (SELECT n_nationkey AS k, 'p' || (n_nationkey % 10) AS name, n_regionkey AS lo, n_regionkey + 9 AS hi FROM nation)
+    SELECT ecosystem, p.name, v || '.0' AS version, 'A-' || k AS id, 'of ' || k AS summary FROM p JOIN a ON a.name = p.name WHERE (v >= lo AND v < hi OR v = 12) AND k % 8 <> 0""",
+)
+def s8(spark, d):
+    packages = read(spark, d, "supplier").selectExpr("'pypi' as ecosystem", "'p' || (s_suppkey % 10) as name", "(s_suppkey % 13) || '.0' as version").distinct()
+    record = """'{"id": "A-' || n_nationkey || '", "summary": "of ' || n_nationkey || '", ' || if(n_nationkey % 8 = 0, '"withdrawn": "2024-01-01T00:00:00Z", ', '') || '"affected": [{"package": {"ecosystem": "pypi", "name": "p' || (n_nationkey % 10) ||
+    '"}, "versions": ["12.0"], "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "' || n_regionkey || '.0"}, {"fixed": "' || (n_regionkey + 9) || '.0"}]}]}]}'"""
+    known = readers.advisories(read(spark, d, "nation").select(F.expr(record).alias("json")), "json")
+    ids = readers.advisory_ids(packages, known)
+    return ids.join(readers.advisory_details(ids, known).select("id", "summary"), "id").select("ecosystem", "name", "version", "id", "summary")
+
+
+_KEY = "a shared key"
+
+
+def _pad(pad: int) -> str:
+    return bytes(k ^ pad for k in _KEY.encode().ljust(64, b"\0")).hex()
+
+
+@query(
+    "s20_webhooks",
+    f"""WITH x AS (SELECT s_suppkey, '{{"action": "deleted", "installation": {{"id": ' || s_suppkey || '}}}}' AS body FROM supplier)
+    SELECT s_suppkey, 'sha256=' || sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(body)))) AS signature,
+    CASE WHEN s_suppkey % 5 = 0 THEN 401 ELSE 200 END AS status, s_suppkey % 5 = 0 AS kept FROM x""",
+)
+def s20(spark, d):
+    """Every fifth delivery carries a wrong signature, and its installation stays."""
+    own = read(spark, d, "supplier").selectExpr("s_suppkey", "encode('{\"action\": \"deleted\", \"installation\": {\"id\": ' || s_suppkey || '}}', 'UTF-8') as body", "'installation' as event")
+    signed = own.withColumn("right", readers.webhook_signature(F.col("body"), _KEY)).withColumn("signature", F.expr("if(s_suppkey % 5 = 0, reverse(right), right)"))
+    events = readers.webhook_events(signed, _KEY)
+    kept = readers.still_installed(own.select(F.col("s_suppkey").cast("string").alias("installation_id")), events).select(F.col("installation_id").cast("long").alias("k"), F.lit(True).alias("kept"))
+    return events.join(kept, F.col("s_suppkey") == F.col("k"), "left").select("s_suppkey", F.col("right").alias("signature"), "status", F.coalesce("kept", F.lit(False)).alias("kept"))

@@ -295,3 +295,58 @@ def test_incremental_index(spark, tmp_path):
     spark.createDataFrame([("b", 2), ("c", 2)], "path string, v int").coalesce(1).write.mode("append").parquet(str(src))
     run()
     assert sorted(map(tuple, spark.read.parquet(table).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_policy_file_in_yaml(spark):
+    files = spark.createDataFrame([(".quarry.yml", "policies:\n  - id: no-print\n    files: 'src/**'\n    forbidPattern: 'print'\n"), ("src/a.py", "print(1)")], "path string, content string")
+    rules = readers.policy_rules(spark, files)
+    assert [tuple(r)[0] for r in rules.collect()] == ["no-print"] and rules.first()["forbid"] == "print"
+    for content in ("a: [", "- 1", "", "policies: [1]"):
+        bad = spark.createDataFrame([(".quarry.yml", content)], "path string, content string")
+        assert "can't be read" in readers.policy_rules(spark, bad).first()["error"]
+
+
+@pytest.mark.parametrize("version, hit", [("0.9.0", False), ("1.0.0", True), ("1.9.9", True), ("2.0.0", False), ("2.5.0", False), ("3.0.0", True), ("3.4.0", True), ("3.4.1", False), ("9-special", True)])
+def test_advisories_of_a_version(spark, version, hit):
+    events = [{"introduced": "1.0.0"}, {"fixed": "2.0.0"}, {"introduced": "3.0.0"}, {"last_affected": "3.4.0"}]
+    dump = [{"id": "X", "affected": [{"package": {"ecosystem": "npm", "name": "a"}, "versions": ["9-special"], "ranges": [{"type": "SEMVER", "events": events}]}]}, {"id": "Y", "withdrawn": "2020-01-01T00:00:00Z"}, {}]
+    known = readers.advisories(spark.createDataFrame([(json.dumps(x),) for x in dump] + [("{",), (None,)], "j string"), "j")
+    assert known.count() == 2
+    packages = spark.createDataFrame([("npm", "a", version), ("npm", "b", version), ("pypi", "a", version), (None, None, None)], "ecosystem string, name string, version string")
+    assert [tuple(r) for r in readers.advisory_ids(packages, known).collect()] == ([("npm", "a", version, "X")] if hit else [])
+
+
+def test_advisories_from_the_first_version_on(spark):
+    dump = json.dumps({"id": "X", "affected": [{"package": {"ecosystem": "npm", "name": "a"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "2.0.0"}]}]}]})
+    known = readers.advisories(spark.createDataFrame([(dump,)], "j string"), "j")
+    packages = spark.createDataFrame([("npm", "a", v) for v in ("0.0.0-alpha", "1.0", "2.0.0", "10.0")], "ecosystem string, name string, version string")
+    assert sorted(r["version"] for r in readers.advisory_ids(packages, known).collect()) == ["0.0.0-alpha", "1.0"]
+
+
+def test_webhook_deliveries(spark):
+    import hashlib
+    import hmac
+
+    sign = lambda body, key: "sha256=" + hmac.new(key.encode(), body, hashlib.sha256).hexdigest()
+    for key in ("k", "x" * 100):
+        body = b'{"action": "deleted", "installation": {"id": 7}}'
+        rows = [(body, sign(body, key), "installation"), (body, None, "installation"), (body, sign(body, "other"), "installation"), (b"{", sign(b"{", key), "push"), (None, None, None)]
+        df = spark.createDataFrame([(bytearray(b) if b is not None else None, s, e) for b, s, e in rows], "body binary, signature string, event string")
+        events = readers.webhook_events(df, key)
+        assert [(r["status"], r["action"], r["installation_id"]) for r in events.collect()] == [(200, "deleted", "7"), (401, None, None), (401, None, None), (400, None, None), (400, None, None)]
+        kept = readers.still_installed(spark.createDataFrame([("7",), ("8",)], "installation_id string"), events)
+        assert [r[0] for r in kept.collect()] == ["8"]
+    assert {r["status"] for r in readers.webhook_events(df, None).collect()} == {503}
+
+
+@pytest.mark.parametrize(
+    "language, content, want",
+    [
+        ("python", "@app.route('/x')", [("GET", "/x", "flask")]),
+        ("python", "@app.route('/x', methods=['GET', \"post\"])", [("GET,POST", "/x", "flask")]),
+        ("csharp", '[HttpGet("items/{id}")]\n[HttpPost]\n', [("GET", "/items/{id}", "aspnet"), ("POST", "/", "aspnet")]),
+        ("csharp", 'app.MapDelete("/items/{id}", Remove);', [("DELETE", "/items/{id}", "aspnet-minimal")]),
+    ],
+)
+def test_routes_of_other_frameworks(language, content, want):
+    assert [r[:3] for r in extract.detect_routes(language, content)] == want

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import numeric as num
-from quarry.functions import paths, text
+from quarry.functions import paths, text, values
 
 
 def one(spark, column, **values):
@@ -118,3 +118,30 @@ def test_default_ignores_take_secrets_but_not_their_templates(spark):
     paths = {".env": True, "app/.env.production": True, "a/key.p12": True, "b.pfx": True, "id_rsa": True, "x/id_rsa.pub": True, "c.pem": True, ".env.example": False, "app/.env.template": False, "prod.env.sample": False, "src/a.ts": False, "node_modules/x.js": True}
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert {r["path"]: r["i"] for r in df.select("path", filters.is_ignored(F.col("path"), IGNORED).alias("i")).collect()} == paths
+
+
+@pytest.mark.parametrize(
+    "given, want",
+    [
+        (None, None), ("", None), (" [1, 2]\n", "[1, 2]"), ("7", "7"), ("NaN", None), ("a ```\n{\"a\": 1}\n``` b", '{"a": 1}'), ("```json\n{oops\n``` [3]", None),
+        ('so {"a": "}\\" ]"} and {"b": 2}', '{"a": "}\\" ]"}'), ("x [1, {}] y", "[1, {}]"), ("x {a} {\"b\": 1}", None), ("{" * 3, None), ("[" * 50_000, None), ("``` [1]", "[1]"),
+    ],
+)
+def test_json_from_prose(spark, given, want):
+    df = spark.createDataFrame([(given,)], "x string")
+    assert df.select(values.json_from_prose("x")).first()[0] == want
+
+
+def test_defaults_of_a_profile(spark):
+    df = spark.createDataFrame([(None,), ("{",), ('{"a": "x", "b": true, "c": "s"}',), ('{"a": ["x", null]}',)], "j string")
+    got = [tuple(r[0]) for r in df.select(values.with_defaults(F.col("j"), "a array<string>, b boolean, c string")).collect()]
+    assert got == [([], False, None), ([], False, None), ([], True, "s"), (["x", None], False, None)]
+
+
+def test_digest_lines(spark):
+    code = "\n".join(["import secret", "a = 1"] + [f"x{i} = request.get({i})" for i in range(12)])
+    got = one(spark, text.digest_lines(F.col("x")), x=code).split("\n")
+    assert got[0] == "  3: x0 = request.get(0)" and len(got) == 10
+    assert one(spark, text.digest_lines(F.col("x")), x="// nothing here\nlong_name = 1\nab\n") == "  2: long_name = 1"
+    assert one(spark, text.digest_lines(F.col("x")), x="") == ""
+    assert len(one(spark, text.digest_lines(F.col("x")), x="token" * 100)) == 165
