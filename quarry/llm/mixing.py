@@ -21,6 +21,8 @@ CAP = 2
 BLOCK = 128
 SHARD_TOKENS = 1 << 20
 SEED = 29
+#: Shards whose blocks one task lists, 8,192 blocks or a little more each.
+SHARDS_A_TASK = 16
 #: Up to so many sources their table goes to every task; with more it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -78,8 +80,8 @@ def apportion(df: DataFrame, group: list[str], key: str, votes: str, seats: str)
 def _dealt(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED,
-) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` with their shards, and the shards with what is dealt to them."""
+) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of ``docs`` with their shards, the shards with what is dealt to them, and how many shards there are at most."""
     sizes = cut(
         docs.select(
             column(docs, id_col).alias("doc_id"), column(docs, source_col).cast("string").alias("source"),
@@ -92,7 +94,8 @@ def _dealt(
         apportion(seated, ["all"], "idx", "target", "seats")
         .select("source", "idx", "source_size", "target", "quota", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_TOKENS)).alias("shards"))
     )
-    small = sources.count() <= BROADCAST_SOURCES
+    there = sources.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("shards"), F.lit(0)).alias("shards")).first()
+    small = there["n"] <= BROADCAST_SOURCES
     # one number as the key: Spark's relation of several values or of strings takes 64 MB however small it is
     named = sources.select(F.xxhash64("source").alias("name"), "idx", "source_size", "target", "quota", "shards")
     rows = sizes.withColumn("name", F.xxhash64("source")).join(F.broadcast(named) if small else named, "name").select(
@@ -110,7 +113,7 @@ def _dealt(
             ),
         )
     )
-    return rows, dealt
+    return rows, dealt, int(there["shards"])
 
 
 def mix(
@@ -123,7 +126,9 @@ def mix(
     their own.  Sources without words have target 0.  An empty table gives an empty result.  Reruns agree, since every
     order is by seeded hashes of the data.
     """
-    rows, dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, block, seed)
+    rows, dealt, shards = _dealt(docs, id_col, text_col, source_col, weights, share, cap, block, seed)
+    # few rows that become many: their number, not their size, has to say how many tasks they are for
+    dealt = dealt.repartition(max(1, -(-shards // SHARDS_A_TASK)), "idx", "shard")
     shard = Window.partitionBy("idx", "shard")
     blocks = (
         dealt.select("idx", "shard", "whole", "blocks", "chosen", F.explode(F.expr("sequence(0L, blocks)")).alias("block"))
@@ -175,7 +180,7 @@ def take_whole(
     the next lies within the rest; so a shard misses its quota by half a document at most.  Rows that share an id are
     taken alike.  Columns are as they were.
     """
-    rows, dealt = _dealt(docs, id_col, text_col, source_col, weights, share, cap, block, seed)
+    rows, dealt, _ = _dealt(docs, id_col, text_col, source_col, weights, share, cap, block, seed)
     rest = F.when(F.col("whole") >= cap, F.lit(0)).otherwise(F.col("quota") * block - F.col("whole") * F.col("tokens"))
     shards = dealt.select("idx", "shard", "whole", rest.alias("rest"))
     line = Window.partitionBy("idx", "shard").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
