@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -103,3 +105,23 @@ def hashed_embedding(df: DataFrame, id_col: str, terms: Column, size: int = 1536
 
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(id_col)))
     return cells.select(id_col, "index", F.when(norm > 0, F.col("x") / norm).otherwise(0.0).alias("weight"))
+
+
+def embedding_by(provider, size: int):
+    """A column function from texts to vectors by ``provider(texts) -> vectors``, called once an Arrow batch.
+
+    Null texts get null and aren't sent.  A vector of another length than ``size`` ends the job.  The provider goes to the
+    executors, so it opens its connections when it is called.
+    """
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(x: pd.Series) -> pd.Series:
+        some = x.dropna()
+        vectors = [[float(v) for v in vector] for vector in provider(some.tolist())] if len(some) else []
+        if len(vectors) != len(some) or any(len(v) != size for v in vectors):
+            raise ValueError(f"the provider gave other than {len(some)} vectors of {size}")
+        out = pd.Series([None] * len(x), index=x.index, dtype=object)
+        for i, v in zip(some.index, vectors, strict=True):
+            out.at[i] = v
+        return out
+
+    return embed

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -236,20 +236,32 @@ def _rows(files: DataFrame, schema: str, types: list, f) -> DataFrame:
 _S, _I, _B = pa.string(), pa.int32(), pa.bool_()
 
 
-def symbols(files: DataFrame) -> DataFrame:
+#: Parsers of a caller's own by language: from a content to its symbols and imports.
+Parsers = dict[str, Callable[[str], tuple[list[Symbol], list[Import]]]]
+
+
+def _parser(own: Parsers | None) -> Callable[[str | None, str], tuple[list[Symbol], list[Import]]]:
+    """``parse_file``, or for the languages of ``own`` what they name; they go to the executors with the function."""
+    own = dict(own or {})
+    return lambda lang, content: own[lang](content) if lang in own else parse_file(lang, content)
+
+
+def symbols(files: DataFrame, parsers: Parsers | None = None) -> DataFrame:
     """All symbols, each with its cyclomatic approximation."""
+    parse = _parser(parsers)
 
     def f(path, lang, content):
         lines = content.split("\n")
-        for s in parse_file(lang, content)[0]:
+        for s in parse(lang, content)[0]:
             yield (path, s.name, s.kind, s.parent, s.start, s.end, s.exported, s.is_async, 1 + len(_BRANCH.findall("\n".join(lines[s.start - 1 : s.end]))))
 
     return _rows(files, SYMBOL, [_S, _S, _S, _S, _I, _I, _B, _B, _I], f)
 
 
-def imports(files: DataFrame) -> DataFrame:
+def imports(files: DataFrame, parsers: Parsers | None = None) -> DataFrame:
     """All imports, each specifier once a file."""
-    return _rows(files, IMPORT, [_S, _S, pa.list_(_S), _I], lambda path, lang, content: [(path, i.specifier, list(i.names), i.line) for i in parse_file(lang, content)[1]])
+    parse = _parser(parsers)
+    return _rows(files, IMPORT, [_S, _S, pa.list_(_S), _I], lambda path, lang, content: [(path, i.specifier, list(i.names), i.line) for i in parse(lang, content)[1]])
 
 
 # -- chunks (E1) -------------------------------------------------------------------------------------------------------
@@ -314,9 +326,10 @@ def chunk_file(content: str, found: list[Symbol]) -> list[tuple]:
 CHUNK = "path string, symbol string, kind string, start_line int, end_line int, content string, tokens int, hash string"
 
 
-def chunks(files: DataFrame) -> DataFrame:
+def chunks(files: DataFrame, parsers: Parsers | None = None) -> DataFrame:
     """The chunks of all files."""
-    return _rows(files, CHUNK, [_S, _S, _S, _I, _I, _S, _I, _S], lambda path, lang, content: [(path, *c) for c in chunk_file(content, parse_file(lang, content)[0])])
+    parse = _parser(parsers)
+    return _rows(files, CHUNK, [_S, _S, _S, _I, _I, _S, _I, _S], lambda path, lang, content: [(path, *c) for c in chunk_file(content, parse(lang, content)[0])])
 
 
 def windows(df: DataFrame, id_col: str, n_lines: Column, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
@@ -520,22 +533,6 @@ def test_plans(units: DataFrame) -> DataFrame:
     return _rows(units, "path string, kind string, line int, test_case string", [_S, _S, _I, _S], lambda p, target, code: [(p, *t) for t in test_plan(target or p, code, 1)])
 
 
-def sections(stack_: DataFrame, languages: DataFrame, scripts_: DataFrame, env: DataFrame) -> DataFrame:
-    """(position, title, body): documentation that follows from project facts, empty sections left out."""
-    bullet = lambda df, text: df.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), text))), "\n").alias("body"))
-    parts = [
-        (1, "Languages", bullet(languages, F.concat(F.col("language"), F.lit(": "), F.col("files").cast("string"), F.lit(" files, "), F.col("percent").cast("string"), F.lit(" %")))),
-        (2, "Stack", bullet(stack_, F.concat(F.col("grp"), F.lit(": "), F.col("name")))),
-        (3, "Scripts", bullet(scripts_, F.concat(F.lit("`"), F.col("name"), F.lit("`: "), F.col("command")))),
-        (4, "Environment", bullet(env, F.concat(F.lit("`"), F.col("name"), F.lit("`")))),
-    ]
-    out = None
-    for position, title, body in parts:
-        row = body.select(F.lit(position).alias("position"), F.lit(title).alias("title"), "body").where("body <> ''")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def mermaid(edges: DataFrame, most: int = 40) -> DataFrame:
     """One row with a diagram of the strongest edges (from_group, to_group, n, flagged) between groups."""
     from quarry.functions.text import diagram_label

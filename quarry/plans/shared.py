@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric as num
 from quarry.functions import paths, text, values
-from quarry.operators import aggregates, detect, filters, joins, sets, tables, windows
+from quarry.operators import aggregates, detect, docs, filters, joins, sets, tables, windows
 from quarry.sources import readers
 
 from .catalog import query, read
@@ -240,3 +240,19 @@ def s20(spark, d):
     events = readers.webhook_events(signed, _KEY)
     kept = readers.still_installed(own.select(F.col("s_suppkey").cast("string").alias("installation_id")), events).select(F.col("installation_id").cast("long").alias("k"), F.lit(True).alias("kept"))
     return events.join(kept, F.col("s_suppkey") == F.col("k"), "left").select("s_suppkey", F.col("right").alias("signature"), "status", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+@query(
+    "e18_documentation",
+    """WITH c AS (SELECT 'src/part' || p_partkey || '.ts' AS path, p_partkey AS k FROM part), f AS (SELECT * FROM c ORDER BY path LIMIT 200), g AS (SELECT * FROM c ORDER BY path LIMIT 12), e AS (SELECT * FROM c ORDER BY path LIMIT 3)
+    SELECT 2 AS position, 'architecture' AS section, '- `src`: ' || count(*) || ' files, ' || 10 * count(*) || ' lines' AS body FROM part
+    UNION ALL SELECT 3, 'folder-structure', '- src/'
+    UNION ALL SELECT 5, 'environment-variables', '- `PART_KEY` in ' || string_agg('`' || path || '`', ', ' ORDER BY path) FROM e
+    UNION ALL SELECT 8, 'authorization', count(*) || ' of ' || count(*) || ' routes have a guard near them.' FROM part
+    UNION ALL SELECT 9, 'api', string_agg('- GET `/parts/' || k || '/:id` at `' || path || ':8`, guarded', chr(10) ORDER BY path) FROM f
+    UNION ALL SELECT 11, 'workflows', string_agg('- parts: GET `/parts/' || k || '/:id` at `' || path || ':8`', chr(10) ORDER BY path) FROM g""",
+)
+def e18(spark, d):
+    from .flows import _code
+
+    return docs.documentation(_code(spark, d)).where("position in (2, 3, 5, 8, 9, 11)").drop("title")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.operators import aggregates, extract, filters, graph, joins, retrieve, score, sets, sorts
+from quarry.operators import aggregates, docs, extract, filters, graph, joins, retrieve, score, sets, sorts
 from quarry.sources import manifests as m
 from quarry.sources import readers, sinks
 from quarry.streaming import progress, runner, windows
@@ -350,3 +350,35 @@ def test_webhook_deliveries(spark):
 )
 def test_routes_of_other_frameworks(language, content, want):
     assert [r[:3] for r in extract.detect_routes(language, content)] == want
+
+
+def test_documentation_of_a_small_repository(spark):
+    package = json.dumps({"main": "server.js", "scripts": {"build": "tsc", "test": "vitest run"}, "dependencies": {"express": "4", "pg": "8", "passport": "1", "stripe": "2"}, "devDependencies": {"vitest": "1"}, "engines": {"node": "20"}})
+    rows = [
+        ("package.json", "json", package), ("Dockerfile", None, "FROM node"), (".github/workflows/ci.yml", "yaml", "on: push"), ("tsconfig.json", "json", "{}"), ("src/empty.ts", "typescript", None),
+        ("src/api.ts", "typescript", "app.get('/users/:id', list);\nconst k = process.env.API_KEY;\n"),
+    ]
+    got = {r["section"]: r["body"] for r in docs.documentation(spark.createDataFrame(rows, "path string, language string, content string")).collect()}
+    assert list(got) == [s for s, _, _ in docs.SECTIONS] or set(got) == {s for s, _, _ in docs.SECTIONS}
+    assert got["api"] == "- GET `/users/:id` at `src/api.ts:1`" and got["authorization"].endswith("0 of 1 routes have a guard near them.")
+    assert got["environment-variables"] == "- `API_KEY` in `src/api.ts`" and got["configuration"] == "- `tsconfig.json`"
+    assert "Express" in got["overview"] and "PostgreSQL" in got["database"] and "Stripe" in got["external-services"] and "Passport" in got["authentication"]
+    assert got["deployment"].split("\n") == ["- container: `Dockerfile`", "- pipeline: `.github/workflows/ci.yml`", "- `build` in `package.json`: tsc"]
+    assert got["testing"].split("\n")[-1] == "- `test` in `package.json`: vitest run" and "- npm install" in got["installation"]
+    assert "- `src`: 2 files, 3 lines" in got["architecture"] and got["workflows"] == "- users: GET `/users/:id` at `src/api.ts:1`"
+
+
+def test_documentation_of_nothing(spark):
+    empty = spark.createDataFrame([], "path string, language string, content string")
+    got = docs.documentation(empty).collect()
+    assert {(r["section"], r["title"], r["body"]) for r in got} == set(docs.SECTIONS)
+
+
+def test_parsers_of_ones_own(spark):
+    def parse(content):
+        return [extract.Symbol(x, "rule", None, i, i, True, False) for i, x in enumerate(content.split("\n"), 1)], [extract.Import("base", (), 1)]
+
+    files = spark.createDataFrame([("a.rules", "rules", "one\ntwo"), ("b.py", "python", "import os\ndef f():\n    pass\n"), ("c.rules", "rules", None)], "path string, language string, content string")
+    assert sorted((r["path"], r["name"]) for r in extract.symbols(files, {"rules": parse}).collect()) == [("a.rules", "one"), ("a.rules", "two"), ("b.py", "f")]
+    assert sorted((r["path"], r["specifier"]) for r in extract.imports(files, {"rules": parse}).collect()) == [("a.rules", "base"), ("b.py", "os")]
+    assert {r["path"] for r in extract.chunks(files, {"rules": parse}).collect()} == {"a.rules", "b.py"}

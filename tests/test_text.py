@@ -145,3 +145,11 @@ def test_digest_lines(spark):
     assert one(spark, text.digest_lines(F.col("x")), x="// nothing here\nlong_name = 1\nab\n") == "  2: long_name = 1"
     assert one(spark, text.digest_lines(F.col("x")), x="") == ""
     assert len(one(spark, text.digest_lines(F.col("x")), x="token" * 100)) == 165
+
+
+def test_embeddings_by_a_provider(spark):
+    df = spark.createDataFrame([("ab",), (None,), ("",)], "x string").coalesce(1)
+    embed = num.embedding_by(lambda texts: [(len(t), 1) for t in texts], 2)
+    assert [r[0] for r in df.select(embed("x")).collect()] == [[2.0, 1.0], None, [0.0, 1.0]]
+    with pytest.raises(Exception, match="other than"):
+        df.select(num.embedding_by(lambda texts: [], 2)("x")).collect()
