@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import numeric as num
 from quarry.functions import text
+from quarry.functions.stems import porter
 from quarry.operators.joins import hinted
 
 #: Words that say nothing in a question, and what each topic's words stand for.
@@ -85,11 +86,6 @@ def inverted_index(chunks: DataFrame, id_col: str, content: str) -> DataFrame:
     return chunks.select(id_col, F.explode(words).alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
 
 
-def stem(term: Column) -> Column:
-    """A light English stem: plural and the commonest endings."""
-    return F.regexp_replace(F.regexp_replace(term, "(?:ies)$", "y"), "(?<=[a-z]{3})(?:ing|ed|es|s)$", "")
-
-
 def keyword(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", stems: bool = False) -> DataFrame:
     """(query_id, id, score, rank) by words (R3): each of a query's first 12 words adds 1 + ln tf where a chunk has it.
 
@@ -99,7 +95,9 @@ def keyword(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
     words = F.slice(F.array_distinct(F.filter(F.split(F.lower("query"), "[^a-z0-9_]+"), lambda x: F.length(x) > 1)), 1, 12)
     q = queries.select("query_id", F.explode(words).alias("term"))
     if stems:
-        index, q = index.withColumn("term", stem(F.col("term"))), q.withColumn("term", stem(F.col("term"))).distinct()
+        keys = [c for c in index.columns if c != "tf"]
+        index = index.withColumn("term", porter(F.col("term"))).groupBy(*keys).agg(F.sum("tf").alias("tf"))
+        q = q.withColumn("term", porter(F.col("term"))).distinct()
     asked = index.join(hinted(q.select("term").distinct()), "term", "left_semi")
     hit = asked.join(q, "term").groupBy("query_id", id_col).agg(F.sum(1 + F.log("tf")).alias("score"))
     return _top(hit, id_col, k)

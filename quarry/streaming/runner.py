@@ -10,7 +10,7 @@ from quarry.operators.sets import upsert
 from quarry.sources.checkpoints import cut
 
 
-def _folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
     """A new folder in the shared one that the session names."""
     cut(spark.range(1))  # sees to it that there is one
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
@@ -27,7 +27,7 @@ def read_parquet_stream(spark: SparkSession, folder: str, name: str, files_per_t
 def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream after all there is now, read from the table that the last batch wrote."""
     spark, folder = stream.sparkSession, None
-    folder = _folder(spark)
+    folder = new_folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
