@@ -52,63 +52,107 @@ def reachable(edges: DataFrame, src: str, dst: str, roots: DataFrame, root: str)
         seen = cut(seen.unionByName(new))
 
 
+def components(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(node, component) of the nodes on cycles of two or more: strongly connected components, named by their least node.
+
+    Forward and backward colouring.  Nodes without a way in or out are trimmed off; then every node takes the least node
+    that reaches it as its colour, and of a colour's nodes those that reach the colour itself are a component.  What is
+    left goes on within its colours.  Each round is a join and a grouping of the edges, of those nodes only whose colour
+    changed, with lineage cut by a checkpoint; no component, however large, comes together in a task.
+    """
+    from quarry.sources.checkpoints import cut
+
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct())
+    found = None
+    while True:
+        n = e.count()
+        while n:  # trim
+            ins, outs = e.select(F.col("b").alias("a")).distinct(), e.select(F.col("a").alias("b")).distinct()
+            e = cut(e.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))
+            before, n = n, e.count()
+            if n == before:
+                break
+        if not n:
+            break
+        # what leaves a node is trimmed to what enters one, so every node is at an edge's start
+        colours = cut(e.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
+        changed = colours
+        while True:
+            told = e.join(changed, F.col("a") == F.col("node")).groupBy("b").agg(F.min("colour").alias("told"))
+            both = cut(colours.join(told, F.col("node") == F.col("b"), "left").select("node", "colour", "told"))
+            lower = F.col("told") < F.col("colour")
+            changed = both.where(lower).select("node", F.col("told").alias("colour"))
+            if changed.isEmpty():
+                break
+            colours = both.select("node", F.when(lower, F.col("told")).otherwise(F.col("colour")).alias("colour"))
+        a, b = colours.select(F.col("node").alias("a"), F.col("colour").alias("ca")), colours.select(F.col("node").alias("b"), F.col("colour").alias("cb"))
+        e = cut(e.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", F.col("ca").alias("colour")))
+        reached = cut(colours.where("node = colour"))
+        new = reached
+        while True:
+            step = e.join(new.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node"), "colour").distinct()
+            new = cut(step.join(reached.select("node"), "node", "left_anti"))
+            if new.isEmpty():
+                break
+            reached = cut(reached.unionByName(new))
+        found = reached if found is None else found.unionByName(reached)
+        gone = reached.select("node")
+        e = cut(e.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b"))
+    if found is None:
+        return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+    several = found.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("colour")
+    return cut(found.join(several, "colour").select("node", F.col("colour").alias("component")))
+
+
 def in_cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Edges that may lie on cycles: sources and sinks are peeled off until none is left; what stays has cycles.
+    """(a, b): the edges that lie on a cycle, which are those within a component, and loops."""
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    c = components(e, "a", "b")
+    inside = e.join(c.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(c.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb").select("a", "b")
+    return inside.where("a <> b").unionByName(e.where("a = b"))
 
-    Peeling is distributed; the cycles themselves are listed by ``cycles`` for one repository's few thousand edges.
+
+def component_cycles(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """(component, size, cycle) for each component: the shortest cycle through its least node, beginning with it.
+
+    Of equally short ones, that whose nodes, from the last back, are each the least.  A loop is a cycle of its node, which
+    is a component of size 1 if it lies on no other.  Breadth first from all components at once.
     """
     from quarry.sources.checkpoints import cut
 
-    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    n = e.count()
-    while n:
-        ins, outs = e.select(F.col("b").alias("a")).distinct(), e.select(F.col("a").alias("b")).distinct()
-        e = cut(e.join(ins, "a", "left_semi").join(outs, "b", "left_semi").select("a", "b"))
-        m = e.count()
-        if m == n:
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct()
+    c = components(e, "a", "b")
+    loops = e.where("a = b").select(F.col("a").alias("node"))
+    single = loops.join(c, "node", "left_anti").withColumn("component", F.col("node"))
+    c = cut(c.unionByName(single))
+    sizes = c.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    inside = cut(e.join(c.select(F.col("node").alias("a"), "component"), "a").join(c.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").where("component = cb").select("component", "a", "b"))
+    # known: how far a node is from its component's least one, and from where
+    known = cut(sizes.select("component", F.col("component").alias("node"), F.lit(0).alias("far"), F.lit(None).cast(c.schema["node"].dataType).alias("back")))
+    new, far, closed = known, 0, None
+    while True:
+        step = inside.join(new.select("component", F.col("node").alias("a")), ["component", "a"])
+        ends = step.where("b = component").groupBy("component").agg(F.min("a").alias("node")).withColumn("far", F.lit(far))
+        closed = cut(ends if closed is None else closed.unionByName(ends.join(closed, "component", "left_anti")))
+        far += 1
+        open_ = step.join(closed, "component", "left_anti")  # a component whose cycle is found is done
+        new = cut(open_.join(known.select("component", F.col("node").alias("b")), ["component", "b"], "left_anti").groupBy("component", F.col("b").alias("node")).agg(F.min("a").alias("back")))
+        if new.isEmpty():
+            break
+        new = new.select("component", "node", F.lit(far).alias("far"), "back")
+        known = cut(known.unionByName(new))
+    parts = at = closed.select("component", "far", "node")
+    for _ in range(far):  # back from each cycle's last node
+        at = cut(at.join(known.select("component", "node", "back"), ["component", "node"]).where("back is not null").select("component", (F.col("far") - 1).alias("far"), F.col("back").alias("node")))
+        if at.isEmpty():
             break
-        n = m
-    return e
-
-
-def list_cycles(pairs: list[tuple[str, str]], most: int = 20) -> list[list[str]]:
-    """Up to ``most`` cycles by depth-first search, neighbours in order, each from its least node and once."""
-    after: dict[str, list[str]] = {}
-    for a, b in sorted(set(pairs)):
-        after.setdefault(a, []).append(b)
-    found: dict[tuple[str, ...], None] = {}
-    colour: dict[str, int] = {}
-    for root in sorted(after):
-        if colour.get(root):
-            continue
-        stack, path = [(root, iter(after.get(root, [])))], [root]
-        colour[root] = 1
-        while stack and len(found) < most:
-            node, todo = stack[-1]
-            nxt = next(todo, None)
-            if nxt is None:
-                colour[node] = 2
-                stack.pop()
-                path.pop()
-            elif colour.get(nxt) == 1:
-                c = path[path.index(nxt) :]
-                k = c.index(min(c))
-                found.setdefault(tuple(c[k:] + c[:k]))
-            elif not colour.get(nxt):
-                colour[nxt] = 1
-                path.append(nxt)
-                stack.append((nxt, iter(after.get(nxt, []))))
-    return [list(c) for c in found][:most]
-
-
-def cycles(edges: DataFrame, group: str, src: str, dst: str, most: int = 20) -> DataFrame:
-    """(group, cycle) of each group's (repository's) graph."""
-
-    def run(pdf):
-        import pandas as pd
-
-        found = list_cycles(list(zip(pdf["a"], pdf["b"], strict=True)), most)
-        return pd.DataFrame({"grp": [str(pdf["grp"].iloc[0])] * len(found), "cycle": found})
-
-    e = edges.select(F.col(group).cast("string").alias("grp"), F.col(src).cast("string").alias("a"), F.col(dst).cast("string").alias("b")).distinct()
-    return e.groupBy("grp").applyInPandas(run, "grp string, cycle array<string>")
+        parts = parts.unionByName(at)
+    paths_ = parts.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "node"))), lambda x: x["node"]).alias("cycle"))
+    return paths_.join(sizes, "component").select("component", "size", "cycle")
+
+
+def cycles(edges: DataFrame, group: str, src: str, dst: str) -> DataFrame:
+    """(group, component, size, cycle) for each component of each group's (repository's) graph."""
+    key = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("n"))
+    found = component_cycles(edges.where(F.col(group).isNotNull()).select(key(src).alias("a"), key(dst).alias("b")), "a", "b")
+    return found.select(F.col("component.g").alias(group), F.col("component.n").alias("component"), "size", F.col("cycle.n").alias("cycle"))

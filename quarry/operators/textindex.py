@@ -113,9 +113,10 @@ class TextIndex:
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def _split(self, texts: DataFrame) -> DataFrame:
-        """(term, block, doc, tf, len, bucket) of (doc, w): words are counted before they are stemmed."""
+        """(term, block, doc, tf, len, bucket) of (doc, w).  Words are counted first and each is stemmed once, not once a text."""
         counted = texts.select("doc", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("doc", "len", "word").agg(F.count(F.lit(1)).alias("n"))
-        stemmed = counted.select("doc", "len", porter(F.col("word")).alias("term"), "n").groupBy("doc", "len", "term").agg(F.sum("n").cast("int").alias("tf"))
+        stems = counted.select("word").distinct().withColumn("term", porter(F.col("word")))
+        stemmed = counted.join(stems, "word").groupBy("doc", "len", "term").agg(F.sum("n").cast("int").alias("tf"))
         return stemmed.select("term", F.pmod(F.xxhash64("doc"), F.lit(self.blocks)).cast("int").alias("block"), "doc", "tf", "len", _bucket(F.col("term"), self.buckets).alias("bucket"))
 
     def refresh(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> int:
@@ -141,7 +142,7 @@ class TextIndex:
             removed = 0
         texts = now.select("doc", "digest", words(F.col("text")).alias("w"))
         self._put(texts.select("doc", "digest", F.size("w").alias("len")), "documents", gen)
-        self._put_postings(self._split(texts), gen)
+        self._put_postings(cut(self._split(texts)), gen)
         sums = self.spark.read.parquet(f"{self.path}/documents/gen={gen}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("w")).first()
         self._commit(gen, done[-1]["base"] if done else gen, sums["n"], sums["w"], removed)
         return sums["n"]

@@ -178,15 +178,35 @@ def g_reachable_all(spark, d):
     return graph.reachable(_order_edges(spark, d), "a", "b", spark.createDataFrame([(1,)], "r long"), "r")
 
 
-@query("g_in_cycles")
+@query(
+    "g_in_cycles",
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, (o_custkey * 7 + o_orderkey) % 1500 AS b FROM orders),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT e.a, e.b FROM e JOIN r ON r.a = e.b AND r.b = e.a""",
+)
 def g_in_cycles(spark, d):
     return graph.in_cycles(_order_edges(spark, d), "a", "b")
 
 
-@query("g_cycles")
+_BY_STATUS = "SELECT DISTINCT o_orderstatus AS g, o_custkey AS a, (o_custkey * 7 + o_orderkey) % 1500 AS b FROM orders"
+
+
+@query(
+    "g_cycles",
+    f"""WITH RECURSIVE e AS ({_BY_STATUS}), r AS (SELECT g, a, b FROM e UNION SELECT r.g, r.a, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.b),
+    c AS MATERIALIZED (SELECT x.g, x.a AS node, min(x.b) AS component FROM r x JOIN r y ON y.g = x.g AND y.a = x.b AND y.b = x.a GROUP BY 1, 2),
+    i AS MATERIALIZED (SELECT e.g, component, e.a, e.b FROM e JOIN c ON c.g = e.g AND c.node = e.a JOIN c d USING (component) WHERE d.g = e.g AND d.node = e.b),
+    bfs(g, component, node, far) USING KEY (g, component, node) AS (
+      SELECT DISTINCT g, component, component, 0 FROM c
+      UNION SELECT i.g, i.component, i.b, min(t.far + 1) FROM bfs t JOIN i ON i.g = t.g AND i.component = t.component AND i.a = t.node
+      WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs k WHERE k.g = i.g AND k.component = i.component AND k.node = i.b) GROUP BY 1, 2, 3
+    ), back AS MATERIALIZED (SELECT v.g, v.component, v.node, v.far, min(u.node) AS back FROM bfs v JOIN i ON i.g = v.g AND i.component = v.component AND i.b = v.node JOIN bfs u ON u.g = v.g AND u.component = v.component AND u.node = i.a AND u.far = v.far - 1 GROUP BY ALL),
+    ends AS (SELECT i.g, i.component, arg_min(t.node, (t.far, t.node)) AS node FROM i JOIN bfs t ON t.g = i.g AND t.component = i.component AND t.node = i.a WHERE i.b = i.component GROUP BY 1, 2),
+    path AS (SELECT g, component, node, [node] AS cycle FROM ends UNION ALL SELECT p.g, p.component, b.back, list_prepend(b.back, p.cycle) FROM path p JOIN back b ON b.g = p.g AND b.component = p.component AND b.node = p.node WHERE p.node <> p.component)
+    SELECT g AS o_orderstatus, component, (SELECT count(*) FROM c WHERE c.g = p.g AND c.component = p.component) AS size, array_to_string(cycle, '>') AS cycle FROM path p WHERE node = component""",
+)
 def g_cycles(spark, d):
-    e = read(spark, d, "orders").select("o_orderstatus", (F.col("o_custkey") % 40).alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 40).alias("b"))
-    return graph.cycles(e, "o_orderstatus", "a", "b")
+    o = read(spark, d, "orders").select("o_orderstatus", F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).alias("b"))
+    return graph.cycles(o.distinct(), "o_orderstatus", "a", "b").withColumn("cycle", F.array_join(F.col("cycle").cast("array<string>"), ">"))
 
 
 @query(

@@ -129,7 +129,7 @@ def files(path):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/**/*.parquet", recursive=True)}
 
 
-@pytest.mark.parametrize("first_blocks", [1, 8])
+@pytest.mark.parametrize("first_blocks", [2])
 def test_index_follows_changes_and_answers_as_a_scan_does(spark, tmp_path, monkeypatch, first_blocks):
     monkeypatch.setattr(textindex, "FIRST_BLOCKS", first_blocks)
     rows = texts(1, 150)
