@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-MODULES = ["text", "relational", "scalars", "filtering", "flows", "shared", "indexes"]
+MODULES = ["text", "relational", "scalars", "filtering", "flows", "shared", "indexes", "upkeep"]
 
 
 def _load() -> None:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.operators.sets import upsert
+from quarry.sources.buckets import BUCKETS, BucketTable
 from quarry.sources.checkpoints import cut
 
 
@@ -37,21 +37,22 @@ def settle(stream: DataFrame, mode: str = "complete") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def index_incrementally(stream: DataFrame, table: str, state: str, *keys: str) -> None:
-    """What a stream of files brings, put into a table by key; a batch that comes again changes nothing."""
-    spark = stream.sparkSession
+def index_incrementally(stream: DataFrame, table: str, state: str, *keys: str, buckets: int = BUCKETS) -> None:
+    """What a stream of files brings, put into a table by key; a batch rewrites the buckets that it touches, and one that comes again none."""
+    known = BucketTable(stream.sparkSession, table, *keys, buckets=buckets)
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda batch, number: known.upsert(batch)).start().awaitTermination()
 
-    def put(batch: DataFrame, number: int) -> None:
-        from quarry.operators.sets import distinct_first
 
-        new = distinct_first(batch, list(keys), *[c for c in batch.columns if c not in keys])
-        try:
-            old = spark.read.parquet(table)
-        except Exception as e:  # noqa: BLE001  only a table that isn't there yet is no error
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new.write.parquet(table)
-            return
-        cut(upsert(old, new, *keys)).write.mode("overwrite").parquet(table)
+def receive(deliveries: DataFrame, secret: str | None, table: str, state: str, delay: str, buckets: int = BUCKETS) -> DataFrame:
+    """Webhook deliveries (delivery, event, sent, signature, body) of a stream, each judged once and kept by its id; the table after all there is now.
 
-    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    A delivery that comes again within ``delay`` goes in the stream, one that comes later or in a repeated batch changes
+    nothing in the table.
+    """
+    from quarry.sources.readers import webhook_events
+
+    once = deliveries.withWatermark("sent", delay).dropDuplicatesWithinWatermark(["delivery"])
+    judged = webhook_events(once, secret).select("delivery", "event", "status", "action", "installation_id")
+    known = BucketTable(deliveries.sparkSession, table, "delivery", buckets=buckets)
+    judged.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda batch, number: known.upsert(batch)).start().awaitTermination()
+    return known.read()
