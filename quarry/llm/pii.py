@@ -270,7 +270,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             texts = batch.column(1).to_pylist()
             base = [base_spans(t or "") for t in texts]
             more = [
-                [(f"term_{t['kind']}", t["start"], t["end"]) for t in ts or () if not any(t["start"] < b and a < t["end"] for _, a, b in own_)]
+                sorted(((f"term_{t['kind']}", t["start"], t["end"]) for t in ts or () if not any(t["start"] < b and a < t["end"] for _, a, b in own_)), key=_listed)
                 for ts, own_ in zip(batch.column(3).to_pylist(), base, strict=True)
             ]
             clean = [t and sanitise_text(t, [*b, *m]) for t, b, m in zip(texts, base, more, strict=True)]
@@ -284,6 +284,11 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return sanitise(docs, id_col, text_col).drop("text")
 
 
+def _listed(span: Span) -> tuple[int, int, int]:
+    """By kind as listed, then by place."""
+    return KINDS.index(span[0].removeprefix("term_")), span[1], span[2]
+
+
 def sanitise_text(text: str, spans: list[Span]) -> str:
     """``text`` with base spans replaced by their kind in brackets and term spans generalised or removed.
 

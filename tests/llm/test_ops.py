@@ -573,3 +573,8 @@ def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_spans_of_terms_come_by_kind_as_listed_then_by_place():
+    spans = [("term_ip", 0, 6), ("term_email", 32, 38), ("term_phone", 1, 2), ("term_ip", 0, 3), ("term_email", 4, 5)]
+    assert sorted(spans, key=pii._listed) == [("term_email", 4, 5), ("term_email", 32, 38), ("term_ip", 0, 3), ("term_ip", 0, 6), ("term_phone", 1, 2)]
