@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stems
 from quarry.operators.textindex import TextIndex
-from quarry.streaming.runner import new_folder
+from quarry.operators.vectorindex import VectorIndex, recall
+from quarry.sources.checkpoints import new_folder
 
 from .catalog import query, read
 
@@ -81,3 +82,33 @@ def r3_stored(spark, d):
 @query("r3_stored_by_length", _stored_sql("((1 + ln(tf)) / (1 + ln(len)))"))
 def r3_by_length(spark, d):
     return _stored(spark, d, True)
+
+
+# -- vectors -------------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, d) -> tuple:
+    """The index of all embeddings, and every fiftieth of them as a query."""
+    e = read(spark, d, "embeddings")
+    index = VectorIndex(spark, f"{new_folder(spark)}/vectors", 64)
+    index.build(e)
+    return index, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query(
+    "r2_indexed_exact",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) AS s FROM e q JOIN e ON q.vec_id % 50 = 0)
+    SELECT query_id, vec_id, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""",
+)
+def r2_indexed_exact(spark, d):
+    index, asked = _vectors(spark, d)
+    return index.search_exactly(asked, 20).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query("r2_indexed")
+def r2_indexed(spark, d):
+    """What the nearest lists give, beside the share of the exact answer that they hold."""
+    index, asked = _vectors(spark, d)
+    found = index.search(asked, 20, probes=12).select("query_id", F.col("id").alias("id"), "score", "rank")
+    share = recall(found, index.search_exactly(asked, 20)).select("query_id", "recall")
+    return found.join(share, "query_id").select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank", "recall")

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.sources.buckets import BUCKETS, BucketTable
-from quarry.sources.checkpoints import cut
-
-
-def new_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names."""
-    cut(spark.range(1))  # sees to it that there is one
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+from quarry.sources.checkpoints import new_folder
 
 
 def read_parquet_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
