@@ -5,7 +5,7 @@ into the lists nearest to it.  A list's radius bounds how near any of its vector
 looks on into those lists only that could still hold a better one than the k-th best so far.  Vectors are of length 1, so
 cosine and distance say the same; zero vectors, whose cosine is 0 with all, are a list of their own.
 
-Below the index's folder, all Parquet: ``centroids`` (list, c), ``vectors/list=`` (id, v) and ``radii`` (list, n, radius).
+Below the index's folder, all Parquet: ``centroids`` (list, c), ``vectors/list=`` (id, v), ``radii`` (list, n, radius) and ``columns``.
 """
 
 from __future__ import annotations
@@ -56,6 +56,7 @@ class VectorIndex:
         centres = KMeans(k=lists, seed=7, maxIter=8, initSteps=1).fit(chosen.select(array_to_vector("v").alias("features"))).clusterCenters() if lists > 1 and n > 1 else [np.ones(self.size)]
         rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
         self.spark.createDataFrame(rows, "list int, c array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centroids")
+        own.limit(0).write.mode("overwrite").parquet(f"{self.path}/columns")  # what the columns are if there is no vector
         self._put(own, "overwrite")
 
     def add(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
@@ -87,7 +88,8 @@ class VectorIndex:
     # -- searching -----------------------------------------------------------------------------------------------------
 
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
+        columns = self.spark.read.parquet(f"{self.path}/columns").schema
+        return self.spark.read.schema(columns.add("list", "int")).parquet(f"{self.path}/vectors")
 
     def _lists(self) -> dict[int, tuple[int, float]]:
         rows = self.spark.read.parquet(f"{self.path}/radii").groupBy("list").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()
