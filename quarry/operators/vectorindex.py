@@ -16,6 +16,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import numeric as num
 from quarry.sources.checkpoints import cut
@@ -89,7 +90,7 @@ class VectorIndex:
 
     def vectors(self) -> DataFrame:
         columns = self.spark.read.parquet(f"{self.path}/columns").schema
-        return self.spark.read.schema(columns.add("list", "int")).parquet(f"{self.path}/vectors")
+        return self.spark.read.schema(columns.add("list", T.IntegerType())).parquet(f"{self.path}/vectors")
 
     def _lists(self) -> dict[int, tuple[int, float]]:
         rows = self.spark.read.parquet(f"{self.path}/radii").groupBy("list").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).collect()
