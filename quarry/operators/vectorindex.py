@@ -25,6 +25,8 @@ from quarry.sources.checkpoints import cut
 SAMPLE, LISTS = 50_000, 256
 #: Vectors and queries that meet in one group.
 ROWS, ASKS = 8192, 2048
+#: Vectors whose exact answers say how many lists to look into.
+TRIALS = 200
 ZERO = -1
 SLACK = 1e-9
 
@@ -154,6 +156,25 @@ class VectorIndex:
         own = queries.select(F.col("query_id").alias("query_id"), F.col("vector").alias("vector"))
         return cut(self._unit(own, "query_id", "vector").withColumnRenamed("id", "query_id"))
 
+    def probes_for(self, k: int, goal: float = 0.95, trials: int = TRIALS) -> int:
+        """How many lists to look into to find the ``goal`` of the k most similar, from exact answers for about ``trials`` of the vectors.
+
+        The trials are chosen by a hash of the ids; each exact answer's list has a place in its query's order, and the
+        number is that quantile of the places.
+        """
+        n = sum(n for n, _ in self._lists().values())
+        share = F.lit(min(1 << 20, int(trials / max(1, n) * (1 << 20)) + 1))
+        tried = cut(self.vectors().where((F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 20)) < share) & (F.col("list") != ZERO)).select(F.col("id").alias("query_id"), F.col("v").alias("vector")))
+        exact = self.search_exactly(tried, k).select("query_id", "id").join(self.vectors().select("id", "list"), "id")
+        places = self._nearest(tried.withColumnRenamed("vector", "v"), None).select("query_id", "list", "place")
+        found = exact.join(places, ["query_id", "list"]).groupBy("place").agg(F.count(F.lit(1)).alias("n")).orderBy("place").collect()  # LISTS rows at most
+        wanted, so_far = goal * sum(r["n"] for r in found), 0
+        for r in found:
+            so_far += r["n"]
+            if so_far >= wanted:
+                return max(1, r["place"])
+        return 1
+
     def search(self, queries: DataFrame, k: int, probes: int = 8) -> DataFrame:
         """(query_id, id, score, rank): the k most similar vectors of the ``probes`` nearest lists, for any number of queries (query_id, vector)."""
         return self._top(self._scored(cut(self._nearest(self._asked(queries), probes)), k), k)

@@ -107,8 +107,8 @@ def r2_indexed_exact(spark, d):
 
 @query("r2_indexed")
 def r2_indexed(spark, d):
-    """What the nearest lists give, beside the share of the exact answer that they hold."""
+    """What the nearest lists give, as many as trials say, beside the share of the exact answer that they hold."""
     index, asked = _vectors(spark, d)
-    found = index.search(asked, 20, probes=12).select("query_id", F.col("id").alias("id"), "score", "rank")
+    found = index.search(asked, 20, probes=index.probes_for(20)).select("query_id", F.col("id").alias("id"), "score", "rank")
     share = recall(found, index.search_exactly(asked, 20)).select("query_id", "recall")
     return found.join(share, "query_id").select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank", "recall")
