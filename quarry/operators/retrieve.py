@@ -78,10 +78,10 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id
         index.build(chunks, id_col, "embedding")
         return index.search_exactly(queries, k).withColumnRenamed("id", id_col)
     hit = chunks.where("embedding is not null").crossJoin(F.broadcast(queries)).select("query_id", id_col, num.cosine(F.col("embedding"), F.col("vector")).alias("score"))
-    return _top(hit, id_col, k)
+    return best_of_each(hit, id_col, k)
 
 
-def _top(hits: DataFrame, id_col: str, k: int) -> DataFrame:
+def best_of_each(hits: DataFrame, id_col: str, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -106,7 +106,7 @@ def keyword(index: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
         q = q.withColumn("term", porter(F.col("term"))).distinct()
     asked = index.join(hinted(q.select("term").distinct()), "term", "left_semi")
     hit = asked.join(q, "term").groupBy("query_id", id_col).agg(F.sum(1 + F.log("tf")).alias("score"))
-    return _top(hit, id_col, k)
+    return best_of_each(hit, id_col, k)
 
 
 def symbol(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
@@ -125,7 +125,7 @@ def symbol(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
 
     both = similar("symbol").withColumn("w", F.lit(1.0)).unionByName(similar("path").withColumn("w", F.lit(0.7)))
     hit = both.groupBy("query_id", id_col).agg(F.max(F.col("sim") * F.col("w")).alias("score")).where("score > 0.1")
-    return _top(hit, id_col, k)
+    return best_of_each(hit, id_col, k)
 
 
 def fuse(lists: dict[str, DataFrame], chunks: DataFrame, limit: int, roles: list[str], literals: list[str], about_tests: bool = False, id_col: str = "chunk_id", weights: dict[str, float] | None = None, prefix: str | None = None, language: str | None = None) -> DataFrame:

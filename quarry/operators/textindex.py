@@ -112,6 +112,10 @@ class TextIndex:
         row = self.spark.createDataFrame([(gen, base, self.buckets, self.blocks, docs, words_, removed)], COMMIT)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
+    def _units(self, text: Column) -> Column:
+        """What a text is split into; their number is its length."""
+        return words(text)
+
     def _split(self, texts: DataFrame) -> DataFrame:
         """(term, block, doc, tf, len, bucket) of (doc, w).  Words are counted first and each is stemmed once, not once a text."""
         counted = texts.select("doc", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("doc", "len", "word").agg(F.count(F.lit(1)).alias("n"))
@@ -140,7 +144,7 @@ class TextIndex:
             self._put(gone, "dead", gen)
         else:
             removed = 0
-        texts = now.select("doc", "digest", words(F.col("text")).alias("w"))
+        texts = now.select("doc", "digest", self._units(F.col("text")).alias("w"))
         self._put(texts.select("doc", "digest", F.size("w").alias("len")), "documents", gen)
         self._put_postings(cut(self._split(texts)), gen)
         sums = self.spark.read.parquet(f"{self.path}/documents/gen={gen}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("w")).first()
@@ -190,8 +194,7 @@ class TextIndex:
 
         def scored(chosen: DataFrame) -> DataFrame:
             live = self._of_terms(self.postings(), asked).join(hinted(chosen.select("query_id", "block")), ["query_id", "block"])
-            live = live.join(self.dead().select("doc", F.col("was").alias("gen")), ["doc", "gen"], "left_anti")
-            return live.groupBy("query_id", "doc").agg(F.sum(weight(F.col("tf"), F.col("len"), by_length)).alias("points"))
+            return self.live(live).groupBy("query_id", "doc").agg(F.sum(weight(F.col("tf"), F.col("len"), by_length)).alias("points"))
 
         best = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc")
         top = lambda df: df.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -202,6 +205,10 @@ class TextIndex:
         every = top(first.select("query_id", "doc", "points").unionByName(scored(cut(rest.select("query_id", "block")))))
         return every.select("query_id", F.col("doc").alias(id_col), (F.col("points") / UNIT).alias("score"), "rank")
 
+    def live(self, postings: DataFrame) -> DataFrame:
+        """Postings of texts that are in the index now."""
+        return postings.join(self.dead().select("doc", F.col("was").alias("gen")), ["doc", "gen"], "left_anti")
+
     def blocks_left(self, queries: DataFrame, k: int, by_length: bool = False) -> tuple[int, int]:
         """(blocks scored, blocks with any of the terms) over all queries; to see what the bounds save."""
         asked = cut(self._asked(queries))

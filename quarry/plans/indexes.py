@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import stems
 from quarry.operators.textindex import TextIndex
+from quarry.operators.trigramindex import LiteralIndex, NameIndex, symbol_search
 from quarry.operators.vectorindex import VectorIndex, recall
 from quarry.sources.checkpoints import new_folder
 
-from .catalog import query, read
+from .catalog import ORACLES, query, read
 
 # -- stemmed words ------------------------------------------------------------------------------------------------------
 
@@ -112,3 +113,25 @@ def r2_indexed(spark, d):
     found = index.search(asked, 20, probes=index.probes_for(20)).select("query_id", F.col("id").alias("id"), "score", "rank")
     share = recall(found, index.search_exactly(asked, 20)).select("query_id", "recall")
     return found.join(share, "query_id").select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank", "recall")
+
+
+# -- trigrams ------------------------------------------------------------------------------------------------------------
+
+
+@query("f13_trigram_index", ORACLES["f13_line_search"])
+def f13_trigrams(spark, d):
+    """The lines that a scan finds, from an index that was begun with the English texts."""
+    docs, index = read(spark, d, "documents"), LiteralIndex(spark, f"{new_folder(spark)}/trigrams", buckets=16, blocks=64)
+    index.refresh(docs.where("lang = 'en'"))
+    index.refresh(docs)
+    return index.lines(docs, "license", 100).withColumn("line_no", F.col("line_no").cast("int"))
+
+
+@query("r4_trigram_index", ORACLES["r4_symbol_topk"])
+def r4_trigrams(spark, d):
+    parts, folder = read(spark, d, "part"), new_folder(spark)
+    symbols, paths = (NameIndex(spark, f"{folder}/{c}", buckets=8, blocks=16) for c in ("p_type", "p_name"))
+    symbols.refresh(parts, "p_partkey", "p_type")
+    paths.refresh(parts, "p_partkey", "p_name")
+    q = spark.createDataFrame([(0, "steel brushed ab")], "query_id int, terms string")
+    return symbol_search(symbols, paths, q, 20, "p_partkey").select("p_partkey", F.round("score", 6).alias("score"))
