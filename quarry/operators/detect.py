@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -56,8 +57,6 @@ def _line_starts(text: str) -> list[int]:
 
 def scan_file(path: str, language: str, content: str, is_test: bool, is_generated: bool, rules: Sequence[Rule], cap: int = 8) -> list[tuple]:
     """Findings of all rules in one file, at most ``cap`` a rule (K1)."""
-    from bisect import bisect_right
-
     if is_generated or not content:
         return []
     out, starts, lines = [], _line_starts(content), content.split("\n")
@@ -179,57 +178,78 @@ _LOOP = re.compile(r"\bfor\s*(?:await\s*)?\(|\bwhile\s*\(|\.(?:forEach|map)\s*\(
 _DATA_CALL = re.compile(r"\b(?:await\s+)?(?:prisma|db|knex|repo(?:sitory)?|session|cursor|conn(?:ection)?|pool|client|model|Model|[A-Z]\w*)\s*\.\s*(?:\w+\s*\.\s*)?(?:find\w*|query|execute|select|get(?:One|By\w+)|fetch(?:one|all)?|count|aggregate|save|update|create|delete)\s*\(")
 
 
-def _block(text: str, at: int, most: int) -> str:
-    """The block that begins at or after ``at``: braces, else the more indented lines."""
+def _block_end(text: str, at: int, most: int) -> tuple[int, int]:
+    """Where the block that belongs to the head at ``at`` begins and ends: braces, else the more indented lines, else the line."""
     line_end = text.find("\n", at)
-    head = text[at : line_end if line_end >= 0 else len(text)]
-    if head.rstrip().endswith(":"):
-        start = text.rfind("\n", 0, at) + 1
-        indent = len(head) and len(text[start:]) - len(text[start:].lstrip(" \t"))
-        body, pos = [], line_end + 1
-        while 0 < pos < len(text) and pos - at < most:
+    line_end = len(text) if line_end < 0 else line_end
+    if text[at:line_end].rstrip().endswith(":"):
+        head = text[text.rfind("\n", 0, at) + 1 : at + 1]
+        indent, pos = len(head) - len(head[:-1].lstrip(" \t")) - 1, line_end + 1
+        while pos < len(text) and pos - at < most:
             end = text.find("\n", pos)
             end = len(text) if end < 0 else end
             line = text[pos:end]
             if line.strip() and len(line) - len(line.lstrip()) <= indent:
                 break
-            body.append(line)
             pos = end + 1
-        return "\n".join(body)[:most]
+        return line_end + 1, min(pos, line_end + 1 + most)
     open_ = text.find("{", at, at + 400)
-    paren = text.find("(", at)
     if open_ < 0:
-        return text[at : line_end if line_end >= 0 else at + most]
-    depth, i = 0, open_
-    while i < len(text) and i - open_ < most:
+        return at, line_end
+    depth = 0
+    for i in range(open_, min(len(text), open_ + most)):
         depth += {"{": 1, "}": -1}.get(text[i], 0)
         if depth == 0:
-            return text[open_ : i + 1]
-        i += 1
-    del paren
-    return text[open_ : open_ + most]
+            return open_, i + 1
+    return open_, open_ + most
 
 
-def loop_queries(files: DataFrame, cap: int = 12) -> DataFrame:
-    """Data access inside a loop's block (K3)."""
+def _ranges(files: DataFrame, f, names: str) -> DataFrame:
+    """(path, first, last, ...) of what ``f(content)`` finds in the files that aren't generated."""
 
-    def one(path, language, content, is_test, is_generated):
-        rows, seen = [], set()
-        if is_generated:
-            return rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32() if "line" in names else pa.string()]
+        for b in batches:
+            rows = [(p, *x) for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x in f(content)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["path", "first", "last", names.split(" ")[0]])
+
+    kept = files.where("content is not null and not coalesce(is_generated, false)").select("path", "content")
+    return kept.mapInArrow(run, f"path string, first long, last long, {names}")
+
+
+def loop_ranges(files: DataFrame, most: int = 4000) -> DataFrame:
+    """(path, first, last, line): the characters of each loop's block, of at most ``most``, and the line of its head."""
+
+    def of(content: str):
+        starts = _line_starts(content)
         for m in _LOOP.finditer(content):
-            line = content.count("\n", 0, m.start()) + 1
-            if content[m.start()] == "\n" or content[m.start()] in " \t":
-                line = content.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1
-            if line in seen or not (c := _DATA_CALL.search(_block(content, m.start() + len(m[0]) - len(m[0].lstrip()), 4000))):
-                continue
-            seen.add(line)
-            rows.append(("performance", "perf.n-plus-one", "n-plus-one", "high", "data access in a loop", path, line, line, c[0], 0.75, "static", None, len(rows)))
-            if len(rows) == cap:
-                break
-        return rows
+            at = m.start() + len(m[0]) - len(m[0].lstrip())
+            first, end = _block_end(content, at, most)
+            if first < end:
+                yield first, end - 1, bisect_right(starts, at)
 
-    return _over_files(files, one)
+    return _ranges(files, of, "line int")
+
+
+def data_calls(files: DataFrame) -> DataFrame:
+    """(path, first, last, call): the characters of each call that reaches for data."""
+    return _ranges(files, lambda content: [(m.start(), m.end() - 1, m[0]) for m in _DATA_CALL.finditer(content)], "call string")
+
+
+def loop_queries(files: DataFrame, cap: int = 12) -> DataFrame:
+    """Data access inside a loop's block (K3): calls and blocks as ranges that are joined by containment.
+
+    A line counts once and shows its first call; of a file the first ``cap`` lines count.
+    """
+    from .joins import contained
+
+    once = contained(data_calls(files), loop_ranges(files), "path").groupBy("path", "line").agg(F.min_by("call", "first").alias("call"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("line"))
+    kept = once.withColumn("_r", place).where(F.col("_r") <= cap)
+    values = ["performance", "perf.n-plus-one", "n-plus-one", "high", "data access in a loop", F.col("path"), F.col("line"), F.col("line"), F.col("call"), 0.75, "static", None, F.col("_r") - 1]
+    kinds = [x.rsplit(" ", 1) for x in FINDING.split(", ")]
+    return kept.select(*[(v if isinstance(v, Column) else F.lit(v)).cast(kind).alias(name) for v, (name, kind) in zip(values, kinds, strict=True)])
 
 
 _IMPORT = re.compile(r"""^[ \t]*import\s+(?:type\s+)?([^;'"]+?)\s+from\s+["'][^"']+["'];?[ \t]*$""", re.M)

@@ -102,6 +102,27 @@ def best_route(calls: DataFrame, routes: DataFrame) -> DataFrame:
     return calls.join(best, "call_id", "left").select(*calls.columns, "b.route_id", "b.score")
 
 
+def contained(inner: DataFrame, outer: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """Rows of ``inner`` with those of ``outer`` of the same key that contain them, by columns first and last (both included).
+
+    Ranges meet by bins of ``width``: an outer one stands in every bin that it reaches into, an inner one in that of its
+    first place, so that the join is on equality and a pair comes once.  Other columns must have different names.
+    """
+    bins = F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width)))
+    o = outer.where("first <= last").withColumn("_bin", bins).withColumnsRenamed({"first": "outer_first", "last": "outer_last"})
+    i = inner.withColumn("_bin", F.floor(F.col("first") / width))
+    return i.join(o, [key, "_bin"]).where("outer_first <= first and last <= outer_last").drop("_bin")
+
+
+def innermost(inner: DataFrame, outer: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """Each row of ``inner`` with the smallest range of ``outer`` that contains it, of equal ones that which begins last; rows without one go."""
+    named = inner.withColumn("_row", F.struct(*inner.columns))
+    found = contained(named, outer, key, width)
+    mine = [c for c in found.columns if c not in (*inner.columns, "_row")]
+    best = F.min_by(F.struct(*mine), F.struct((F.col("outer_last") - F.col("outer_first")).alias("size"), (-F.col("outer_first")).alias("late"), *[c for c in mine if not c.startswith("outer_")]))
+    return found.groupBy("_row").agg(best.alias("_best")).select("_row.*", "_best.*")
+
+
 def affected_versions(advisories: DataFrame) -> DataFrame:
     """(id, ecosystem, name, introduced, fixed) rows of nested advisories."""
     return (

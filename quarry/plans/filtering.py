@@ -191,3 +191,24 @@ def a29(spark, d):
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
     )
     return detect.merge_duplicates(rows).select(F.col("file_path").cast("long").alias("l_suppkey"), F.col("confidence").alias("best"))
+
+
+_CODE = ["for (const r of rows) {", "}", "  await db.query(q)", "  step(1)", "for (const x of xs) {"]
+
+
+@query(
+    "k3_n_plus_one",
+    f"""WITH l AS (SELECT l_orderkey, l_linenumber AS i, (l_partkey + l_linenumber) % 5 AS kind, {_CODE}[kind + 1] AS code FROM lineitem),
+    n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i, code) AS line FROM l),
+    c AS (SELECT *, sum(CASE kind WHEN 0 THEN 1 WHEN 4 THEN 1 WHEN 1 THEN -1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY line) AS depth FROM n),
+    loops AS (SELECT a.l_orderkey, a.line, coalesce(min(b.line), 1000000) AS ends FROM c a LEFT JOIN c b ON b.l_orderkey = a.l_orderkey AND b.line > a.line AND b.depth < a.depth WHERE a.kind IN (0, 4) GROUP BY ALL)
+    SELECT DISTINCT 'src/' || o.l_orderkey || '.ts' AS file_path, CAST(o.line AS INTEGER) AS start_line, 'await db.query(' AS snippet FROM loops o JOIN c ON c.l_orderkey = o.l_orderkey AND c.kind = 2 AND c.line > o.line AND c.line < o.ends""",
+)
+def k3(spark, d):
+    """A file for each order, whose lines open and close loops, reach for data or do not, as its items say."""
+    kind = F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(5)).cast("int")
+    lines = read(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.element_at(F.array(*[F.lit(c) for c in _CODE]), kind + 1).alias("code")).alias("x"))
+    files = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("x")).select(
+        F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("path"), F.array_join(F.col("x.code"), "\n").alias("content"), F.lit(False).alias("is_generated"),
+    )
+    return detect.loop_queries(files).select("file_path", "start_line", "snippet")

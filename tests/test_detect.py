@@ -131,3 +131,30 @@ def test_routes_without_protection(spark):
     f = files(spark, ("a.ts", "typescript", "x"))
     assert [x["path"] for x in d.missing_rate_limit(r, f).collect()] == ["/login"]
     assert d.missing_rate_limit(r, files(spark, ("l.ts", "typescript", "import rateLimit from 'x'"))).count() == 0
+
+
+def test_ranges_meet_what_contains_them_and_keep_the_innermost(spark):
+    import random
+
+    from quarry.operators import joins
+
+    rng = random.Random(8)
+    span = lambda n, most: [(rng.choice("ab"), a, a + rng.randrange(most), i) for i in range(n) for a in [rng.randrange(400)]]
+    inner, outer = span(60, 30), [*span(40, 300), ("a", 9, 3, 99)]
+    i = spark.createDataFrame(inner, "path string, first long, last long, i int")
+    o = spark.createDataFrame(outer, "path string, first long, last long, o int")
+    want = {(x[3], y[3]) for x in inner for y in outer if x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2]}
+    for width in (1, 16, 1024):
+        assert sorted((r["i"], r["o"]) for r in joins.contained(i, o, "path", width).collect()) == sorted(want)
+    best = {x: min((outer[y][2] - outer[y][1], -outer[y][1], y) for a, y in want if a == x)[2] for x, _ in want}
+    assert {r["i"]: r["o"] for r in joins.innermost(i, o, "path", 16).collect()} == best
+    plan = joins.contained(i, o, "path")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nested_and_indented_loops_with_data_access(spark):
+    ts = "for (const a of b) {\n  for (const c of d) {\n    await db.query(x)\n  }\n}\nwhile (x) { y() }\nawait db.query(z)\nxs.map(a => repo.find(a))\n"
+    py = "def f():\n    for x in xs:\n        y = 1\n\n        session.query(x)\n    cursor.execute(q)\nfor z in zs:\n    pass\nModel.find(1)\n"
+    f = spark.createDataFrame([("a.ts", "typescript", ts, False, False), ("b.py", "python", py, False, False), ("c.ts", "typescript", None, False, False), ("d.ts", "typescript", ts, False, True)], "path string, language string, content string, is_test boolean, is_generated boolean")
+    got = sorted((r["file_path"], r["start_line"], r["snippet"]) for r in d.loop_queries(f).collect())
+    assert got == [("a.ts", 1, "await db.query("), ("a.ts", 2, "await db.query("), ("a.ts", 8, "repo.find("), ("b.py", 2, "session.query(")]
