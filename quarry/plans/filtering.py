@@ -212,3 +212,22 @@ def k3(spark, d):
         F.concat(F.lit("src/"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("path"), F.array_join(F.col("x.code"), "\n").alias("content"), F.lit(False).alias("is_generated"),
     )
     return detect.loop_queries(files).select("file_path", "start_line", "snippet")
+
+
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', ' ', 'g'), '(?m)(//|#).*$', ' ', 'g'), '"(?:\\.|[^"\\\n])*"|''(?:\\.|[^''\\\n])*''|`(?:\\.|[^`\\])*`', '"S"', 'g'), '\b[0-9][0-9a-fA-FxX_.]*\b', 'N', 'g')"""
+
+
+@query(
+    "k11_near_texts",
+    rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[A-Za-z_$][\w$]*|[^\s\w]') AS t FROM documents WHERE text <> '' AND len(string_split(text, chr(10))) >= 8),
+    r AS (SELECT doc_id, array_to_string(list_slice(t, i, i + 4), '/') AS h, min(i) AS i FROM (SELECT doc_id, t, unnest(generate_series(1, len(t) - 4)) AS i FROM t WHERE len(t) >= 25) GROUP BY 1, 2),
+    s AS (SELECT doc_id, h FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 600), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 5),
+    d AS (SELECT h FROM s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40), k AS (SELECT doc_id, h FROM s JOIN d USING (h) JOIN n USING (doc_id)),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM k x JOIN k y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 6),
+    z AS (SELECT a, b, shared, shared / (m.n + o.n - shared) AS s FROM p JOIN n m ON m.doc_id = a JOIN n o ON o.doc_id = b)
+    SELECT a, b, shared, round(s, 6) AS similarity FROM z WHERE s >= 0.72 ORDER BY s DESC, a, b LIMIT 60""",
+)
+def k11_texts(spark, d):
+    """All documents as units, at the detector's own bounds."""
+    units = read(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.col("text").alias("content"))
+    return detect.near_duplicate_units(units)
