@@ -341,41 +341,171 @@ def windows(df: DataFrame, id_col: str, n_lines: Column, size: int = WINDOW, ove
 
 # -- routes and calls (E7, E8) -----------------------------------------------------------------------------------------
 
-ROUTES: list[tuple[str, str, str]] = [  # framework, languages, pattern with named groups verb and path
-    ("express", "js", r"""\b(?:app|router|server|api)\.(?P<verb>get|post|put|patch|delete|all|options|head)\s*\(\s*["'`](?P<path>/[^"'`]*)["'`]"""),
-    ("fastify", "js", r"""\b(?:fastify|instance|server)\.(?P<verb>get|post|put|patch|delete|all)\s*(?:<[^(]*>)?\(\s*["'`](?P<path>/[^"'`]*)["'`]"""),
-    ("fastify-object", "js", r"""\.route\s*\(\s*\{\s*method\s*:\s*["'](?P<verb>\w+)["']\s*,\s*url\s*:\s*["'](?P<path>/[^"']*)["']"""),
-    ("nest", "js", r"""@(?P<verb>Get|Post|Put|Patch|Delete|All)\(\s*(?:["'`](?P<path>[^"'`]*)["'`])?\s*\)"""),
-    ("fastapi", "python", r"""@(?:app|router|api)\.(?P<verb>get|post|put|patch|delete)\(\s*["'](?P<path>/[^"']*)["']"""),
-    ("flask", "python", r"""@(?:app|bp|blueprint|\w+_bp)\.route\(\s*["'](?P<path>/[^"']*)["'](?:[^)]*methods\s*=\s*[\[(](?P<verb>[^\])]*))?"""),
-    ("django", "python", r"""\b(?:re_)?path\(\s*r?["'](?P<path>[^"']*)["']\s*,(?P<verb>)"""),
-    ("spring", "java", r"""@(?P<verb>Get|Post|Put|Patch|Delete|Request)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?["'](?P<path>[^"']*)["']"""),
-    ("aspnet", "java", r"""\[Http(?P<verb>Get|Post|Put|Patch|Delete)(?:\(\s*(?:"(?P<path>[^"]*)")?[^)\]]*\))?\s*[\],]"""),
-    ("aspnet-minimal", "java", r"""\.Map(?P<verb>Get|Post|Put|Patch|Delete)\(\s*"(?P<path>[^"]*)\""""),
-    ("gin", "go", r"""\b\w+\.(?P<verb>GET|POST|PUT|PATCH|DELETE|Any)\(\s*"(?P<path>/[^"]*)\""""),
-    ("net-http", "go", r"""\bHandleFunc\(\s*"(?:(?P<verb>[A-Z]+)\s+)?(?P<path>/[^"]*)\""""),
-    ("rails", "ruby", r"""^\s*(?P<verb>get|post|put|patch|delete)\s+["'](?P<path>/?[^"']+)["']"""),
-]
+#: The verbs of HTTP, and how frameworks that name them otherwise do.
+VERBS = ("get", "post", "put", "patch", "delete", "head", "options")
+#: What routes are declared on, by convention: variables of an application, a router or a blueprint.
+EXPRESS, FASTIFY, FASTAPI, FLASK = {"app", "router", "server", "api"}, {"fastify", "instance", "server"}, {"app", "router", "api"}, {"app", "bp", "blueprint"}
+
+_HEAD = re.compile(r"(?<![\w$.])(?P<mark>@?)(?P<name>(?:[A-Za-z_$][\w$]*\.|\.)*[A-Za-z_$][\w$]*)[ \t]*(?:<[^()<>]*>)?[ \t]*\(")
+#: Names that may declare a route; the arguments of others aren't read.
+_MAYBE = re.compile(f"(?i)(?:{'|'.join(VERBS)}|all|any|route|path|re_path|HandleFunc|(?:Http|Map)(?:{'|'.join(VERBS)})|(?:{'|'.join(VERBS)}|Request)Mapping)$")
+_KEY = re.compile(r"""["']?([A-Za-z_]\w*)["']?\s*(?:=(?![=>])|:(?!:))\s*""")
+_CLOSE = {"(": ")", "[": "]", "{": "}"}
+#: Characters of an argument list that are read at most, and brackets within brackets.
+_ARGUMENTS, _DEPTH = 4000, 40
+
+
+class Arguments:
+    """What stands between brackets: values in order and by name; a value is a text, another list, or None for anything else."""
+
+    def __init__(self, text: str, at: int, end: int, close: str = ")", depth: int = 0):
+        self.depth = depth
+        self.values: list = []
+        self.named: dict = {}
+        self.count = 0
+        while at < end:
+            while at < end and text[at] in " \t\r\n,":
+                at += 1
+            if at >= end or text[at] == close:
+                break
+            key = _KEY.match(text, at)
+            value, at = self._value(text, key.end() if key else at, end, close)
+            self.count += 1
+            if key:
+                self.named.setdefault(key[1], value)
+            else:
+                self.values.append(value)
+        self.end = at + 1
+
+    def _value(self, text: str, at: int, end: int, close: str):
+        quoted = re.compile(r"""[rbfuRBFU]{0,2}(["'`])((?:\\.|(?!\1)[^\\])*)\1""", re.S).match(text, at, end)
+        if quoted:
+            value, at = quoted[2], quoted.end()
+        elif at < end and text[at] in _CLOSE and self.depth < _DEPTH:
+            value = Arguments(text, at + 1, end, _CLOSE[text[at]], self.depth + 1)
+            at = value.end
+        else:
+            word = re.compile(r"[\w$.]*").match(text, at, end)
+            value, at = (Word(word[0]) if word[0] else None), word.end()
+        start = at
+        while at < end and text[at] not in "," + close:  # what else belongs to the value
+            if text[at] in _CLOSE and self.depth < _DEPTH:
+                at = Arguments(text, at + 1, end, _CLOSE[text[at]], self.depth + 1).end
+            elif text[at] in "\"'`" and (more := re.compile(r"""(["'`])(?:\\.|(?!\1)[^\\])*\1""", re.S).match(text, at, end)):
+                at = more.end()
+            else:
+                at += 1
+        return (value if not text[start:at].strip() else None), max(at, start)
+
+    def text(self, *names: str) -> str | None:
+        """The text that comes first, or under the first of these names that there is; of a list of texts its first."""
+        of = [self.named[n] for n in names if n in self.named] or self.values
+        one = of[0] if of else None
+        if isinstance(one, Arguments):
+            one = one.values[0] if one.values else None
+        return one if isinstance(one, str) and not isinstance(one, Word) else None
+
+    def words(self, name: str) -> list[str]:
+        """The texts or last parts of names under ``name``."""
+        one = self.named.get(name)
+        every = one.values if isinstance(one, Arguments) else [one]
+        return [x.rpartition(".")[2] for x in every if isinstance(x, str)]
+
+
+class Word(str):
+    """A value that is a name, not a text."""
+
+
+def _js_route(mark: str, on: str, name: str, args: Arguments):
+    path = args.text()
+    if mark and name.lower() in (*VERBS, "all") and name[0].isupper() and (path is not None or not args.count):
+        return "nest", [name], path or ""
+    if name in (*VERBS, "all") and path is not None and path.startswith("/"):
+        if on in EXPRESS:
+            return "express", [name], path
+        if on in FASTIFY:
+            return "fastify", [name], path
+    if name == "route" and args.values and isinstance(args.values[0], Arguments):
+        own = args.values[0]
+        url = own.text("url") if "url" in own.named else None
+        if own.words("method") and url is not None:
+            return "fastify-object", own.words("method"), url
+    return None
+
+
+def _python_route(mark: str, on: str, name: str, args: Arguments):
+    path = args.text("rule", "path")
+    if mark and name in VERBS and on in FASTAPI and path is not None:
+        return "fastapi", [name], path
+    if mark and name == "route" and (on in FLASK or on.endswith("_bp")) and path is not None:
+        return "flask", args.words("methods") or ["get"], path
+    if not mark and not on and name in ("path", "re_path") and path is not None and args.count > 1:
+        return "django", ["any"], path
+    return None
+
+
+def _java_route(mark: str, on: str, name: str, args: Arguments):
+    path = args.text("value", "path")
+    if mark and name.endswith("Mapping") and name[:-7].lower() in (*VERBS, "request") and path is not None:
+        return "spring", args.words("method") or ["any" if name[:-7] == "Request" else name[:-7]], path
+    if name.startswith("Http") and name[4:].lower() in VERBS and not on:
+        return "aspnet", [name[4:]], args.text() or ""
+    if name.startswith("Map") and name[3:].lower() in VERBS and args.text() is not None:
+        return "aspnet-minimal", [name[3:]], args.text()
+    return None
+
+
+def _go_route(mark: str, on: str, name: str, args: Arguments):
+    path = args.text()
+    if path is None:
+        return None
+    if name == "HandleFunc":
+        verb, _, rest = path.rpartition(" ")
+        return ("net-http", [verb or "any"], rest) if rest.startswith("/") else None
+    if (name == "Any" or name.lower() in VERBS and name.isupper()) and path.startswith("/"):
+        return "gin", [name], path
+    return None
+
+
+_ROUTE = {"js": _js_route, "python": _python_route, "java": _java_route, "go": _go_route}
+
+
+def declared_routes(family: str | None, content: str) -> Iterator[tuple[str, list[str], str, int, int]]:
+    """(framework, verbs, path, start, end) of each call, decorator, annotation or attribute that declares a route."""
+    if family == "ruby":  # a command at the start of a line, with or without brackets
+        for m in re.finditer(r"^[ \t]*(" + "|".join(VERBS) + r")[ \t]*[( \t][ \t]*", content, re.M):
+            args = Arguments(content, m.end(), min(len(content), (content + "\n").index("\n", m.end())))
+            if args.text():
+                yield "rails", [m[1]], args.text(), m.start(), args.end
+        return
+    if family == "java":  # attributes without an argument list
+        for m in re.finditer(r"[\[,]\s*Http([A-Z][a-z]+)\s*(?=[\],])", content):
+            if m[1].lower() in VERBS:
+                yield "aspnet", [m[1]], "", m.start(), m.end()
+    declares = _ROUTE.get(family or "")
+    for m in _HEAD.finditer(content) if declares else ():
+        on, _, name = m["name"].rpartition(".")
+        if not _MAYBE.match(name):
+            continue
+        args = Arguments(content, m.end(), min(len(content), m.end() + _ARGUMENTS))
+        found = declares(m["mark"], on.rpartition(".")[2], name, args)
+        if found:
+            yield (*found, m.start(), args.end)
+
+
 _AUTH = re.compile(r"(?i)\b(?:auth\w*|require\w*(?:user|login|auth)\w*|isAuthenticated|protect|guard|jwt|session|login_required|permission\w*|Depends\(\s*get_current\w*|PreAuthorize|before_action)\b")
 
 
 def detect_routes(language: str | None, content: str, cap: int = 300) -> list[tuple]:
-    """(verb, path, framework, line, has_auth) of the routes that a file declares."""
-    family, out, seen = FAMILY.get(language or ""), [], set()
-    for framework, of, pattern in ROUTES:
-        if of != family:
+    """(verb, path, framework, line, has_auth) of the routes that a file declares; several verbs of one are joined by commas."""
+    out, seen = [], set()
+    for framework, verbs, path, start, end in declared_routes(FAMILY.get(language or ""), content):
+        verb = ",".join("ANY" if v.upper() in ("ALL", "ANY") else v.upper() for v in verbs)
+        path, line = "/" + path.lstrip("/"), content.count("\n", 0, start) + 1
+        if (verb, path, line) in seen:
             continue
-        for m in re.finditer(pattern, content, re.M):
-            # one route may name several verbs in a list, and has GET where that list is left out
-            verb = ",".join(re.findall(r"\w+", m["verb"] or "get")).upper() if framework == "flask" else (m["verb"] or "ANY").upper()
-            verb = {"ALL": "ANY", "REQUEST": "ANY", "": "ANY"}.get(verb, verb)
-            path = "/" + (m["path"] or "").lstrip("/")
-            line = content.count("\n", 0, m.start()) + 1
-            if (verb, path, line) in seen:
-                continue
-            seen.add((verb, path, line))
-            near = content[max(0, m.start() - 400) : m.end() + 400]
-            out.append((verb, path, framework, line, bool(_AUTH.search(near))))
+        seen.add((verb, path, line))
+        out.append((verb, path, framework, line, bool(_AUTH.search(content[max(0, start - 400) : end + 400]))))
     return sorted(out, key=lambda r: r[3])[:cap]
 
 

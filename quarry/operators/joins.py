@@ -81,7 +81,7 @@ def best_route(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Each call (call_id, verb, path) with the route (route_id, verb, path) that fits best.
 
     A route's segments stand against the end of the call's; each is equal but for case or a parameter, and at least one
-    is literal.  Verbs agree unless one is missing or the route takes any.  Score: 10 a literal, 1 a segment, 3 for
+    is literal.  Verbs agree if the route names the call's, of several one; else one is missing or the route takes any.  Score: 10 a literal, 1 a segment, 3 for
     agreeing verbs, 2 for equal length; ties go to the smaller route.  Calls meet routes by their last literal
     segment's text or by none, so that not every call meets every route.
     """
@@ -94,7 +94,7 @@ def best_route(calls: DataFrame, routes: DataFrame) -> DataFrame:
     pairs = keyed.join(r, "key").where("size(rs) <= size(cs)").drop("key")
     tail = F.slice("cs", F.size("cs") - F.size("rs") + 1, F.size("rs"))
     fits = F.forall(F.zip_with(tail, "rs", lambda a, b: (a == b) | b.startswith(":")), lambda x: x)
-    agree = F.col("cv") == F.col("rv")
+    agree = F.array_contains(F.split("rv", ","), F.col("cv"))  # a route may name several verbs
     free = F.col("cv").isNull() | F.col("rv").isNull() | F.col("rv").isin("ALL", "ANY")
     score = 10 * F.size("lits") + F.size("rs") + F.when(agree, 3).otherwise(0) + F.when(F.size("rs") == F.size("cs"), 2).otherwise(0)
     hit = pairs.where(fits & (F.coalesce(agree, F.lit(False)) | free)).withColumn("score", score)

@@ -383,3 +383,27 @@ def test_parsers_of_ones_own(spark):
     assert sorted((r["path"], r["name"]) for r in extract.symbols(files, {"rules": parse}).collect()) == [("a.rules", "one"), ("a.rules", "two"), ("b.py", "f")]
     assert sorted((r["path"], r["specifier"]) for r in extract.imports(files, {"rules": parse}).collect()) == [("a.rules", "base"), ("b.py", "os")]
     assert {r["path"] for r in extract.chunks(files, {"rules": parse}).collect()} == {"a.rules", "b.py"}
+
+
+@pytest.mark.parametrize(
+    "language, content, want",
+    [
+        ("typescript", "app.get(`/a`, (req, res) => { api.post('/b', x) })\nthing.get('/no')\napp.get(path)\nget('/no')", [("GET", "/a", "express"), ("POST", "/b", "express")]),
+        ("typescript", "server.route({ url: '/u', handler() { return f({}) }, method: ['GET', 'HEAD'] })", [("GET,HEAD", "/u", "fastify-object")]),
+        ("typescript", "@Get()\n@Post(':id')\n@Delete(name)\n@All('x')", [("GET", "/", "nest"), ("POST", "/:id", "nest"), ("ANY", "/x", "nest")]),
+        ("python", "@api_bp.route(rule='/r', strict_slashes=False, methods=('PUT', 'DELETE'))\nurlpatterns = [path('x/<int:id>', v), re_path(r'^y$', w)]\nos.path.join('a', 'b')\nself.path('a', 'b')", [("PUT,DELETE", "/r", "flask"), ("ANY", "/x/<int:id>", "django"), ("ANY", "/^y$", "django")]),
+        ("java", "@RequestMapping(path = \"/p\", method = {RequestMethod.GET, RequestMethod.POST})\n@GetMapping({\"/q\", \"/r\"})\n@PostMapping(PATHS)", [("GET,POST", "/p", "spring"), ("GET", "/q", "spring")]),
+        ("go", "r.GET(\"/a\", h)\nmux.HandleFunc(\"POST /b\", h)\nhttp.HandleFunc(\"/c\", h)\nx.Get(\"/no\")", [("GET", "/a", "gin"), ("POST", "/b", "net-http"), ("ANY", "/c", "net-http")]),
+        ("ruby", "  get '/a', to: 'x#y'\n  post(\"b\")\n  forget '/no'", [("GET", "/a", "rails"), ("POST", "/b", "rails")]),
+        ("typescript", "app.get(" + "(" * 5000 + "\napp.get('/z'", [("GET", "/z", "express")]),
+        ("typescript", "app.get('/unended", []),
+    ],
+)
+def test_routes_are_read_from_argument_lists(language, content, want):
+    assert [r[:3] for r in extract.detect_routes(language, content)] == want
+
+
+def test_a_call_meets_a_route_that_names_several_verbs(spark):
+    calls = spark.createDataFrame([(1, "post", "/a/b"), (2, "put", "/a/b")], "call_id int, verb string, path string")
+    routes = spark.createDataFrame([(7, "GET,POST", "/a/:x"), (8, "DELETE", "/a/:x")], "route_id int, verb string, path string")
+    assert {r["call_id"]: r["route_id"] for r in joins.best_route(calls, routes).collect()} == {1: 7, 2: None}
