@@ -1,7 +1,7 @@
 """Static detection rules.
 
 Ids, categories, types, severities, confidences and numbers of weaknesses are fixed values.  Patterns are our own, written for
-each rule's purpose, for Python's ``re``; where a rule names one call (``bug.async-foreach``, ``perf.json-deep-clone``,
+each rule's purpose, for Python's ``re``; the four words of ``quality.todo-marker`` are fixed values too; where a rule names one call (``bug.async-foreach``, ``perf.json-deep-clone``,
 ``quality.console-log``) hardly another pattern is possible.
 """
 
@@ -86,7 +86,7 @@ RULES: list[Rule] = [
     Rule("perf.json-deep-clone", "performance", "inefficient-algorithm", "low", 0.85, None, JS, False, r"JSON\.parse\s*\(\s*JSON\.stringify\s*\("),
     Rule("perf.barrel-import", "performance", "bundle-size", "low", 0.8, None, JS, False, r"""import\s+(?:\w+|\*\s+as\s+\w+)\s+from\s+["'](?:lodash|moment|rxjs|@mui/material|@mui/icons-material|antd)["']"""),
     Rule("perf.react-effect-no-deps", "performance", "react-rerender", "medium", 0.85, None, ("tsx", "jsx", "typescript", "javascript"), False, r"(?s)\buseEffect\s*\(\s*(?:async\s*)?\(\)\s*=>\s*\{(?:(?!useEffect).){0,600}?\n?\s*\}\s*\)\s*;?"),
-    Rule("quality.todo-marker", "quality", "unfinished-work", "info", 1.0, None, ANY, True, r"(?<!\w)(?:FIXME|HACK|TODO|XXX)(?:\([^()\n]{1,40}\))?(?=[-:\s]|$)"),
+    Rule("quality.todo-marker", "quality", "unfinished-work", "info", 1.0, None, ANY, True, r"(?<!\w)(?:TODO|FIXME|HACK|XXX)(?:\([^()\n]{1,40}\))?(?=[-:\s]|$)"),
     Rule("quality.console-log", "quality", "debug-output", "info", 0.9, None, JS, True, r"\bconsole\.(?:log|debug)\s*\("),
 ]
 
