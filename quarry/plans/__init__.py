@@ -6,7 +6,7 @@ import importlib
 
 from .catalog import ORACLES, QUERIES
 
-MODULES = ["text", "relational", "scalars", "filtering", "flows", "shared", "indexes", "upkeep", "varied", "packages"]
+MODULES = ["text", "relational", "scalars", "filtering", "flows", "shared", "indexes", "upkeep", "varied", "packages", "projects"]
 
 
 def _load() -> None:
