@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import count_lines
 from quarry.operators import detect, extract, filters, graph, retrieve, score
 from quarry.sources import sinks
 from quarry.streaming import progress, runner, windows
@@ -148,7 +149,8 @@ def r5(spark, d):
 @query("r7_context")
 def r7(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "n_chars")
-    hits = docs.where("n_chars > 500").select("path", F.explode(F.array(*[F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for a, b in ((1, 3), (3, 5), (9, 9))])).alias("x"), (F.col("n_chars") % 97).cast("double").alias("score"))
+    lines = docs.withColumn("lines", count_lines(F.col("content")))
+    hits = lines.select("path", "lines", F.explode(F.array(*[F.struct(F.lit(a).alias("start_line"), F.lit(b).alias("end_line")) for a, b in ((1, 3), (3, 5), (9, 9))])).alias("x"), (F.col("n_chars") % 97).cast("double").alias("score")).where("x.end_line <= lines")
     return retrieve.context(hits.select("path", "x.start_line", "x.end_line", "score").orderBy(F.col("score").desc(), "path").limit(60), docs)
 
 
