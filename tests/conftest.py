@@ -16,3 +16,12 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
+
+
+@pytest.fixture
+def few_partitions(spark):
+    """For tests of many small jobs."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

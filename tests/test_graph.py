@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import graph
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def reach(pairs):
     after, out = {}, {}

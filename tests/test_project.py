@@ -1,7 +1,10 @@
 """Managers and kinds of projects, repository by repository."""
 
+import pytest
 from quarry.operators import project
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def test_managers_by_field_by_file_and_by_default(spark):
     rows = [

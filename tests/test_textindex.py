@@ -12,6 +12,8 @@ from quarry.functions.stems import STEP_2, STEP_3, STEP_4, porter
 from quarry.operators import retrieve, textindex
 from quarry.operators.textindex import TextIndex
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 #: Examples of the publication (after all steps).
 EXAMPLES = {
     "caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",

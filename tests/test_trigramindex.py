@@ -2,12 +2,15 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import retrieve
 from quarry.operators.filters import line_search
 from quarry.operators.trigramindex import LiteralIndex, NameIndex, character_trigrams, symbol_search
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 WORDS = ["License", "licence", "café", "ÄRGER", "foo_bar", "x = 1;", "日本語", "İs", "lic", "ense"]
 
 

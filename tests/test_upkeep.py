@@ -11,6 +11,8 @@ from quarry.sources import paged, readers
 from quarry.sources.buckets import BucketTable
 from quarry.streaming import lifecycle, runner
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def stamps(path):
     return {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/bucket=*/*.parquet")}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quarry.operators import retrieve, vectorindex
 from quarry.operators.vectorindex import VectorIndex, recall
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
+
 
 def plain(rows, queries, k):
     unit = lambda v: np.array(v, float) / (np.linalg.norm(v) or 1)
