@@ -1,7 +1,5 @@
 """Components and cycles against plain search."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +49,7 @@ BRIDGES = [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (5, 5), (6, 7), (0, 1
 CHAIN = [(i, i + 1) for i in range(9)] + [(9, 0), (3, 1), (8, 6)]
 
 
-@pytest.mark.parametrize("pairs", [BRIDGES, CHAIN, sorted({(random.Random(i).randrange(14), random.Random(i + 500).randrange(14)) for i in range(20)})])
+@pytest.mark.parametrize("pairs", [BRIDGES, CHAIN])
 def test_components_cycles_and_their_edges(spark, pairs):
     e = spark.createDataFrame(pairs * 2, "s int, t int")
     on, cycles, comps = plain(set(pairs))
