@@ -121,7 +121,8 @@ def symbol(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_i
         c = chunks.where(F.col(col).isNotNull()).select(id_col, text.trigrams(F.col(col)).alias("c"))
         n = c.select(id_col, F.size("c").alias("nc"), F.explode("c").alias("g"))
         m = q.select("query_id", "term", F.size("t").alias("nt"), F.explode("t").alias("g"))
-        return n.join(m, "g").groupBy("query_id", "term", id_col, "nc", "nt").agg(F.count(F.lit(1)).alias("s")).select("query_id", id_col, (F.col("s") / (F.col("nc") + F.col("nt") - F.col("s"))).alias("sim"))
+        # the terms are what is broadcast: trigrams of many chunks look small to Spark, since they compress well
+        return n.hint("merge").join(hinted(m), "g").groupBy("query_id", "term", id_col, "nc", "nt").agg(F.count(F.lit(1)).alias("s")).select("query_id", id_col, (F.col("s") / (F.col("nc") + F.col("nt") - F.col("s"))).alias("sim"))
 
     both = similar("symbol").withColumn("w", F.lit(1.0)).unionByName(similar("path").withColumn("w", F.lit(0.7)))
     hit = both.groupBy("query_id", id_col).agg(F.max(F.col("sim") * F.col("w")).alias("score")).where("score > 0.1")
