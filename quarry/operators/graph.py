@@ -11,25 +11,53 @@ from quarry.functions import paths
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".py", ".go", ".java", ".rb", ".php", ".rs", ".kt", ".cs", ".json"]
 
 
-def import_candidates(importer: Column, spec: Column) -> Column:
-    """Paths that an import may mean, in order."""
+_FILES, _INDEX = [s for s in SUFFIXES if s], [*[f"index{s}" for s in SUFFIXES if s], "__init__.py"]
+
+
+def import_bases(folder: Column, spec: Column) -> Column:
+    """What an import from a file in ``folder`` may mean, without suffixes, in order."""
     relative = F.startswith(spec, F.lit("."))
     rooted = spec.rlike("^(?:/|src/|@/)")
     bare = F.regexp_replace(F.regexp_replace(spec, "^@", ""), "^/+", "")
     dotted = F.replace(spec, F.lit("."), F.lit("/"))
-    bases = F.when(relative, F.array(paths.join(paths.dirname(importer), spec))).when(rooted, F.array(bare, F.concat(F.lit("src/"), bare))).otherwise(F.array(dotted))
-    tails = F.array(*[F.lit(s) for s in [*SUFFIXES, *[f"/index{s}" for s in SUFFIXES if s], "/__init__.py"]])
-    return F.flatten(F.transform(bases, lambda b: F.transform(tails, lambda t: paths.normalise(F.concat(b, t)))))
+    return F.when(relative, F.array(paths.join(folder, spec))).when(rooted, F.array(bare, F.concat(F.lit("src/"), bare))).otherwise(F.array(dotted))
+
+
+def import_candidates(importer: Column, spec: Column) -> Column:
+    """Paths that an import may mean, in order."""
+    tails = F.array(*[F.lit(s) for s in ["", *_FILES, *[f"/{s}" for s in _INDEX]]])
+    return F.flatten(F.transform(import_bases(paths.dirname(importer), spec), lambda b: F.transform(tails, lambda t: paths.normalise(F.concat(b, t)))))
+
+
+def _stems(base: Column) -> Column:
+    """(kind, stem) of a base: with nothing behind it, before a suffix (in place of which stands a mark) and before a file of the folder."""
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), paths.normalise(F.concat(base, F.lit(mark))).alias("stem")) for kind, mark in enumerate(["", "\u0001", "/\u0001"])])
+
+
+def _file_stems(path: Column) -> Column:
+    """(kind, stem, at) of a path: the stems to which it is a candidate, and its place among a base's candidates."""
+    cut_off = lambda tail: F.concat(path.substr(F.lit(1), F.length(path) - len(tail)), F.lit("\u0001"))
+    of = lambda kind, stem, at: F.struct(F.lit(kind).alias("kind"), stem.alias("stem"), F.lit(at).alias("at"))
+    files = [F.when(F.endswith(path, F.lit(s)), of(1, cut_off(s), i)) for i, s in enumerate(_FILES, 1)]
+    index = [F.when((path == s) | F.endswith(path, F.lit(f"/{s}")), of(2, cut_off(s), i)) for i, s in enumerate(_INDEX, 1 + len(_FILES))]
+    return F.filter(F.array(of(0, path, 0), *files, *index), lambda x: x.isNotNull())
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Imports (path, specifier) with to_path, the first candidate that is a file, and whether they are external."""
-    from .joins import first_candidate
+    """Imports (path, specifier) with to_path, the first candidate that is a file, and whether they are external.
+
+    What an import means depends on its folder only, so each folder's specifiers are looked up once.  They meet files by
+    stems, three for a base instead of a row for each suffix.
+    """
+    from quarry.sources.checkpoints import cut
 
-    keyed = imports.select("path", "specifier").distinct().withColumn("k", F.sha2(F.concat_ws("\u0001", "path", "specifier"), 256))
-    f = files.select(F.col("path").alias("p")).distinct()
-    done = first_candidate(keyed, "k", import_candidates(F.col("path"), F.col("specifier")), f, "p", "p")
-    return done.select("path", "specifier", F.col("target").alias("to_path"), F.col("target").isNull().alias("is_external"))
+    own = cut(imports.select("path", "specifier").distinct().withColumn("folder", paths.dirname(F.col("path"))))
+    asked = own.select("folder", "specifier").distinct().select("folder", "specifier", F.posexplode(import_bases(F.col("folder"), F.col("specifier"))).alias("base", "b"))
+    asked = asked.select("folder", "specifier", "base", F.inline(_stems(F.col("b"))))
+    there = files.select(F.col("path").alias("p")).distinct().select("p", F.inline(_file_stems(F.col("p"))))
+    hit = asked.hint("merge").join(there.hint("merge"), ["kind", "stem"]).groupBy("folder", "specifier").agg(F.min_by("p", F.struct("base", "at")).alias("to_path"))
+    done = own.hint("merge").join(hit.hint("merge"), ["folder", "specifier"], "left")
+    return done.select("path", "specifier", "to_path", F.col("to_path").isNull().alias("is_external"))
 
 
 def external_packages(edges: DataFrame, most: int = 60) -> DataFrame:

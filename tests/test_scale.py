@@ -1,6 +1,10 @@
 """Which sides of joins are broadcast or moved, on plans of small tables."""
 
-from quarry.operators import retrieve
+from itertools import product
+
+from pyspark.sql import functions as F
+
+from quarry.operators import graph, joins, retrieve
 
 
 def plan(df) -> str:
@@ -12,3 +16,31 @@ def test_symbol_search_broadcasts_the_terms(spark):
     found = retrieve.symbol(chunks, spark.createDataFrame([(0, "steel brushed ab")], "query_id int, terms string"), 5)
     assert "SortMergeJoin" not in plan(found) and plan(found).count("BroadcastHashJoin") == 2 and "BuildLeft" not in plan(found)
     assert [(r["chunk_id"], r["rank"]) for r in found.collect()] == [(1, 1)]
+
+
+def test_imports_meet_files_by_stems_as_by_all_candidates(spark):
+    parts = ["", ".", "..", "a", "b.ts", "index", "index.ts"]
+    specs = ["", ".", "..", "./", "../..", "./b", "../b.ts", "@/", "@/a", "/a", "/", "src/a/", "a..b", "a.b", "react", "./.ts", "./index", "../../../b/", None]
+    imports = spark.createDataFrame([(f, s) for f in ["x.ts", "a/x.ts", "/a/x.ts", "a/b/../x.ts", "./x.ts", None] for s in specs], "path string, specifier string")
+    names = {"/".join(p) for n in (1, 2, 3) for p in product(parts, repeat=n)}
+    names |= {f"{x}{t}" for x in list(names) for t in (".ts", ".json", "/index.js", "/__init__.py", "/.py")}
+    files = spark.createDataFrame([(f,) for f in sorted(names)], "path string")
+    keyed = imports.withColumn("k", F.monotonically_increasing_id())
+    plain = joins.first_candidate(keyed, "k", graph.import_candidates(F.col("path"), F.col("specifier")), files, "path", "path")
+    expected = {(r["path"], r["specifier"]): r["target"] for r in plain.collect()}
+    # each file alone too, so that candidates of every place count
+    some = spark.createDataFrame([(f,) for f in sorted(names) if len(f) % 3 == 0], "path string")
+    fewer = joins.first_candidate(keyed, "k", graph.import_candidates(F.col("path"), F.col("specifier")), some, "path", "path")
+    got, less = graph.resolve_imports(imports, files), graph.resolve_imports(imports, some)
+    assert {(r["path"], r["specifier"]): r["to_path"] for r in got.collect()} == expected
+    assert {(r["path"], r["specifier"]): r["to_path"] for r in less.collect()} == {(r["path"], r["specifier"]): r["target"] for r in fewer.collect()}
+    assert sum(x is not None for x in expected.values()) > 30
+
+
+def test_imports_and_files_of_any_number_are_joined_by_sort_and_merge(spark):
+    # tables of a size that Spark knows, and takes for small
+    files = spark.range(3).selectExpr("concat('src/', id, '.ts') as path")
+    imports = spark.range(2).selectExpr("concat('src/', id, '.ts') as path", "concat('./', id + 1) as specifier")
+    edges = graph.resolve_imports(imports, files)
+    assert "BroadcastHashJoin" not in plan(edges)
+    assert sorted(r["to_path"] for r in edges.collect()) == ["src/1.ts", "src/2.ts"]
