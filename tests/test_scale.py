@@ -4,7 +4,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, joins, retrieve
+from quarry.operators import detect, graph, joins, retrieve
 
 
 def plan(df) -> str:
@@ -44,3 +44,10 @@ def test_imports_and_files_of_any_number_are_joined_by_sort_and_merge(spark):
     edges = graph.resolve_imports(imports, files)
     assert "BroadcastHashJoin" not in plan(edges)
     assert sorted(r["to_path"] for r in edges.collect()) == ["src/1.ts", "src/2.ts"]
+
+
+def test_files_in_use_are_not_broadcast(spark):
+    files = spark.range(3).selectExpr("concat('src/', id, '.ts') as path", "false as is_test", "false as is_config", "false as is_generated")
+    dead = detect.dead_files(files, spark.range(2).selectExpr("concat('src/', id, '.ts') as to_path"))
+    assert "BroadcastHashJoin" not in plan(dead)
+    assert [r["path"] for r in dead.collect()] == ["src/2.ts"]
