@@ -9,7 +9,7 @@ from quarry.operators import detect, extract, filters, graph, retrieve, score
 from quarry.sources import sinks
 from quarry.streaming import progress, runner, windows
 
-from .catalog import query, read
+from .catalog import query, read, spread
 
 # -- streams -----------------------------------------------------------------------------------------------------------
 
@@ -258,7 +258,7 @@ def e1_chunks_all(spark, d):
 
 def _code(spark, d):
     """Files of code made from the parts, for the extractors to work on."""
-    p = read(spark, d, "part")
+    p = spread(read(spark, d, "part").select("p_partkey"))
     body = F.concat(
         F.lit("import { helper, spare } from './util';\nexport async function part"), "p_partkey", F.lit("(id) {\n  const key = process.env.PART_KEY;\n  const rows = await db.query(`SELECT * FROM part WHERE id = ${id}`);\n  if (rows.length) { return helper(rows); }\n  return null;\n}\nrouter.get('/parts/"),
         "p_partkey", F.lit("/:id', requireAuth, part"), "p_partkey", F.lit(");\nfetch(`/api/parts/${id}`);\n"),

@@ -51,3 +51,10 @@ def test_files_in_use_are_not_broadcast(spark):
     dead = detect.dead_files(files, spark.range(2).selectExpr("concat('src/', id, '.ts') as to_path"))
     assert "BroadcastHashJoin" not in plan(dead)
     assert [r["path"] for r in dead.collect()] == ["src/2.ts"]
+
+
+def test_files_made_of_small_rows_go_to_several_tasks_a_core(spark, tmp_path):
+    from quarry.plans.flows import _code
+
+    spark.range(5).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert _code(spark, str(tmp_path)).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
