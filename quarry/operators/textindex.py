@@ -15,6 +15,11 @@ and then only those whose bound reaches the k-th best score so far.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ UNIT = 1_000_000
 #: Terms of a query that count, as everywhere in keyword search.
 QUERY_TERMS = 12
 
+_WORD = re.compile("[a-z0-9_]{2,}")
+
 COMMIT = "gen int, base int, buckets int, blocks int, docs long, words long, removed long"
 
 
@@ -112,15 +119,32 @@ class TextIndex:
         row = self.spark.createDataFrame([(gen, base, self.buckets, self.blocks, docs, words_, removed)], COMMIT)
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
-    def _units(self, text: Column) -> Column:
-        """What a text is split into; their number is its length."""
-        return words(text)
+    @staticmethod
+    def _count(text: str) -> dict[str, int]:
+        """What a lower-case text is split into, as ``words`` does, and how often it comes."""
+        return Counter(_WORD.findall(text))
+
+    def _counted(self, texts: DataFrame) -> DataFrame:
+        """(doc, digest, len, words, counts) of (doc, digest, text): each text is split once and counted where it is read."""
+        count = self._count
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    b = batch.slice(at, 256)
+                    found = [count(x) for x in b.column(2).to_pylist()]
+                    own = [pa.array([sum(c.values()) for c in found], pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], names=["doc", "digest", "len", "words", "counts"])
+
+        kind = texts.schema["doc"].dataType.simpleString()
+        return texts.select("doc", "digest", F.lower("text")).mapInArrow(run, f"doc {kind}, digest binary, len int, words array<string>, counts array<int>")
 
     def _split(self, texts: DataFrame) -> DataFrame:
-        """(term, block, doc, tf, len, bucket) of (doc, w).  Words are counted first and each is stemmed once, not once a text."""
-        counted = texts.select("doc", F.size("w").alias("len"), F.explode("w").alias("word")).groupBy("doc", "len", "word").agg(F.count(F.lit(1)).alias("n"))
+        """(term, block, doc, tf, len, bucket) of counted texts.  Each word is stemmed once, not once a text."""
+        counted = texts.select("doc", "len", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc", "len", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
         stems = counted.select("word").distinct().withColumn("term", porter(F.col("word")))
-        stemmed = counted.join(stems, "word").groupBy("doc", "len", "term").agg(F.sum("n").cast("int").alias("tf"))
+        # words compress well, so many look small enough to be broadcast
+        stemmed = counted.hint("merge").join(stems.hint("merge"), "word").groupBy("doc", "len", "term").agg(F.sum("n").cast("int").alias("tf"))
         return stemmed.select("term", F.pmod(F.xxhash64("doc"), F.lit(self.blocks)).cast("int").alias("block"), "doc", "tf", "len", _bucket(F.col("term"), self.buckets).alias("bucket"))
 
     def refresh(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> int:
@@ -144,8 +168,8 @@ class TextIndex:
             self._put(gone, "dead", gen)
         else:
             removed = 0
-        texts = now.select("doc", "digest", self._units(F.col("text")).alias("w"))
-        self._put(texts.select("doc", "digest", F.size("w").alias("len")), "documents", gen)
+        texts = cut(self._counted(now))
+        self._put(texts.select("doc", "digest", "len"), "documents", gen)
         self._put_postings(cut(self._split(texts)), gen)
         sums = self.spark.read.parquet(f"{self.path}/documents/gen={gen}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("w")).first()
         self._commit(gen, done[-1]["base"] if done else gen, sums["n"], sums["w"], removed)

@@ -32,15 +32,16 @@ def character_trigrams(x: Column) -> Column:
 
 class _Trigrams(TextIndex):
     def _split(self, texts: DataFrame) -> DataFrame:
-        each = texts.select("doc", F.size("w").alias("len"), F.explode("w").alias("term"))
+        each = texts.select("doc", "len", F.explode("words").alias("term"))
         return each.select("term", F.pmod(F.xxhash64("doc"), F.lit(self.blocks)).cast("int").alias("block"), "doc", F.lit(1).alias("tf"), "len", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket"))
 
 
 class LiteralIndex(_Trigrams):
     """For literals in texts, whatever their case."""
 
-    def _units(self, text: Column) -> Column:
-        return character_trigrams(text)
+    @staticmethod
+    def _count(text: str) -> dict[str, int]:
+        return dict.fromkeys((text[i : i + 3] for i in range(len(text) - 2)), 1)
 
     def candidates(self, literals: DataFrame) -> DataFrame:
         """(literal, doc): the texts that have the rarest trigrams of each of ``literals`` (literal), those that contain it among them.
@@ -66,8 +67,8 @@ class LiteralIndex(_Trigrams):
 class NameIndex(_Trigrams):
     """For names that are like a term, by the trigrams of their words."""
 
-    def _units(self, text: Column) -> Column:
-        return t.trigrams(text)
+    def _counted(self, texts: DataFrame) -> DataFrame:
+        return texts.select("doc", "digest", t.trigrams(F.col("text")).alias("words")).withColumn("len", F.size("words"))
 
     def similar(self, terms: DataFrame) -> DataFrame:
         """(query_id, term, doc, similarity) of the terms (query_id, term) and every name that shares a trigram with one."""

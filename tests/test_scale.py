@@ -5,6 +5,8 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from quarry.operators import detect, graph, joins, retrieve
+from quarry.operators.textindex import TextIndex, words
+from quarry.operators.trigramindex import LiteralIndex, character_trigrams
 
 
 def plan(df) -> str:
@@ -58,3 +60,14 @@ def test_files_made_of_small_rows_go_to_several_tasks_a_core(spark, tmp_path):
 
     spark.range(5).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert _code(spark, str(tmp_path)).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_indexed_texts_are_split_once_where_they_are_read(spark, tmp_path):
+    texts = ["a\U0001f600bc", "\u0130stanbul KELVIN \u212a x2 \u03a3\u0391\u03a3", "\u00df aa\nab\r\0cd aa", "", "ab", "Z9_ q \u00c0B_9 z9_"]
+    docs = spark.createDataFrame([(i, b"", x) for i, x in enumerate(texts)], "doc long, digest binary, text string")
+    for kind, units in ((TextIndex, words), (LiteralIndex, character_trigrams)):
+        counted = kind(spark, f"{tmp_path}/{kind.__name__}")._counted(docs)
+        assert plan(counted).count("MapInArrow") == 1 and "Exchange" not in plan(counted)
+        expected = {r["doc"]: sorted(r["u"]) for r in docs.select("doc", units(F.col("text")).alias("u")).collect()}
+        got = {r["doc"]: (r["len"], sorted(w for w, n in zip(r["words"], r["counts"], strict=True) for _ in range(n))) for r in counted.collect()}
+        assert got == {k: (len(v), v) for k, v in expected.items()}
