@@ -71,3 +71,14 @@ def test_indexed_texts_are_split_once_where_they_are_read(spark, tmp_path):
         expected = {r["doc"]: sorted(r["u"]) for r in docs.select("doc", units(F.col("text")).alias("u")).collect()}
         got = {r["doc"]: (r["len"], sorted(w for w, n in zip(r["words"], r["counts"], strict=True) for _ in range(n))) for r in counted.collect()}
         assert got == {k: (len(v), v) for k, v in expected.items()}
+
+
+def test_shared_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 20)
+    items = spark.range(30).selectExpr("id as k", "explode(array(0, 1, if(id % 2 = 0, 2, null), if(id = 3, 4, 3))) as i").union(spark.sql("select null, 1")).union(spark.sql("select 1L, 0"))
+    got = joins.shared_count_pairs(items, "k", "i", 3, 2, 30)
+    have = {k: {0, 1, 4 if k == 3 else 3} | ({2} if k % 2 == 0 else set()) for k in range(30)}
+    expected = {(a, b, len(have[a] & have[b])) for a in have for b in have if a < b and len(have[a] & have[b]) >= 3}
+    assert {tuple(r) for r in got.collect()} == expected
+    # 1,381 pairs; without their number the exchange has the session's eight tasks
+    assert got.rdd.getNumPartitions() >= 60
