@@ -82,3 +82,12 @@ def test_shared_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch
     assert {tuple(r) for r in got.collect()} == expected
     # 1,381 pairs; without their number the exchange has the session's eight tasks
     assert got.rdd.getNumPartitions() >= 60
+
+
+def test_near_duplicates_ask_for_the_tokens_once_a_reading(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(joins, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    units = spark.createDataFrame([("u", "a.ts", 1, "a b c\n" * 20)], "unit_id string, path string, start_line int, content string")
+    detect.near_duplicate_units(units)
+    # the lists' members and their counts, over one exchange; filters don't ask again
+    assert [p.count("regexp_extract_all(") for p in plans] == [2]
