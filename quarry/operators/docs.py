@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths, text
+from quarry.sources.checkpoints import cut
 
 from . import extract
 
@@ -70,11 +71,13 @@ def documentation(files: DataFrame) -> DataFrame:
     fifteen sections that say so.
     """
     read = files.where("content is not null")
+    # what several sections ask for is made once: else each would read and parse all files again, the manifests' readers by the dozen
+    manifests = cut(read.where(F.col("path").rlike(extract.MANIFESTS)))
     n = files.where("language is not null").groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.sum(F.coalesce(F.octet_length("content"), F.lit(0))).alias("bytes"))
     share = n.withColumn("share", F.round(F.col("bytes") * 100 / F.greatest(F.lit(1), F.sum("bytes").over(Window.partitionBy())), 1))
-    folders, routes, scripts = directories(files), extract.routes(read), extract.scripts(read)
-    stack = extract.stack(read).withColumn("evidence", F.array_join(F.array_sort("evidence"), ", "))
-    flags, pins = extract.project_flags(files), extract.runtimes(read)
+    folders, routes, scripts = cut(directories(files)), cut(extract.routes(read)), cut(extract.scripts(manifests))
+    stack = cut(extract.stack(manifests).withColumn("evidence", F.array_join(F.array_sort("evidence"), ", ")))
+    flags, pins = extract.project_flags(files), extract.runtimes(manifests)
     names = files.select("path")
     guarded = routes.agg(F.count_if("has_auth").alias("g"), F.count(F.lit(1)).alias("n")).where("n > 0")
     grouped = routes.withColumn("grp", paths.route_group(F.col("path")))

@@ -91,3 +91,18 @@ def test_near_duplicates_ask_for_the_tokens_once_a_reading(spark, monkeypatch):
     detect.near_duplicate_units(units)
     # the lists' members and their counts, over one exchange; filters don't ask again
     assert [p.count("regexp_extract_all(") for p in plans] == [2]
+
+
+def test_documentation_parses_all_files_once_for_its_sections(spark, monkeypatch):
+    from quarry.operators import docs, extract
+
+    files = spark.createDataFrame([("src/a.ts", "typescript", "router.get('/x', requireAuth, f);"), ("package.json", "json", '{"dependencies": {"express": "1"}}')], "path string, language string, content string")
+    written = []
+    monkeypatch.setattr(docs, "cut", lambda df: written.append(df.columns) or spark.createDataFrame(df.collect(), df.schema))
+    out = docs.documentation(files)
+    assert ["file_path", "method", "path", "framework", "line", "has_auth"] in written and "MapInArrow" not in plan(out)
+    assert "express in package.json" in {r["section"]: r["body"] for r in out.collect()}["overview"]
+    # the manifests' pattern finds all that their readers read
+    named = ["a/package.json", "Makefile", "requirements-dev.txt", "go.mod", "Gemfile", "Cargo.toml", "x/pom.xml", "build.gradle.kts", "composer.json", "pyproject.toml", ".nvmrc", ".node-version", ".python-version", ".ruby-version", "rust-toolchain.toml"]
+    paths = spark.createDataFrame([(p,) for p in [*named, "a.ts", "xpackage.json"]], "path string")
+    assert [r["path"] for r in paths.where(F.col("path").rlike(extract.MANIFESTS)).collect()] == named
