@@ -158,3 +158,14 @@ def test_nested_and_indented_loops_with_data_access(spark):
     f = spark.createDataFrame([("a.ts", "typescript", ts, False, False), ("b.py", "python", py, False, False), ("c.ts", "typescript", None, False, False), ("d.ts", "typescript", ts, False, True)], "path string, language string, content string, is_test boolean, is_generated boolean")
     got = sorted((r["file_path"], r["start_line"], r["snippet"]) for r in d.loop_queries(f).collect())
     assert got == [("a.ts", 1, "await db.query("), ("a.ts", 2, "await db.query("), ("a.ts", 8, "repo.find("), ("b.py", 2, "session.query(")]
+
+
+def test_rules_search_only_texts_that_have_what_they_need():
+    assert d.needs("(?i)\\b(?:eval|new\\s+Function)\\s*\\(") == ("eval", "function") and d.needs("[ab]+|x") is None and d.needs("(?:abc)?d") == ("d",)
+    # each rule's pattern is kept from texts by strings of which a match has one, letters beyond ASCII included
+    assert all(d.needs(r.pattern) for r in d.RULES if r.id != "none")
+    for text in ("hashlib.md5(x)", "HaſhLib.MD5(x)", "crypto.createHash('ſha1')", "İnnerhtml", "const tokenK = Math.random()"):
+        found = {r.id for r in d.RULES if d._compiled(r.pattern).search(text)}
+        kept = {r.id for r in d.RULES if any(x in d._folded(text) for x in d.needs(r.pattern))}
+        assert found <= kept
+    assert [f[1] for f in d.scan_file("a.py", "python", "x = HaſhLib.MD5(x)", False, False, d.RULES)] == ["sec.weak-hash"]
