@@ -176,3 +176,39 @@ def test_the_signature_is_the_keyed_hash(spark):
 
     got = spark.createDataFrame([(b"x",)], "b binary").select(readers.webhook_signature(F.col("b"), "k")).first()[0]
     assert got == "sha256=" + hmac.new(b"k", b"x", hashlib.sha256).hexdigest()
+
+
+def test_a_run_reads_and_writes_its_state_once_a_batch():
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        value = None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append(("delete", at))
+
+    life = lifecycle.RunLife(3, 10)
+    life.init(Handle())
+    step = lambda name, status, us: Row(run_id="r", step=name, status=status, us=us, seq=1)
+    assert [r["done"] for r in life.handleInputRows(("r",), iter([step(n, "completed", 5000) for n in "ab"]), None)] == [2]
+    assert calls == ["get", "update", ("register", 15)]
+    calls.clear()
+    assert [r["version"] for r in life.handleInputRows(("r",), iter([step("a", "running", 4000), step("c", "skipped", 9000)]), None)] == [4]
+    assert calls == ["get", "update", ("delete", 15), ("register", 19)]
