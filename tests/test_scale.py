@@ -106,3 +106,11 @@ def test_documentation_parses_all_files_once_for_its_sections(spark, monkeypatch
     named = ["a/package.json", "Makefile", "requirements-dev.txt", "go.mod", "Gemfile", "Cargo.toml", "x/pom.xml", "build.gradle.kts", "composer.json", "pyproject.toml", ".nvmrc", ".node-version", ".python-version", ".ruby-version", "rust-toolchain.toml"]
     paths = spark.createDataFrame([(p,) for p in [*named, "a.ts", "xpackage.json"]], "path string")
     assert [r["path"] for r in paths.where(F.col("path").rlike(extract.MANIFESTS)).collect()] == named
+
+
+def test_unprotected_routes_parse_the_files_once(spark):
+    from quarry.operators import extract
+
+    files = spark.createDataFrame([("a.ts", "typescript", "router.get('/x', requireAuth, f);\n"), ("b.ts", "typescript", "router.get('/y', f);\n")], "path string, language string, content string")
+    out = detect.unprotected_routes(extract.routes(files))
+    assert "MapInArrow" not in plan(out) and [r["path"] for r in out.collect()] == ["/y"]
