@@ -9,8 +9,9 @@ How a link is found, without ever pairing all members of a group of copies:
 1. Equal sets are one class (keyed by a digest of the set); only classes go on.
 2. DivideSkip: a set's inverted lists are divided into short and long ones.  A partner has ``T`` of a set's n elements,
    ``T = ceil(percent * n / 100)``.  The short lists are those of the ``n - T + OCCURRENCES`` rarest elements (by count
-   sketches of the whole corpus' words and shingles, of fixed size), so that a partner stands in OCCURRENCES of them or more; the lists
-   of a query are merged by a heap and what occurs less often is dropped.  The long lists are never read in full: what
+   sketches of the whole corpus' words and shingles, of fixed size), so that a partner stands in OCCURRENCES of them or more.  The
+   members of a list become pairs only where their sizes and marks (bits of which linked sets differ in few) allow a
+   link; what is left of a query's lists is merged by a heap and what occurs less often is dropped.  The long lists are never read in full: what
    they add to the T occurrences is found by binary probes, of a query's elements in the candidate's sorted set.
 3. A short list that turns out to have more than SMALL members is not merged either, but gets a centre, its least
    member, and every other member is probed against the centre, once for all the lists they share.  (A pair in
@@ -57,7 +58,8 @@ HOT_BITS, HOT_SLICES = 21, 8
 LEAST_PARTS = 512
 #: Members of a short list from which on centres are used; in smaller lists all pairs are looked at.
 SMALL = 8
-#: Rounds of centres at most; they end when the lists that are left hold no more than PAIRS pairs for each of their members.
+#: Rounds of centres at most; when the lists that are left hold no more than PAIRS pairs for each of their members, only those
+#: of more than MERGED members get centres.
 #: Lists that then have MERGED members or fewer are merged; members of longer ones are searched by the true lengths of
 #: their lists.
 ROUNDS = 2
@@ -66,6 +68,9 @@ PAIRS = 32
 #: Short lists that linked sets share at least (T less the number of long lists).
 OCCURRENCES = 3
 NEAR = 0.4
+#: Most words of 64 bits in a mark, by which the members of a list are compared before they become pairs, and words compared at once.
+MARK_WORDS = 32
+BLOCK = 1 << 20
 #: Members of a centre's class that are probed in one group.
 CHUNK = 256
 
@@ -264,18 +269,111 @@ def _shortest_lists(sets: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
-def _occurrences(lists: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (c, sid), c the lesser, that stand together in as many of ``lists`` (h, sid, n) as a link between them needs.
+def _fold(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (a row each, in words of 64 bits) of ``width`` words, from longer ones."""
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _marks(sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(sid, mark): each set's sketch, folded to at least four bits for each element that linked sets of this size may differ in.
+
+    Sets without common elements differ in about half of these bits, linked ones in a quarter at most.
+    """
 
-    Every query gets the members of its lists, list by list in the order of their ids; a heap merges them, and equal ids
-    that follow one another are the occurrences.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                most = rule.apart / (2 - rule.apart) * 2 * n
+                width = min(MARK_WORDS, 1 << max(0, int(4 * most) // 64).bit_length())
+                marks.append(_fold(np.frombuffer(x.as_buffer(), w.U64)[None], width).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["sid", "mark"])
+
+    return sizes.select("sid", "n", "hist").mapInArrow(run, "sid long, mark binary")
+
+
+def _near_marks(ids: np.ndarray, n: np.ndarray, marks: list[bytes], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs among the members of one list whose sizes and marks allow a link; in blocks, so that a long list is no matter."""
+    width = np.array([len(x) // 8 for x in marks])
+    of = {int(k): np.flatnonzero(width == k) for k in np.unique(width)}
+    words = {k: np.frombuffer(b"".join(marks[i] for i in at), w.U64).reshape(-1, k) for k, at in of.items()}
+    limit, least = rule.apart / (2 - rule.apart), rule.percent / 100
+    for k, at in of.items():
+        for other, to in of.items():
+            if other < k:
+                continue
+            folded = _fold(words[other], k)
+            step = max(1, BLOCK // (len(to) * k))
+            for i in range(0, len(at), step):
+                x, m = at[i : i + step, None], n[at[i : i + step], None]
+                ok = np.minimum(m, n[to]) >= least * np.maximum(m, n[to]) - 1e-6
+                ok &= ids[x] < ids[to] if other == k else ids[x] != ids[to]
+                ok &= np.bitwise_count(words[k][i : i + step, None] ^ folded).sum(axis=2) <= limit * (m + n[to]) + 1e-6
+                p, q = np.nonzero(ok)
+                yield at[i + p], to[q]
+
+
+def _meetings(lists: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(sid, h, other, needed): pairs, sid the lesser, that stand together in a list of ``lists`` and that sizes and marks allow.
+
+    A list goes to one task once; its members' marks are compared there, and only what may be a link becomes a row.
+    Sets with fewer lists than they need occurrences have no partner.
     """
-    ratio = f"least(n, m) >= {rule.percent / 100}D * greatest(n, m) - 1e-6D"
-    other = lists.select("h", F.col("sid").alias("other"), F.col("n").alias("m"))
-    met = (
-        lists.join(other, "h").where(f"sid < other and {ratio}").select("sid", "h", "other", F.expr(rule.needed("n")).cast("int").alias("needed"))
-        .repartition("sid").sortWithinPartitions("sid", "h", "other")
+    own = Window.partitionBy("sid")
+    marked = (
+        lists.select("h", "sid", "n").withColumn("needed", F.expr(rule.needed("n")).cast("int")).withColumn("has", F.count("*").over(own))
+        .where("has >= needed").join(_marks(sizes, rule), "sid").select("h", "sid", "n", "needed", "mark")
     )
+    dealt = marked.repartition("h").sortWithinPartitions("h")
+
+    def ends(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs of whole lists."""
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        h, sid, n, needed = (rows.column(i).to_numpy() for i in range(4))
+        marks = rows.column(4).to_pylist()
+        first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        found: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(first.tolist(), np.append(first[1:], len(h)).tolist(), strict=True):
+            if b - a < 2:
+                continue
+            for x, y in _near_marks(sid[a:b], n[a:b], marks[a:b], rule):
+                if len(x):
+                    x, y = x + a, y + a
+                    x, y = np.where(sid[x] < sid[y], x, y), np.where(sid[x] < sid[y], y, x)
+                    found.append((sid[x], h[x], sid[y], needed[x]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=out)
+
+    out = pa.schema([("sid", pa.int64()), ("h", pa.int64()), ("other", pa.int64()), ("needed", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a list may go on in the next batch: its members wait for it
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            if not len(h):
+                continue
+            last = int(np.searchsorted(h, h[-1]))
+            if last or (waiting and waiting[-1].column(0)[0].as_py() != h[0]):
+                yield from ends([*waiting, batch.slice(0, last)])
+                waiting = []
+            waiting.append(batch.slice(last))
+        if waiting:
+            yield from ends(waiting)
+
+    return dealt.mapInArrow(run, "sid long, h long, other long, needed int")
+
+
+def _occurrences(lists: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (c, sid), c the lesser, that stand together in as many of ``lists`` (h, sid, n) as a link between them needs.
+
+    Every query gets the members of its lists that may be partners, list by list in the order of their ids; a heap merges
+    them, and equal ids that follow one another are the occurrences.
+    """
+    met = _meetings(lists, sizes, rule).repartition("sid").sortWithinPartitions("sid", "h", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query, needed, merged = None, 1, []
@@ -492,9 +590,17 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
     active = every.where(F.col("k") > SMALL).select("h", "sid", "n")
     found = []
     for _ in range(ROUNDS):
-        pairs_left = active.groupBy("h").agg(F.count("*").alias("k")).agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
-        if not pairs_left[0] or pairs_left[1] <= PAIRS * pairs_left[0]:
+        k = active.groupBy("h").agg(F.count("*").alias("k"))
+        pairs_left = k.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2), F.max("k")).first()
+        if not pairs_left[0]:
             break
+        if pairs_left[1] <= PAIRS * pairs_left[0]:
+            # few pairs on the whole: only the lists that are too long to be merged get centres
+            if pairs_left[2] <= MERGED:
+                break
+            sized = active.join(k, "h")
+            few = few.unionByName(sized.where(F.col("k") <= MERGED).drop("k"))
+            active = cut(sized.where(F.col("k") > MERGED).drop("k"))
         centre = active.groupBy("h").agg(F.min("sid").alias("c"), F.min_by("n", "sid").alias("cn"))
         ratio = f"least(n, cn) >= {1 - rule.far}D * greatest(n, cn) - 1e-6D"
         pairs = active.join(centre, "h").where(f"sid <> c and {ratio}").select("c", "sid").distinct()
@@ -510,11 +616,11 @@ def links(docs: DataFrame, summaries: DataFrame, rule: Rule) -> DataFrame:
         release(docs.sparkSession)
     k = active.groupBy("h").agg(F.count("*").alias("k"))
     sized = active.join(k, "h")
-    pairs = _occurrences(few.unionByName(sized.where(F.col("k") <= MERGED).drop("k")), rule)
+    pairs = _occurrences(few.unionByName(sized.where(F.col("k") <= MERGED).drop("k")), sizes, rule)
     left = cut(sized.where(F.col("k") > MERGED).select("sid", "n").distinct())
     if not left.isEmpty():
         sets = cut(_candidate_sets(docs, left.join(sizes.select("sid", "doc"), "sid").select("sid", "doc"), rule))
-        pairs = pairs.unionByName(_occurrences(_shortest_lists(sets, left, rule), rule)).distinct()
+        pairs = pairs.unionByName(_occurrences(_shortest_lists(sets, left, rule), sizes, rule)).distinct()
     found.append(true_links(probed(pairs, rule.apart)))
     out = found[0]
     for x in found[1:]:

@@ -156,6 +156,31 @@ def test_join_with_small_lists_as_centres_too(spark, monkeypatch):
     assert sorted(map(tuple, tjoin.classes(clash(spark, rows)).collect())) == sorted(brute.components(rows, 3, 90))
 
 
+def test_lists_too_long_to_be_merged_get_centres_however_few_the_pairs_are(spark, monkeypatch):
+    monkeypatch.setattr(tjoin, "MERGED", 8)
+    monkeypatch.setattr(tjoin, "PAIRS", 1000)
+    calls, plain = [], tjoin._links_by_difference
+    monkeypatch.setattr(tjoin, "_links_by_difference", lambda *a: calls.append(1) or plain(*a))
+    rows = family_rows()
+    assert sorted(map(tuple, tjoin.classes(clash(spark, rows)).collect())) == sorted(brute.components(rows, 3, 90))
+    assert calls
+
+
+def test_members_of_a_list_become_pairs_only_where_they_may_link(spark):
+    rng, rule = random.Random(5), tjoin.Rule()
+    common = [f"p{i}" for i in range(12)]
+    texts = [" ".join(common + [f"w{rng.random()}" for _ in range(rng.choice([60, 100, 200]))]) for _ in range(120)]
+    texts += [f"{t} end" for t in texts[:5]]
+    sets = [s for s in tjoin._sets(pa.array(texts), 3)]
+    sizes = spark.createDataFrame([(i, len(s), bytearray(tjoin._parities(s))) for i, s in enumerate(sets)], "sid long, n long, hist binary")
+    lists = spark.createDataFrame([(int(h), i, len(s)) for i, s in enumerate(sets) for h in s.view(np.int64)], "h long, sid long, n long")
+    met = tjoin._meetings(lists, sizes, rule)
+    want = {(i, 120 + i) for i in range(5)}
+    got = {(r["sid"], r["other"]) for r in met.collect()}
+    assert want <= got and len(got) < 50  # of 7,750 pairs that share the lists of the passage
+    assert want <= {(r["c"], r["sid"]) for r in tjoin._occurrences(lists, sizes, rule).collect()}
+
+
 def test_join_of_nothing(spark):
     assert tjoin.classes(empty(spark)).count() == 0
     assert tjoin.keep_one(empty(spark)).count() == 0
