@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import pathlib
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -594,6 +596,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert docs.where("not round_trip").count() == 0 and docs.count() > 0
 
 
+def test_a_stage_lets_go_of_the_shuffles_before_it(spark, monkeypatch):
+    dirs = [pathlib.Path(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    files = lambda: {p for d in dirs for p in d.glob("*/shuffle_*")}
+    before = files()
+    spark.range(5000).repartition(7).groupBy(F.col("id") % 5).count().write.format("noop").mode("overwrite").save()
+    left = files() - before
+    spark.sparkContext.parallelize(range(64), 64).count()  # threads hold on to the tasks they ran last
+
+    def waits(docs):
+        end = time.monotonic() + 20
+        while files() & left and time.monotonic() < end:
+            time.sleep(0.1)
+        return docs
+
+    assert left
+    monkeypatch.setattr(tjoin, "keep_one", waits)
+    pipeline.ngram_jaccard_join(spark, spark.range(1), SF)
+    assert not files() & left
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
