@@ -1,11 +1,18 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Trained on labelled trusted documents (quality 1, not toxic).  A quarter of them, by a seeded hash, is held out; of the
-others the TRAIN_DOCS with the smallest hash are taken, in that order as far as they fit into TRAIN_TOKENS words.  That bounds the
-model, which goes to every task.  Its counts are made in
-shards by the n-gram's hash: counts of trigrams, counts of what follows each context, and numbers of distinct
+Trained on all labelled trusted documents (quality 1, not toxic) but a quarter, by a seeded hash, which is held out.  Counts are
+dealt by the n-gram's hash: counts of trigrams, counts of what follows each context, and numbers of distinct
 continuations, each a grouping or join of the one before.
 
+The log probability of a text is a sum over its n-grams of one number each, so that no token needs to meet more than one
+table.  With p(w|uv) = share(uvw) + rest(uv) p(w|v), and so down to words, whose floor any word has:
+
+    log p(w|uv) = log(1 + share(uvw) / (rest(uv) p(w|v))) + log rest(uv)
+                + log(1 + share(vw) / (rest(v) p(w))) + log rest(v) + log(p(w) / floor) + log floor
+
+and what is not in the model adds nothing.  These numbers are dealt by the n-gram's hash; the n-grams of the documents go to them,
+in rounds of documents, packed to blocks, and the sums come back by document.
+
 A document's perplexity is compared with a quantile of its language: that of the trusted documents of this language
 that were held out.  Languages with fewer than LEAST of these use the quantile over all.
 """
@@ -23,8 +30,6 @@ from pyspark.sql import functions as F
 from . import words as w
 from .common import WORD_JAVA, bounded_batches, column, cut, release
 
-TRAIN_DOCS = 4096
-TRAIN_TOKENS = 2_000_000
 QUANTILE = 0.99
 #: The quantile is widened by this factor, so that documents just beyond the trusted ones stay.
 MARGIN = 1.1
@@ -32,6 +37,12 @@ LEAST = 50
 HELD_OUT = 4
 SEED = 53
 START, END = 0x1234567, 0x89ABCDE
+#: Documents are scored in rounds of about so many tokens, ROUNDS at most (each reads all rows, and splits and sends its own).
+ROUND_TOKENS, ROUNDS = 1_000_000, 16
+#: Numbers of the model that one task holds, about.
+SHARD = 500_000
+#: So many trusted ids are broadcast; more are joined.
+FEW = 1_000_000
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -154,7 +165,7 @@ def _collect(df: DataFrame, keys: list[str], value: str) -> Table:
 
 
 def train(docs: DataFrame) -> Model:
-    """The model of all texts of ``docs`` (doc_id, text), which must be a bounded sample."""
+    """The model of all texts of ``docs`` (doc_id, text) in one place, for a few texts; ``weights`` is the same for many."""
     spark = docs.sparkSession
     # each order's counts are done with before those of the next are made
     tri = cut(trigram_counts(docs))
@@ -177,24 +188,144 @@ def train(docs: DataFrame) -> Model:
     return Model(*tables3, *tables2, Table.of(words.keys, (n - off) / total), floor)
 
 
-def perplexities(own: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, n_tokens, logprob, perplexity) for each row; the end counts as a token."""
-    shared = own.sparkSession.sparkContext.broadcast(model)
+def _word_keys(x: np.ndarray) -> np.ndarray:
+    return w.mix(x + w.U64(0x2545F4914F6CDD1D))
+
+
+def _keyed(df: DataFrame, grams: list[str], value: str) -> DataFrame:
+    """(key, weight) of n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [np.asarray(b.column(i), np.int64).view(w.U64) for i in range(len(grams))]
+            key = _word_keys(cols[0]) if len(cols) == 1 else _pair(*cols[:2])
+            for c in cols[2:]:
+                key = _pair(key, c)
+            yield pa.RecordBatch.from_arrays([_signed(key), b.column(len(grams))], names=["key", "weight"])
+
+    return df.select(*grams, F.expr(value).cast("double").alias("weight")).mapInArrow(run, "key long, weight double")
+
+
+def weights(docs: DataFrame) -> tuple[DataFrame, float]:
+    """(shard, keys, weights), packed and dealt by shard, of the model of all texts of ``docs`` (doc_id, text); and its floor.
+
+    A key may come twice, as an n-gram and as a context; its weights are added.
+    """
+    spark = docs.sparkSession
+
+    def off(n: str, d: tuple[float, float, float]) -> str:
+        return f"CASE {n} WHEN 1 THEN {d[0]!r}D WHEN 2 THEN {d[1]!r}D ELSE {d[2]!r}D END"
+
+    # the shuffles of each count go before those of the next are made
+    tri = cut(trigram_counts(docs))
+    release(spark)
+    bi = cut(tri.groupBy("v", "w").agg(F.count("*").alias("n")))
+    release(spark)
+    uni = cut(bi.groupBy("w").agg(F.count("*").alias("n")))
+    release(spark)
+    d3, d2, d1 = (_discounts(x, "n") for x in (tri, bi, uni))
+    one = uni.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.expr(f"sum({off('n', d1)})").alias("off")).first()
+    total = max(float(one["n"] or 0), 1.0)
+    floor = (one["off"] / total if one["k"] else 1.0) / (one["k"] + 1)
+    words = uni.select("w", F.expr(f"(n - {off('n', d1)}) / {total!r}D + {floor!r}D").alias("p1"))
+    after1 = bi.groupBy("v").agg(F.expr(f"sum({off('n', d2)})").alias("off"), F.sum("n").alias("every"))
+    after2 = tri.groupBy("u", "v").agg(F.expr(f"sum({off('n', d3)})").alias("off"), F.sum("n").alias("every"))
+    # share / rest is (n - its discount) / (all discounts of the context)
+    pairs = cut(
+        bi.join(after1.hint("merge"), "v").join(words.hint("merge"), "w")
+        .select("v", "w", F.expr(f"(n - {off('n', d2)}) / off / p1").alias("gain"), F.expr(f"(n - {off('n', d2)}) / every + off / every * p1").alias("p2"))
+    )
+    release(spark)
+    triples = tri.join(after2.hint("merge"), ["u", "v"]).select("v", "w", "u", F.expr(f"(n - {off('n', d3)}) / off").alias("gain"))
+    triples = triples.join(pairs.select("v", "w", "p2").hint("merge"), ["v", "w"])
+    every = _keyed(words, ["w"], f"log10(p1 / {floor!r}D)")
+    for part in (
+        _keyed(after1, ["v"], "log10(off / every)"), _keyed(pairs, ["v", "w"], "log10(1 + gain)"),
+        _keyed(after2, ["u", "v"], "log10(off / every)"), _keyed(triples, ["u", "v", "w"], "log10(1 + gain / p2)"),
+    ):
+        every = every.unionByName(part)
+    size = 2 * sum(x.count() for x in (bi, uni)) + 2 * tri.count()
+    bits = max(4, (size // SHARD).bit_length())
+    shard = F.shiftrightunsigned("key", 64 - bits).cast("int")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.asarray(b.column(0))
+            order = np.argsort(at, kind="stable")
+            keys, values = np.asarray(b.column(1))[order], np.asarray(b.column(2))[order]
+            first = np.flatnonzero(np.append(True, np.diff(at[order]) != 0)) if len(at) else []
+            ends = np.append(first[1:], len(at)) if len(at) else []
+            rows = [(int(at[order[i]]), keys[i:j].tobytes(), values[i:j].tobytes()) for i, j in zip(first, ends, strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["shard", "keys", "weights"])
+
+    dealt = every.select(shard.alias("shard"), "key", "weight").repartition(1 << bits, "shard").mapInArrow(pack, "shard int, keys binary, weights binary")
+    packed = dealt.repartition(1 << bits, "shard").checkpoint(eager=True)  # keeps how it is dealt, so that the documents' n-grams come to it
+    del tri, bi, uni, words, after1, after2, pairs, triples, every, dealt
+    release(spark)
+    return packed.withMetadata("shard", {"bits": bits}), floor
+
+
+def log_probabilities(own: DataFrame, model: DataFrame, floor: float, rounds: int = 1) -> DataFrame:
+    """(row, logprob) of each ``row`` of ``own`` (row, text, n_tokens): rows that share a number are equal, and so are their sums."""
+    spark = own.sparkSession
+    bits = model.schema["shard"].metadata["bits"]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in w.per_batch(batches):
             u, v, x, first = _ngrams(batch.column(1))
-            total = np.concatenate([[0.0], np.cumsum(shared.value.log10(u, v, x))])
-            log, n = total[first[1:]] - total[first[:-1]], np.diff(first)
-            ppl = 10.0 ** np.minimum(-log / n, 300)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(log), pa.array(ppl)], names=["doc_id", "lang", "n_tokens", "logprob", "perplexity"])
-
-    return own.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, n_tokens long, logprob double, perplexity double")
+            doc = np.repeat(np.arange(len(batch), dtype=np.uint16), np.diff(first))
+            uv = _pair(u, v)
+            # words stand as what is told and as what tells: a text's words, and once its start and its end
+            end = np.append(x[first[1:] - 1], v[first[:-1]])
+            lone = np.tile(np.arange(len(batch), dtype=np.uint16), 2)
+            inner = np.ones(len(x), bool)
+            inner[first[1:] - 1] = False
+            last = first[1:] - 1
+            keys = np.concatenate([_word_keys(x[inner]), _word_keys(end), uv, _pair(v[last], x[last]), _pair(uv, x)])
+            docs = np.concatenate([doc[inner], lone, doc, doc[last], doc])
+            order = np.argsort(keys)
+            keys, docs = keys[order], docs[order]
+            at = np.searchsorted(keys >> w.U64(64 - bits), np.arange((1 << bits) + 1, dtype=w.U64))
+            ids = np.asarray(batch.column(0), np.int64)
+            rows = [(k, ids.tobytes(), keys[i:j].tobytes(), docs[i:j].tobytes()) for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if j > i]
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "ids", "keys", "docs"])
+
+    def meet(asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Sums by document of the numbers of one shard."""
+        read = lambda table, name, kind: [np.frombuffer(b.as_buffer(), kind) for b in table.column(name)]
+        keys = np.concatenate([np.zeros(0, w.U64), *read(known, "keys", w.U64)])
+        keys, place = np.unique(keys, return_inverse=True)
+        values = np.bincount(place, np.concatenate([np.zeros(0), *read(known, "weights", np.float64)]), len(keys))
+        row, total = [], []
+        for ids, q, docs in zip(read(asked, "ids", np.int64), read(asked, "keys", w.U64), read(asked, "docs", np.uint16), strict=True):
+            if not len(keys):
+                break
+            at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+            hit = keys[at] == q
+            sums = np.bincount(docs[hit], values[at[hit]], len(ids))
+            some = np.flatnonzero(sums)
+            row.append(ids[some])
+            total.append(sums[some])
+        return pa.table({"row": np.concatenate([np.zeros(0, np.int64), *row]), "part": np.concatenate([np.zeros(0), *total])})
+
+    out = None
+    for r in range(rounds):
+        some = own.where(F.pmod("row", F.lit(rounds)) == r)
+        asked = some.select("row", "text").mapInArrow(send, "shard int, ids binary, keys binary, docs binary")
+        parts = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(meet, "row long, part double")
+        base = some.select("row", (F.col("n_tokens") * F.lit(float(np.log10(floor)))).alias("part"), F.lit(1).alias("k"))
+        sums = base.unionByName(parts.withColumn("k", F.lit(0))).groupBy("row").agg((F.sum("part") / F.sum("k")).alias("logprob"))
+        sums = cut(sums)
+        release(spark)
+        out = sums if out is None else out.unionByName(sums)
+    return out
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    train_docs: int = TRAIN_DOCS, train_tokens: int = TRAIN_TOKENS,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
     """(doc_id, lang, n_tokens, logprob, perplexity, threshold, kept) for each row of ``docs``.
 
@@ -211,18 +342,16 @@ def classify(
     draw = F.xxhash64(F.lit(SEED), "doc_id")
     held_out = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(HELD_OUT)) == 0
     bounded_batches(docs.sparkSession)
-    sizes = own.join(trusted.where(~held_out), "doc_id", "left_semi").groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(WORD_JAVA))).alias("n"))
-    # the cut lets the partitions' first rows meet on an executor
-    first = cut(sizes.orderBy(draw, "doc_id").limit(train_docs)).select("doc_id", "n", draw.alias("d")).toPandas().sort_values(["d", "doc_id"])
-    chosen, words = [], 0
-    for doc, n in zip(first["doc_id"].tolist(), first["n"].fillna(0).tolist(), strict=True):
-        if words + n <= train_tokens:  # a document beyond the budget is passed over, those after it are not
-            chosen.append(doc)
-            words += n
-    spark = docs.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(int(x),) for x in chosen], "doc_id long"))
-    model = train(own.join(ids, "doc_id", "left_semi"))
-    scored = cut(perplexities(own, model))
+    own = own.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("n_tokens", F.coalesce(F.regexp_count("text", F.lit(WORD_JAVA)), F.lit(0)).cast("long") + 1)
+    chosen = trusted.where(~held_out)
+    chosen = F.broadcast(chosen) if trusted.count() <= FEW else chosen
+    model, floor = weights(own.join(chosen, "doc_id", "left_semi"))
+    sizes = cut(own.select("doc_id", "lang", "row", "n_tokens"))
+    tokens = sizes.agg(F.sum("n_tokens")).first()[0] or 0
+    logs = log_probabilities(own, model, floor, min(ROUNDS, 1 + tokens // ROUND_TOKENS))
+    ppl = F.pow(F.lit(10.0), F.least(-F.col("logprob") / F.col("n_tokens"), F.lit(300.0)))
+    scored = cut(sizes.join(logs, "row").select("doc_id", "lang", "n_tokens", "logprob", ppl.alias("perplexity")))
+    del model, sizes, logs
     held = scored.join(trusted.where(held_out), "doc_id", "left_semi")
     q = F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000))
     limits = cut(held.groupBy(F.col("lang").alias("l")).agg((q * MARGIN).alias("own"), F.count("*").alias("k")))

@@ -561,6 +561,25 @@ def test_classifier_on_held_out_labels(spark):
     assert kept[1] > 0.95 and kept[0] < 0.5
 
 
+def test_perplexities_are_those_of_all_trusted_texts(spark, few_partitions):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    # more words than the sample had room for: the first of them in any order took it all
+    rows += [(1000 + i, f"z{i} " * 700_000 + "a b c") for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows if i >= 1000 or i % 2], "doc_id long, quality int, toxic int")
+    held = {r["doc_id"] for r in labels.where(F.pmod(F.xxhash64(F.lit(kneser.SEED + 1), "doc_id"), F.lit(kneser.HELD_OUT)) == 0).collect()}
+    chosen = {r["doc_id"] for r in labels.collect()} - held
+    assert sum(i >= 1000 for i in chosen) > 2  # at 700,000 words
+    model = kneser.train(docs.where(F.col("doc_id").isin([*chosen])))
+    got = {r["doc_id"]: r for r in kneser.classify(docs, labels).collect()}
+    assert got.keys() == {i for i, _ in rows}
+    for i, t in rows:
+        u, v, x, _ = kneser._ngrams(pa.array([t]))
+        assert got[i]["n_tokens"] == len(x)
+        assert got[i]["logprob"] == pytest.approx(model.log10(u, v, x).sum(), rel=1e-6, abs=1e-7 * len(x))  # the model holds 32-bit floats
+
+
 def test_classifier_without_labels_nulls_and_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = kneser.classify(clash(spark, [(1, text(30)), (2, None), (3, ""), (3, "")]), none).collect()
