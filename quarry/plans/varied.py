@@ -82,9 +82,9 @@ def k5_varied(spark, d):
     SELECT 'src/' || page_id || '.ts' AS file_path, path FROM r WHERE NOT has_auth AND NOT regexp_matches(path, '{detect.PUBLIC}') ORDER BY 1 LIMIT 40""",
 )
 def k6_varied(spark, d):
-    """The paths of all pages as routes, every third behind authentication."""
+    """The paths of all pages as routes, every third behind authentication; the first 40 that are open, as the SQL has it."""
     r = read(spark, d, "pages").select(_path("page_id").alias("file_path"), F.lit(1).alias("line"), F.regexp_replace("url", "^[a-z]+://[^/]*", "").alias("path"), (F.pmod("page_id", F.lit(3)) == 0).alias("has_auth"))
-    return detect.unprotected_routes(r).select("file_path", "path")
+    return detect.unprotected_routes(r).limit(40).select("file_path", "path")
 
 
 @query(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import detect as d
+from quarry.operators import extract
 
 CASES = [
     ("typescript", "db.query(`SELECT * FROM users WHERE id = ${id}`)", "CWE-89"),
@@ -133,6 +134,12 @@ def test_routes_without_protection(spark):
     assert d.missing_rate_limit(r, files(spark, ("l.ts", "typescript", "import rateLimit from 'x'"))).count() == 0
 
 
+def test_all_routes_without_protection_are_found(spark):
+    content = "\n".join(["router.get('/in', requireAuth, f);", *["x();"] * 200, *[f"router.get('/r{i}', f);" for i in range(350)]])
+    r = extract.routes(files(spark, ("a.ts", "typescript", content)))
+    assert [x["path"] for x in d.unprotected_routes(r).collect()] == [f"/r{i}" for i in range(350)]
+
+
 def test_ranges_meet_what_contains_them_and_keep_the_innermost(spark):
     import random
 
