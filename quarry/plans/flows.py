@@ -313,7 +313,7 @@ def k6(spark, d):
     return detect.unprotected_routes(extract.routes(_code(spark, d))).select("file_path")
 
 
-@query("k8_dead_files", "SELECT 'src/part' || p_partkey || '.ts' AS path FROM part ORDER BY 1 LIMIT 30")
+@query("k8_dead_files", "SELECT 'src/part' || p_partkey || '.ts' AS path FROM part ORDER BY 1")
 def k8(spark, d):
     files = _code(spark, d).withColumn("is_config", F.lit(False))
     return detect.dead_files(files, graph.resolve_imports(extract.imports(files), files)).select("path")

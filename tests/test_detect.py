@@ -140,6 +140,12 @@ def test_all_routes_without_protection_are_found(spark):
     assert [x["path"] for x in d.unprotected_routes(r).collect()] == [f"/r{i}" for i in range(350)]
 
 
+def test_all_dead_files_are_found(spark):
+    f = spark.range(100).selectExpr("format_string('src/%02d.ts', id) as path", "false as is_test", "false as is_config", "false as is_generated")
+    used = spark.range(0, 100, 2).selectExpr("format_string('src/%02d.ts', id) as to_path")
+    assert [x["path"] for x in d.dead_files(f, used).collect()] == [f"src/{i:02d}.ts" for i in range(1, 100, 2)]
+
+
 def test_ranges_meet_what_contains_them_and_keep_the_innermost(spark):
     import random
 
