@@ -32,8 +32,6 @@ BUCKETS, BLOCKS = 64, 256
 FIRST_BLOCKS = 8
 #: Scores are whole millionths, so that sums don't depend on their order.
 UNIT = 1_000_000
-#: Terms of a query that count, as everywhere in keyword search.
-QUERY_TERMS = 12
 
 _WORD = re.compile("[a-z0-9_]{2,}")
 
@@ -190,9 +188,8 @@ class TextIndex:
     # -- searching -----------------------------------------------------------------------------------------------------
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        """(query_id, term): the stems of a query's first words."""
-        first = F.slice(F.array_distinct(words(F.col("query"))), 1, QUERY_TERMS)
-        return queries.select("query_id", F.explode(first).alias("word")).select("query_id", porter(F.col("word")).alias("term")).distinct()
+        """(query_id, term): the stems of all words of a query."""
+        return queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("word")).select("query_id", porter(F.col("word")).alias("term")).distinct()
 
     def _of_terms(self, rows: DataFrame, asked: DataFrame) -> DataFrame:
         """``rows`` of the asked terms with the queries that ask: only their buckets' folders and, of few terms, only their row groups are read."""

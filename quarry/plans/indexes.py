@@ -56,7 +56,7 @@ _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+
 def _stored_sql(weight: str) -> str:
     return f"""
     WITH w AS (SELECT doc_id, len(l) AS len, unnest(l) AS word FROM (SELECT doc_id, {_WORDS} AS l FROM documents)),
-    q AS (SELECT item_id, unnest(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 12)) AS word FROM (SELECT item_id, {_WORDS} AS l FROM benchmark)),
+    q AS (SELECT item_id, unnest(list_filter(l, lambda x, i: list_position(l, x) = i)) AS word FROM (SELECT item_id, {_WORDS} AS l FROM benchmark)),
     s AS MATERIALIZED ({porter_sql("(SELECT word FROM w UNION ALL SELECT word FROM q)", "word")}),
     p AS (SELECT doc_id, len, stem, count(*) AS tf FROM w JOIN s USING (word) GROUP BY ALL),
     a AS (SELECT DISTINCT item_id, stem FROM q JOIN s USING (word)),

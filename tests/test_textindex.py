@@ -192,3 +192,11 @@ def test_the_light_scan_agrees_where_words_are_stemmed(spark, tmp_path):
     a = {r["doc_id"]: round(r["score"], 4) for r in slow.collect()}
     b = {r["doc_id"]: round(r["score"], 4) for r in index.search(q, 10).collect()}
     assert sorted(a.values()) == pytest.approx(sorted(b.values()), abs=2e-4)
+
+
+def test_all_words_of_a_question_count(spark, tmp_path):
+    rows = [(1, "w13 w14"), (2, "w1"), (3, "w15 w15 w15 ponies"), (4, "other")]
+    index = TextIndex(spark, f"file://{tmp_path}/ix", buckets=2, blocks=4)
+    index.refresh(frame(spark, rows))
+    q = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(1, 16)) + " pony")], "query_id int, query string")
+    assert [(r["doc_id"], r["rank"]) for r in index.search(q, 5).orderBy("rank").collect()] == [(3, 1), (1, 2), (2, 3)]
