@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +89,52 @@ def porter(term: Column) -> Column:
     for step in steps:
         out = let(out, step)
     return F.when(term.rlike("^[a-z]{3,}$"), out).otherwise(term)
+
+
+# -- the same in Python, for texts that are read there anyway ------------------------------------------------------------
+
+_M0, _M1, _SHORT, _DOUBLE = (re.compile(p) for p in (M0, M1, SHORT_END, DOUBLE_END))
+_ION, _PLAIN, _Y = re.compile(f"{M1[: -len(_C)]}{_C}*[st]$"), re.compile("[a-z]{3,}"), re.compile("([aeiouy])y")
+
+
+def _stepped(w: str, rules: list[tuple[str, str]]) -> str:
+    for suffix, instead in rules:
+        if w.endswith(suffix):
+            head = w[: -len(suffix)]
+            return head + instead if _M0.search(head) else w
+    return w
+
+
+def _unpast(w: str) -> str:
+    if w.endswith("eed"):
+        return w[:-1] if _M0.search(w[:-3]) else w
+    x = w[:-2] if w.endswith("ed") else w[:-3] if w.endswith("ing") else None
+    if x is None or not re.search(HAS_VOWEL, x):
+        return w
+    if x.endswith(("at", "bl", "iz")) or (_SHORT.search(x) and _M0.search(x) and not _M1.search(x)):
+        return x + "e"
+    return x[:-1] if _DOUBLE.search(x) else x
+
+
+@lru_cache(1 << 18)
+def stem(word: str) -> str:
+    """``porter`` of one word.  The words that came last are kept, so a text's common ones are looked up."""
+    if not _PLAIN.fullmatch(word):
+        return word
+    w = _Y.sub(r"\1Y", "Y" + word[1:] if word[0] == "y" else word)
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    w = _unpast(w)
+    if w[-1:] in ("y", "Y") and re.search(HAS_VOWEL, w[:-1]):
+        w = w[:-1] + "i"
+    w = _stepped(_stepped(w, STEP_2), STEP_3)
+    for suffix in STEP_4:
+        if w.endswith(suffix):
+            head = w[: -len(suffix)]
+            w = head if (_ION if suffix == "ion" else _M1).search(head) else w
+            break
+    if w.endswith("e") and (_M1.search(w[:-1]) or (_M0.search(w[:-1]) and not _SHORT.search(w[:-1]))):
+        w = w[:-1]
+    return (w[:-1] if w.endswith("ll") and _M1.search(w) else w).lower()

@@ -10,20 +10,22 @@ Below the index's folder, all Parquet:
 
 A refresh compares digests and writes a new generation of the texts that changed, whatever the size of the rest.  A block is
 a hash class of documents.  A search sums the bounds of a query's terms by block, scores the blocks with the highest ones,
-and then only those whose bound reaches the k-th best score so far.
+and then only those whose bound reaches the k-th best score so far.  Bounds of many terms spare nothing, so questions that
+are texts themselves are scored together, in one pass over the postings of all their terms by document.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.stems import porter
+from quarry.functions.stems import porter, stem
 from quarry.operators.joins import hinted
 from quarry.sources.checkpoints import cut
 
@@ -33,6 +35,11 @@ FIRST_BLOCKS = 8
 #: Scores are whole millionths, so that sums don't depend on their order.
 UNIT = 1_000_000
 
+#: From so many terms a query on average queries are scored together, if all have at most so many terms.
+LONG, TOGETHER = 8, 250_000
+#: Numbers in an array of scores at a time, in a task that scores queries together.
+CELLS = 2_000_000
+
 _WORD = re.compile("[a-z0-9_]{2,}")
 
 COMMIT = "gen int, base int, buckets int, blocks int, docs long, words long, removed long"
@@ -53,6 +60,76 @@ def _bucket(term: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(n)).cast("int")
 
 
+def stemmed(counts: dict[str, int]) -> dict[str, int]:
+    """Counts of words as counts of their stems."""
+    out: dict[str, int] = {}
+    for word, n in counts.items():
+        term = stem(word)
+        out[term] = out.get(term, 0) + n
+    return out
+
+
+def best_together(postings: Iterator[tuple], starts: np.ndarray, of: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, doc, points) of the k best of each query among postings (docs, terms, weights) in order of docs.
+
+    Term t is asked by the queries ``of[starts[t]:starts[t + 1]]``.  Of equal points the doc that comes first stays.
+    """
+    best_q, best_doc, best_points = np.zeros(0, np.int64), None, np.zeros(0, np.int64)
+    floor = np.zeros(queries, np.int64)  # points of a query's k-th best so far; no posting weighs less than 1
+    asks = np.diff(starts)
+
+    def add(docs: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Whole documents."""
+        nonlocal best_q, best_doc, best_points
+        new = np.ones(len(docs), bool)
+        new[1:] = docs[1:] != docs[:-1]
+        number, own = np.cumsum(new) - 1, docs[new]
+        n = asks[terms]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell = np.repeat(number * queries, n) + of[np.repeat(starts[terms], n) + inside]
+        # sums of whole numbers far below 2 ** 53 are exact
+        scores = np.bincount(cell, np.repeat(weights, n), len(own) * queries).astype(np.int64).reshape(len(own), queries)
+        d, q = np.nonzero(scores > floor)
+        if not len(d):
+            return
+        q_, points, doc = np.concatenate([best_q, q]), np.concatenate([best_points, scores[d, q]]), own[d] if best_doc is None else np.concatenate([best_doc, own[d]])
+        order = np.lexsort((-points, q_))  # stable: what came first stays first
+        q_ = q_[order]
+        first = np.searchsorted(q_, np.arange(queries))
+        rank = np.arange(len(q_)) - first[q_]
+        kept = rank < k
+        best_q, best_doc, best_points = q_[kept], doc[order][kept], points[order][kept]
+        last = rank[kept] == k - 1
+        floor[best_q[last]] = best_points[last]
+
+    held: list[tuple] = []
+
+    def flush(end: bool) -> None:
+        docs, terms, weights = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        cuts = np.flatnonzero(docs[1:] != docs[:-1]) + 1  # where documents begin
+        ends = [*cuts, len(docs)] if end else [*cuts]  # the last one may go on
+        asked, begun = np.concatenate([[0], np.cumsum(asks[terms])]), 0
+        i = 0
+        while i < len(ends):
+            # as many documents as their scores and what is added to them have room for, one at least
+            j = min(i + max(1, CELLS // queries), len(ends))
+            j = max(i + 1, min(j, int(np.searchsorted(asked[ends[i:j]], asked[begun] + CELLS, "right")) + i))
+            add(docs[begun : ends[j - 1]], terms[begun : ends[j - 1]], weights[begun : ends[j - 1]])
+            begun, i = ends[j - 1], j
+        if begun < len(docs):
+            held.append((docs[begun:], terms[begun:], weights[begun:]))
+
+    for batch in postings:
+        if len(batch[0]):
+            held.append(batch)
+            if sum(len(x[0]) for x in held) >= 200_000:
+                flush(False)
+    if held:
+        flush(True)
+    return best_q, np.zeros(0, np.int64) if best_doc is None else best_doc, best_points
+
+
 class TextIndex:
     """The index under a folder that all executors see.  Ids are unique in what is indexed."""
 
@@ -122,8 +199,11 @@ class TextIndex:
         """What a lower-case text is split into, as ``words`` does, and how often it comes."""
         return Counter(_WORD.findall(text))
 
-    def _counted(self, texts: DataFrame) -> DataFrame:
-        """(doc, digest, len, words, counts) of (doc, digest, text): each text is split once and counted where it is read."""
+    def _counted(self, texts: DataFrame, fold: Callable[[dict[str, int]], dict[str, int]] = lambda c: c) -> DataFrame:
+        """(doc, digest, len, words, counts) of (doc, digest, text): each text is split once and counted where it is read.
+
+        ``fold`` puts a text's words together, which leaves its length as it is.
+        """
         count = self._count
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,19 +211,22 @@ class TextIndex:
                 for at in range(0, batch.num_rows, 256):
                     b = batch.slice(at, 256)
                     found = [count(x) for x in b.column(2).to_pylist()]
-                    own = [pa.array([sum(c.values()) for c in found], pa.int32()), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+                    sums = pa.array([sum(c.values()) for c in found], pa.int32())
+                    found = [fold(c) for c in found]
+                    own = [sums, pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], names=["doc", "digest", "len", "words", "counts"])
 
         kind = texts.schema["doc"].dataType.simpleString()
         return texts.select("doc", "digest", F.lower("text")).mapInArrow(run, f"doc {kind}, digest binary, len int, words array<string>, counts array<int>")
 
+    def _terms(self, texts: DataFrame) -> DataFrame:
+        """What is indexed of (doc, digest, text), as ``_counted`` gives it: stems, put together where the text is read."""
+        return self._counted(texts, stemmed)
+
     def _split(self, texts: DataFrame) -> DataFrame:
-        """(term, block, doc, tf, len, bucket) of counted texts.  Each word is stemmed once, not once a text."""
-        counted = texts.select("doc", "len", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc", "len", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-        stems = counted.select("word").distinct().withColumn("term", porter(F.col("word")))
-        # words compress well, so many look small enough to be broadcast
-        stemmed = counted.hint("merge").join(stems.hint("merge"), "word").groupBy("doc", "len", "term").agg(F.sum("n").cast("int").alias("tf"))
-        return stemmed.select("term", F.pmod(F.xxhash64("doc"), F.lit(self.blocks)).cast("int").alias("block"), "doc", "tf", "len", _bucket(F.col("term"), self.buckets).alias("bucket"))
+        """(term, block, doc, tf, len, bucket) of counted texts, which moves nothing."""
+        counted = texts.select("doc", "len", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc", "len", F.col("x.words").alias("term"), F.col("x.counts").alias("tf"))
+        return counted.select("term", F.pmod(F.xxhash64("doc"), F.lit(self.blocks)).cast("int").alias("block"), "doc", "tf", "len", _bucket(F.col("term"), self.buckets).alias("bucket"))
 
     def refresh(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> int:
         """Bring the index to what ``docs`` says and return how many texts were written.
@@ -166,9 +249,9 @@ class TextIndex:
             self._put(gone, "dead", gen)
         else:
             removed = 0
-        texts = cut(self._counted(now))
+        texts = cut(self._terms(now))
         self._put(texts.select("doc", "digest", "len"), "documents", gen)
-        self._put_postings(cut(self._split(texts)), gen)
+        self._put_postings(self._split(texts), gen)
         sums = self.spark.read.parquet(f"{self.path}/documents/gen={gen}").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("w")).first()
         self._commit(gen, done[-1]["base"] if done else gen, sums["n"], sums["w"], removed)
         return sums["n"]
@@ -208,6 +291,9 @@ class TextIndex:
         if not self._commits():
             return queries.select("query_id").limit(0).select("query_id", F.lit(None).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         asked = cut(self._asked(queries))
+        size = asked.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("query_id").alias("q")).first()
+        if LONG * size["q"] < size["n"] <= TOGETHER:
+            return self._search_together(asked, k, id_col, by_length)
         most = weight(F.col("max_tf"), F.col("min_len"), by_length)
         by_term = self._of_terms(self.bounds(), asked).groupBy("query_id", "block", "term").agg(F.max(most).alias("most"))
         order = Window.partitionBy("query_id").orderBy(F.col("most").desc(), "block")
@@ -226,6 +312,30 @@ class TextIndex:
         every = top(first.select("query_id", "doc", "points").unionByName(scored(cut(rest.select("query_id", "block")))))
         return every.select("query_id", F.col("doc").alias(id_col), (F.col("points") / UNIT).alias("score"), "rank")
 
+    def _search_together(self, asked: DataFrame, k: int, id_col: str, by_length: bool) -> DataFrame:
+        """What ``search`` gives, of at most TOGETHER asked terms: the postings go by document to tasks that add up all queries' scores."""
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        rows = asked.collect()  # at most TOGETHER
+        terms, ids = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}, list(dict.fromkeys(r["query_id"] for r in rows))
+        at = {q: i for i, q in enumerate(ids)}
+        pairs = np.array(sorted((terms[r["term"]], at[r["query_id"]]) for r in rows), np.int64)
+        starts, of = np.searchsorted(pairs[:, 0], np.arange(len(terms) + 1)), pairs[:, 1]
+        numbered = self.spark.createDataFrame(list(terms.items()), "term string, t int")
+        hits = self.live(self._of_terms(self.postings(), numbered)).select("doc", "t", weight(F.col("tf"), F.col("len"), by_length).alias("w"))
+        kind, types = self._kind(), [to_arrow_type(asked.schema["query_id"].dataType), to_arrow_type(hits.schema["doc"].dataType)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, doc, points = best_together(((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches), starts, of, len(ids), k)
+            for i in range(0, len(q), 10_000):
+                s = slice(i, i + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q[s]], types[0]), pa.array(doc[s], types[1]), pa.array(points[s], pa.int64())], names=["query_id", "doc", "points"])
+
+        found = hits.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc {kind}, points long")
+        best = Window.partitionBy("query_id").orderBy(F.col("points").desc(), "doc")
+        every = cut(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return every.select("query_id", F.col("doc").alias(id_col), (F.col("points") / UNIT).alias("score"), "rank")
+
     def live(self, postings: DataFrame) -> DataFrame:
         """Postings of texts that are in the index now."""
         return postings.join(self.dead().select("doc", F.col("was").alias("gen")), ["doc", "gen"], "left_anti")

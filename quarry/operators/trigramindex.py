@@ -31,6 +31,9 @@ def character_trigrams(x: Column) -> Column:
 
 
 class _Trigrams(TextIndex):
+    def _terms(self, texts: DataFrame) -> DataFrame:
+        return self._counted(texts)
+
     def _split(self, texts: DataFrame) -> DataFrame:
         each = texts.select("doc", "len", F.explode("words").alias("term"))
         return each.select("term", F.pmod(F.xxhash64("doc"), F.lit(self.blocks)).cast("int").alias("block"), "doc", F.lit(1).alias("tf"), "len", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket"))

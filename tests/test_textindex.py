@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import stems
 from quarry.functions.stems import STEP_2, STEP_3, STEP_4, porter
 from quarry.operators import retrieve, textindex
 from quarry.operators.textindex import TextIndex
@@ -200,3 +201,55 @@ def test_all_words_of_a_question_count(spark, tmp_path):
     index.refresh(frame(spark, rows))
     q = spark.createDataFrame([(0, " ".join(f"w{i}" for i in range(1, 16)) + " pony")], "query_id int, query string")
     assert [(r["doc_id"], r["rank"]) for r in index.search(q, 5).orderBy("rank").collect()] == [(3, 1), (1, 2), (2, 3)]
+
+
+def test_stems_in_python_are_those_of_the_column(spark):
+    rng = random.Random(2)
+    ends = [s for s, _ in STEP_2 + STEP_3] + STEP_4 + ["s", "ed", "ing", "y", "e", "eed", "ies", "sses", "ll", ""]
+    made = ["".join(rng.choice(["b", "st", "y", "a", "e", "ou", "l", "ll", "tt", "z", "w", "i", "Y", "7"]) for _ in range(rng.randrange(1, 5))) + rng.choice(ends) + rng.choice(["", "", "s", "ed", "ing"]) for _ in range(6000)]
+    ws = sorted({*EXAMPLES, *made, "über", "a", "yy", "yyy", "sayyed", "ing", "ied", "eed", "abc\n", ""})
+    got = spark.createDataFrame([(w,) for w in ws], "w string").select("w", porter(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in got if r["s"] != stems.stem(r["w"])} == {}
+
+
+def test_texts_are_stemmed_where_they_are_read(spark, tmp_path):
+    index = TextIndex(spark, f"file://{tmp_path}/ix", buckets=2, blocks=4)
+    split = index._split(index._terms(spark.createDataFrame([(1, b"", "walk walks Walked x_1")], "doc long, digest binary, text string")))
+    assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["term"], r["tf"], r["len"]) for r in split.collect()) == [("walk", 3, 4), ("x_1", 1, 4)]
+
+
+@pytest.mark.parametrize("by_length", [False, True])
+@pytest.mark.parametrize("cells", [1, 150, 2_000_000])
+def test_long_questions_are_scored_together_as_a_scan_does(spark, tmp_path, monkeypatch, by_length, cells):
+    rows = texts(8, 120) + [(500 + i, "rarer walked") for i in range(30)]  # and many equal scores
+    index = TextIndex(spark, f"file://{tmp_path}/ix", buckets=4, blocks=8)
+    index.refresh(frame(spark, rows))
+    rows = [(i, "sky" if i == 3 else t) for i, t in rows]
+    index.refresh(frame(spark, rows))
+    q = spark.createDataFrame([("a", " ".join(VOCAB)), ("b", "rarer walked sky the pony x_1 relate"), ("c", " ".join(VOCAB[::2]) + " none here"), ("d", "")], "query_id string, query string")
+    answer = lambda: sorted(map(tuple, index.search(q, 7, by_length=by_length).collect()))
+    monkeypatch.setattr(textindex, "TOGETHER", 0)
+    expected = answer()
+    monkeypatch.setattr(textindex, "TOGETHER", 1000)
+    monkeypatch.setattr(textindex, "LONG", 1)
+    monkeypatch.setattr(textindex, "CELLS", cells)
+    assert len(expected) == 21 and answer() == expected
+
+
+@pytest.mark.parametrize("cells", [1, 60, 2_000_000])
+def test_scores_are_added_up_across_batches(monkeypatch, cells):
+    import numpy as np
+
+    monkeypatch.setattr(textindex, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    rows = [(f"d{d:04}", t, int(rng.integers(1, 6))) for d in range(300) for t in range(9) if rng.random() < 0.4]
+    asked = [(t, q) for t in range(9) for q in range(5) if (t + q) % 3]
+    starts, of = np.searchsorted([t for t, _ in asked], np.arange(10)), np.array([q for _, q in asked])
+    batches = [tuple(np.array(c, object if i == 0 else np.int64) for i, c in enumerate(zip(*rows[a : a + 7], strict=True))) for a in range(0, len(rows), 7)]
+    points = {}
+    for d, t, w in rows:
+        for q in (q for x, q in asked if x == t):
+            points[q, d] = points.get((q, d), 0) + w
+    want = [(q, d, p) for n in range(5) for p, d, q in sorted(((p, d, q) for (q, d), p in points.items() if q == n), key=lambda x: (-x[0], x[1]))[:4]]
+    assert list(zip(*(x.tolist() for x in textindex.best_together(iter(batches), starts, of, 5, 4)), strict=True)) == want
